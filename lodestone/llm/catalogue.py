@@ -1,7 +1,7 @@
 """Every query of this subpackage with its SQL, where SQL can express it."""
 
-from lodestone.llm import components, topn
+from lodestone.llm import components, mixing, topn
 
-MODULES = [topn, components]
+MODULES = [topn, components, mixing]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
