@@ -36,7 +36,7 @@ SWAPPED_LATIN = (("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252
 # fixed values: letters in common use in western European languages, and usual typographic signs
 _LATIN = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒ")
 _USUAL = set("äöüßéèêàçùâîôûïëœñáíóúãõ")
-_SIGNS = set("’‘“”„«»‹›–—…•→←−×≠≥≤€°§©®™¿¡№·  ​­½¼¾²³µ")
+_SIGNS = set("’‘“”„«»‹›–—…•→←−×≠≥≤€°§©®™¿¡№·½¼¾²³µ\xa0\u202f\u2009\u200b\xad")
 _OPENING = set("“„«‘‹¿¡(")
 # fixed values: share of the letters in Russian text, in per mille
 _RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (109, 84, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 1, 1)))
@@ -99,24 +99,24 @@ def cost(text: str) -> float:
                     total += 4
                 if kind_before == 1 and before >= "\x80" and before.isalpha():
                     total += 2.0 if c.isupper() == before.isupper() else 5.0
-                if after in " ­" or "\x80" <= after < "\xa0":
+                if c in "ÃÂ" and after in " \xa0\xad" and not (kind_before and before.isupper()) or "\x80" <= after < "\xa0":
                     total += 2
             elif kind == 2:
                 share = _RUSSIAN.get(c.lower())
                 total += 5.0 if share is None else 0.4 + 1.2 / (1 + share / 12)
                 if c.isupper() and before.islower():
-                    total += 3
+                    total += 6
             elif unicodedata.category(c) in ("Cn", "Co", "Cs"):
                 total += 20
             elif kind:
                 total += 5
             elif c in _SIGNS:
                 total += 1.5
-                if c in "’‘–—-…·­":
+                if c in "’‘–—…·\xad":
                     if before >= "\x80" and before not in _SIGNS and kind_before == 1 and before in "âÂÃ":
                         total += 4
-                elif c in "€™©®°§²³µ½¼¾¿¡«»“”„‹› ×≠≥≤→←−•№ ":
-                    glued = (kind_before and before >= "\x80") or (kind_before and _alphabet(after) and c not in "  ")
+                elif c in "€™©®°§²³µ½¼¾¿¡«»“”„‹›×≠≥≤→←−•№\xa0\u202f\u2009\u200b":
+                    glued = (kind_before and before >= "\x80") or (kind_before and _alphabet(after) and c not in "\xa0\u202f\u2009")
                     if glued or (c in "¿¡„“«" and kind_before):
                         total += 3
             else:
