@@ -1,7 +1,7 @@
 """Every core query with its SQL."""
 
-from lodestone.plans import hotkeys
+from lodestone.plans import graph_queries, hotkeys
 
-MODULES = [hotkeys]
+MODULES = [hotkeys, graph_queries]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
