@@ -133,8 +133,8 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     weighted = materialize(e.join(out, "src"), "weighted")
     all_nodes = materialize(nodes_of(e).join(out.select(F.col("src").alias("node"), "n"), "node", "left"), "nodes")
-    size = all_nodes.count()
-    ranks = all_nodes.select("node", "n", F.lit(1.0 / max(size, 1)).alias("rank"))
+    size = max(all_nodes.count(), 1)
+    ranks = all_nodes.select("node", "n", F.lit(1.0 / size).alias("rank"))
     for _ in range(rounds):
         lost = ranks.where("n IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = weighted.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
