@@ -4,8 +4,8 @@ Union-find runs inside bounded partitions of the edges and keeps a spanning fore
 of its tree, so a partition sends at most one row per node and repeated links vanish.  Forests then merge in fewer, still
 bounded partitions.  When they stop shrinking and the rest is too large for one task, the graph is contracted: each node
 takes the smallest of its parents, its other parents are linked to that one, and only nodes that are a parent somewhere
-stay in the graph.  Contraction at least drops every leaf, so the rest ends up in one bounded task, and the labels travel
-back level by level.
+stay in the graph.  Each contraction drops all leaves, so the rest ends up in one bounded task, and the labels travel back
+level by level.
 """
 
 from __future__ import annotations
@@ -80,21 +80,22 @@ def components(edges: DataFrame, a: str, b: str, max_task_edges: int = MAX_TASK_
         m = merged.count()
         level, shrunk, n = merged, m < 0.7 * n, m
         if n > max_task_edges and not shrunk:
-            smallest = level.groupBy("a").agg(F.min("b").alias("m"))
-            up = materialize(smallest, "parents")
-            levels.append(up)
-            rest = level.join(up, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+            up = materialize(level.groupBy("a").agg(F.min("b").alias("m")), "parents")
+            stay = level.select(F.col("b").alias("a")).distinct()
+            leaves = materialize(up.join(stay, "a", "left_anti"), "leaves")
+            levels.append(leaves)
+            inner = up.join(stay, "a", "left_semi").select("a", F.col("m").alias("b"))
+            rest = level.join(up, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(inner)
             level = materialize(_merge(rest), "forest")
             n = level.count()
             parts = max(1, len(level.inputFiles()))
     top = _merge(level.repartition(1))
     found = top.select(F.col("a").alias("node"), F.col("b").alias("group"))
-    for up in reversed(levels):
+    for leaves in reversed(levels):
         known = materialize(found, "labels")
-        # a child's label is its parent's; a parent without a label of its own is the root of its tree
-        below = up.join(known, up["m"] == known["node"], "left").select(F.col("a").alias("node"), F.coalesce("group", "m").alias("group"))
-        above = known.join(up, known["node"] == up["a"], "left_anti")
-        found = below.unionByName(above)
+        # a leaf's label is its parent's; a parent without a label of its own is the root of its tree
+        below = leaves.join(known, leaves["m"] == known["node"], "left").select(F.col("a").alias("node"), F.coalesce("group", "m").alias("group"))
+        found = below.unionByName(known)
     found = materialize(found, "labels")
     roots = found.select(F.col("group").alias("node"), F.col("group")).distinct()
     if alone.isEmpty():

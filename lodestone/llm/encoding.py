@@ -209,10 +209,19 @@ def _unescape(text: str) -> Iterator[str]:
                 yield new
 
 
+def _state_cost(text: str) -> float:
+    """Plausibility cost, and 3 for every escape still standing: it hides a character of unknown looks."""
+    at = cost(text)
+    for sign, pattern in (("&", _UNREFERENCED), ("\\", _ESCAPED), ("<", _ANGLE), ("%", _PERCENT), ("=", _QUOTED)):
+        if sign in text:
+            at += 3 * len(pattern.findall(text))
+    return at
+
+
 @lru_cache(maxsize=1 << 16)
 def search(text: str, most: int = 60, depth: int = 5) -> tuple[str, int]:
     """The cheapest text that is reached, and the number of decoding operations on the way (0: nothing was gained)."""
-    start = cost(text)
+    start = _state_cost(text)
     best, best_at, steps = text, start, 0
     seen, heap, n = {hash(text)}, [(start, 0, 0, text, 0)], 0
     if text[-1:] in _LEADS:  # the no-break space that ended the sequence became a blank
@@ -231,7 +240,7 @@ def search(text: str, most: int = 60, depth: int = 5) -> tuple[str, int]:
         for new, d in moves:
             if (h := hash(new)) not in seen:
                 seen.add(h)
-                heapq.heappush(heap, (cost(new), len(seen), level + 1, new, d))
+                heapq.heappush(heap, (_state_cost(new), len(seen), level + 1, new, d))
     return best, steps
 
 

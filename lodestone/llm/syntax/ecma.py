@@ -155,7 +155,7 @@ def _grammar(ts: bool) -> str:
         "DECL": r"<FUNCDECL>|<CLASSDECL>|<TSDECL>|<VAR><END>",
         "EXPORT": rf"G(?:D(?:H?Fm?{gen}<PARAMS>{of}<BLOCK>|K<BASE><BODY>|<DECL>|<EXPR><END>)|<DECL>|" + pick("y?") + r"(?:m(?:P<NAME>)?<WAY>|<SPECS>(?:<WAY>)?)<END>" + pick(r"|=<EXPR><END>") + ")",
         "PREFIX": r"I<ARGS>\n?|E\n?|W<ARGS>(?=.)\n?|OU?<HEAD>\n?|J\n?|<ID>:\n?",
-        "SIMPLE": r"[;\n]|<BLOCK>|<DECL>|<IMPORT>|<EXPORT>|R(?:<EXPRS>)?<END>|T<EXPRS><END>|B<ID>?<END>|Y<BLOCK>\n?(?:C<PARAMS>?<BLOCK>\n?L<BLOCK>|C<PARAMS>?<BLOCK>|L<BLOCK>)|S<ARGS><CASES>|W<ARGS><END>|<EXPRS><END>",
+        "SIMPLE": r"[;\n]|<BLOCK>|<DECL>|<IMPORT>|<EXPORT>|R(?:<EXPRS>)?<END>|T<EXPRS><END>|B<ID>?<END>|Y<BLOCK>\n?(?:C<PARAMS>?<BLOCK>\n?L<BLOCK>|C<PARAMS>?<BLOCK>|L<BLOCK>)|S<ARGS><CASES>|W<ARGS><END>|(?![\ue200-\ue2ff])<EXPRS><END>",
         "STMT": r"(?:<PREFIX>)*(?:<SIMPLE>)",
         "STMTS": r"(?:<STMT>)*+",
     }

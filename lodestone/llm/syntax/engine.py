@@ -81,12 +81,13 @@ class Language:
     """``token``: regex whose only capturing group is the token, blanks and comments skipped in front.  ``opens``: class
     of an unclosed construct at the end of a text to the state that it leaves.  ``resume``: state to (regex that leads out
     of it, class of the construct).  ``grammar``: the rules; ``shape``: per bracket a list of (bit, rule).  ``tidy`` rewrites the inside of a
-    bracket, or the top level (bracket ""), before matching.  ``cut`` finds places between top-level statements; the part
+    bracket, or the top level (bracket ""), before matching.  ``trees``: a bracket whose inside fits no rule is still a
+    token tree, as macros take it.  ``cut`` finds places between top-level statements; the part
     before the first one must match ``top``, the others ``rest``.  ``quick``: a pattern, and the token regex that does for
     texts without it."""
 
-    def __init__(self, name: str, token: str, classify: Callable[[str], str], grammar: str, shape: Mapping[str, Sequence[tuple[int, str]]], top: str, tidy: Callable[[str, str], str] = lambda c, b: c, always: int = 0, opens: Mapping[str, str] | None = None, resume: Mapping[str, tuple[str, str]] | None = None, after: Callable[[str], str] = lambda c: c, cut: str = "", rest: str = "", quick: tuple[str, str] | None = None) -> None:
-        self.name, self.tidy, self.always, self.after = name, tidy, always, after
+    def __init__(self, name: str, token: str, classify: Callable[[str], str], grammar: str, shape: Mapping[str, Sequence[tuple[int, str]]], top: str, tidy: Callable[[str, str], str] = lambda c, b: c, trees: bool = False, opens: Mapping[str, str] | None = None, resume: Mapping[str, tuple[str, str]] | None = None, after: Callable[[str], str] = lambda c: c, cut: str = "", rest: str = "", quick: tuple[str, str] | None = None) -> None:
+        self.name, self.tidy, self.trees, self.after = name, tidy, trees, after
         self.find = re.compile(token).findall
         self.classes = _Classes(classify)
         self.shape = {b: [(bit, regex.compile(grammar + _calls(x), regex.V0)) for bit, x in xs] for b, xs in shape.items()}
@@ -102,15 +103,14 @@ class Language:
 
     def _fold(self, pair: str) -> str:
         bracket, inside = pair[0], pair[1:-1]
-        bits = self.always
-        if BAD not in inside:
-            text = self.tidy(inside, bracket)
-            for bit, x in self.shape[bracket]:
-                if x.fullmatch(text):
-                    bits |= bit
-        else:
-            bits = 0
-        return chr(_GROUP[bracket] + bits) if bits else BAD
+        bits = 0
+        if BAD in inside:
+            return BAD
+        text = self.tidy(inside, bracket)
+        for bit, x in self.shape[bracket]:
+            if x.fullmatch(text):
+                bits |= bit
+        return chr(_GROUP[bracket] + bits) if bits or self.trees else BAD
 
     @property
     def states(self) -> list[str]:

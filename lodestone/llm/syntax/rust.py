@@ -112,7 +112,7 @@ def _make() -> Language:
         return c.replace("\x04", "<").replace("\x05", ">")
 
     resume = {"comment": (r"(?:[^*/]|\*(?!/)|/(?!\*)|" + _NESTED + r")*\*/", ""), "text": (r"(?:[^\"\\]|\\[\s\S])*\"", "s")}
-    return Language("rust", _TOKEN, _classify, grammar, shape, top, tidy=generics, cut=r"(?<=[;\ue200-\ue2ff])(?=[PFXSATMyDcU#])", opens={"\x01": "text", "\x02": "comment"}, resume=resume)
+    return Language("rust", _TOKEN, _classify, grammar, shape, top, tidy=generics, trees=True, cut=r"(?<=[;\ue200-\ue2ff])(?=[PFXSATMyDcU#])", opens={"\x01": "text", "\x02": "comment"}, resume=resume)
 
 
 RUST = _make()
