@@ -7,6 +7,8 @@ count once, an empty edge table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,25 +30,59 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (src, dst) joined by a path of one or more edges, by path doubling.
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges between numbers, (node, id)): long keys make the wide tables of a closure several times smaller."""
+    e = materialize(clean(edges), "edges")
+    ids = materialize(nodes_of(e).withColumn("id", F.monotonically_increasing_id()), "ids")
+    n = e.join(ids.select(F.col("node").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("node").alias("dst"), F.col("id").alias("d")), "dst")
+    return n.select(F.col("s").alias("src"), F.col("d").alias("dst")), ids
+
+
+def closure_ids(edges: DataFrame) -> DataFrame:
+    """All pairs (src, dst) joined by a path of one or more distinct edges, by path doubling.
 
     After step k every pair within 2**k edges is known.  Only pairs found in the last step are extended: a shortest path
     of up to twice the length starts with one of them.  So the number of steps is the logarithm of the longest shortest
-    path, and no pair is derived from old pairs alone.
-    """
-    known = materialize(clean(edges), "closure")
-    fresh = known
+    path, no pair is derived from old pairs alone, and each step writes its new pairs only: what is known is the union of
+    the steps."""
+    steps = [materialize(edges, "closure")]
     while True:
-        longer = fresh.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst")).distinct()
-        new = materialize(longer.join(known, ["src", "dst"], "left_anti"), "closure-new")
+        known = reduce(DataFrame.unionByName, steps)
+        longer = steps[-1].alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst")).distinct()
+        new = materialize(longer.join(known, ["src", "dst"], "left_anti"), "closure")
         if new.isEmpty():
             return known
-        old, known = known, materialize(known.unionByName(new), "closure")
-        release(old)
-        if fresh is not old:
-            release(fresh)
-        fresh = new
+        steps.append(new)
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """All pairs (src, dst) joined by a path of one or more edges."""
+    e, ids = numbered(edges)
+    r = closure_ids(e)
+    named = r.join(ids.select(F.col("id").alias("src"), F.col("node").alias("s")), "src").join(ids.select(F.col("id").alias("dst"), F.col("node").alias("d")), "dst")
+    return named.select(F.col("s").alias("src"), F.col("d").alias("dst"))
+
+
+def impact_sizes(edges: DataFrame) -> DataFrame:
+    """(node, impact): from how many nodes each node is reached; the closure is counted by number and never named."""
+    e, ids = numbered(edges)
+    size = closure_ids(e).groupBy("dst").agg(F.count(F.lit(1)).alias("impact"))
+    return ids.join(size, F.col("id") == F.col("dst"), "left").select("node", F.coalesce("impact", F.lit(0)).alias("impact"))
+
+
+def trim(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """Edges that may lie on a cycle: what starts where nothing arrives, or ends where nothing leaves, is peeled off while
+    that takes away at least a tenth.  The result holds every cycle."""
+    e = materialize(clean(edges), "edges")
+    n = e.count()
+    for _ in range(rounds):
+        kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = materialize(kept.select("src", "dst"), "core")
+        m = kept.count()
+        e, done, n = kept, m > 0.9 * n, m
+        if done or not m:
+            break
+    return e
 
 
 def reach(edges: DataFrame, sources: DataFrame, backwards: bool = False, max_depth: int | None = None, closed: DataFrame | None = None) -> DataFrame:
@@ -95,8 +131,8 @@ def shortest_paths(edges: DataFrame, start: DataFrame, backwards: bool = True) -
 def components_strong(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(node, scc): nodes on a common cycle share the smallest of them; a node on no cycle stands alone.
 
-    Two nodes are together when each reaches the other, read from the closure."""
-    r = closure(edges) if pairs is None else pairs
+    Two nodes are together when each reaches the other, read from the closure of the trimmed graph."""
+    r = closure(trim(edges)) if pairs is None else pairs
     back = r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     mutual = r.join(back, ["src", "dst"])
     best = mutual.groupBy("src").agg(F.min("dst").alias("m"))

@@ -55,10 +55,8 @@ def g18_test_impact(spark: SparkSession, d: str) -> DataFrame:
 def risks(spark: SparkSession, d: str) -> DataFrame:
     """(node, risk, impact): size of the impact plus complexity above 1."""
     e = materialize(R.calls(spark, d), "calls")
-    size = G.closure(e).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("impact"))
-    x = G.nodes_of(e).join(size, "node", "left").join(R.ccn(spark, d), "node", "left")
-    impact = F.coalesce("impact", F.lit(0))
-    return x.select("node", impact.alias("impact"), (impact + F.greatest(F.coalesce("ccn", F.lit(1)) - 1, F.lit(0))).alias("risk"))
+    x = G.impact_sizes(e).join(R.ccn(spark, d), "node", "left")
+    return x.select("node", "impact", (F.col("impact") + F.greatest(F.coalesce("ccn", F.lit(1)) - 1, F.lit(0))).alias("risk"))
 
 
 def g3_risk(spark: SparkSession, d: str) -> DataFrame:
