@@ -67,7 +67,23 @@ _ANGLE = re.compile(r"(?:<U\+[0-9A-F]{4,6}>|<[0-9a-f]{2}>)+")
 #: First half of a UTF-8 sequence that a no-break space may end, as the charsets show it.
 _LEADS = {c for charset in READ_AS for c, b in _TO_BYTE[charset].items() if b in (0xC2, 0xC3)}
 #: Texts without any of these can't be garbled: only ASCII, and no escape of anything beyond ASCII.
-SUSPECT = r"[^\x00-\x7f]|&(?:amp;)*#|&(?:amp;)*[A-Za-z]{2,8}[0-9]{0,2};|\\u00|\\x[89a-fA-F]|\\[23][0-7]{2}|%[89a-fA-F][0-9a-fA-F]|=[89A-F][0-9A-F]|<U\+|<[89a-f][0-9a-f]>"
+ESCAPES = r"&(?:amp;)*#|&(?:amp;)*[A-Za-z]{2,8}[0-9]{0,2};|\\u00|\\x[89a-fA-F]|\\[23][0-7]{2}|%[89a-fA-F][0-9a-fA-F]|=[89A-F][0-9A-F]|<U\+|<[89a-f][0-9a-f]>"
+SUSPECT = r"[^\x00-\x7f]|" + ESCAPES
+
+
+def _misread_pattern() -> re.Pattern:
+    """Finds what ``_read_again`` could put together: the characters that a charset shows for a whole UTF-8 sequence."""
+    out = []
+    for charset in READ_AS:
+        chars = lambda low, high, t=_TO_BYTE[charset]: "[" + "".join(re.escape(c) for c, b in t.items() if low <= b <= high) + "]"
+        tail = chars(0x80, 0xBF)
+        out += [chars(0xC2, 0xDF) + tail, chars(0xE0, 0xEF) + tail + "{2}", chars(0xF0, 0xF4) + tail + "{3}"]
+    return re.compile("|".join(out))
+
+
+_MISREAD = _misread_pattern()
+_LETTER_RUN = re.compile(r"[^\W\d_\x00-\x7f]{2}")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
 
 
 def _alphabet(c: str) -> int:
@@ -248,25 +264,32 @@ _SPAN = re.compile(r"`[^`\n]*`")
 _WORD = re.compile(r"[^ \t\r\n\f\v]+")
 
 
+#: Sound writing costs less a character, whatever the language: below, no other charset is tried.
+SOUND_LATIN, SOUND_CYRILLIC = 1.55, 0.75
+
+
 def _swap_line(line: str) -> str | None:
     """A line whose letters come from another one-byte charset: all its words are judged together."""
     words = [w for w in _WORD.findall(_SPAN.sub(" ", line)) if not w.isascii()]
-    letters = sum(c >= "\x80" and c.isalpha() for w in words for c in w)
+    high = "".join(c for w in words for c in w if c >= "\x80")
+    if not high:
+        return None
     now = sum(cost(w) for w in words)
-    best, gain, pair = None, 0.0, None
+    cyrillic = 2 * len(_CYRILLIC.findall(high)) > len(high)
+    if cyrillic and now < SOUND_CYRILLIC * len(high) or not cyrillic and now <= SOUND_LATIN * len(high) and not any(_LETTER_RUN.search(w) for w in words):
+        return None
+    letters, present = sum(c.isalpha() for c in high), set(high)
+    gain, pair = 0.0, None
     for pairs, share, least in ((SWAPPED, 0.72, 4.0), (SWAPPED_LATIN, 0.6, 2.5)):
         for read_as, was in pairs:
-            then = [_swap(w, read_as, was) for w in words]
-            if any(t is None for t in then):
-                continue
-            c = sum(cost(t) for t in then)
-            if was in ("cp1251", "koi8-r", "cp866", "mac_cyrillic") and letters < 4:
+            if pairs is SWAPPED and letters < 4 or not present <= _TO_BYTE[read_as].keys():
                 continue
+            c = sum(cost(_swap(w, read_as, was) or w) for w in words)
             if c < share * now and now - c >= least and now - c > gain:
                 gain, pair = now - c, (read_as, was)
     if pair:
-        best = "".join(p if p.startswith("`") or p.isascii() else _WORD.sub(lambda m: _swap(m[0], *pair) or m[0], p) for p in re.split(r"(`[^`\n]*`)", line))
-    return best
+        return "".join(p if p.startswith("`") or p.isascii() else _WORD.sub(lambda m: _swap(m[0], *pair) or m[0], p) for p in re.split(r"(`[^`\n]*`)", line))
+    return None
 
 
 def _pieces(text: str) -> Iterator[tuple[str, bool]]:
@@ -299,6 +322,8 @@ def _search_words(line: str) -> tuple[str, bool]:
             w = m[0]
             if w.isascii() and not re.search(SUSPECT, w):
                 return w
+            if not _MISREAD.search(w) and w[-1] not in _LEADS and not re.search(ESCAPES, w):
+                return w  # no operation applies
             new, steps = search(w)
             gained |= steps > 0
             return new
