@@ -31,7 +31,15 @@ _TOKEN = (
     r"|`[\s\S]*\Z|/\*[\s\S]*\Z|=>|===|!==|==|!=|\+\+|--|\*\*=?|&&=?|\|\|=?|\?\?=?|\?\.|<<=?|<=|[+\-*/%&|^]=|[\s\S]|\Z)"
 )
 # most texts hold no regular expression: then a slash is a sign, and words can be tried first
-_MAYBE_REGEX = rf"{_BEFORE_REGEX}/(?![*/])|\\u"
+_SLASH = re.compile(r"/(?![*/])")
+_MAY_PRECEDE = frozenset("=(,:;!&|?{}[+-*%~^<> \t\r\n")
+
+
+def _maybe_regex(text: str) -> bool:
+    """Whether a slash stands where a regular expression could begin, or a name is written with escapes."""
+    return any(text[m.start() - 1] in _MAY_PRECEDE for m in _SLASH.finditer(text)) or "\\u" in text
+
+
 _QUICK_TOKEN = (
     rf"[ \t\r]*+{_BLANK}([A-Za-z_$][\w$]*+|\n|[()\[\]{{}};,:]|{_TEXT}|\.(?!\d)[ \t\n]*#?{_WORD}|\?\.(?!\d)[ \t]*#?{_WORD}|\.\.\.|(?:{_NUMBER})(?![\w$])|#?{_WORD}|{_TEMPLATE}"
     r"|`[\s\S]*\Z|/\*[\s\S]*\Z|=>|===|!==|==|!=|\+\+|--|\*\*=?|&&=?|\|\|=?|\?\?=?|\?\.|<<=?|<=|[+\-*/%&|^]=|[\s\S]|\Z)"
@@ -177,8 +185,9 @@ class Ecma(Language):
             return super()._fold(pair)
         inside, bits = pair[1:-1], 0
         strict, loose = self.tidy(inside, "{"), self.tidy(inside.replace("\n", ""), "{")
-        for bit, x in self.shape["{"]:
-            if x.fullmatch(loose if bit in self.loose else strict):
+        for bit, x, signs in self.shape["{"]:
+            text = loose if bit in self.loose else strict
+            if (not signs or not text or any(c in text for c in signs)) and x.fullmatch(text):
                 bits |= bit
         return chr(0xE200 + bits) if bits else BAD
 
@@ -187,13 +196,13 @@ def _make(ts: bool) -> Language:
     grammar = _grammar(ts)
     of = "(?::<TYPE>)?" if ts else ""
     shape = {
-        "(": [(1, r"(?:e?<EXPR>(?:,e?<EXPR>)*,?)?"), (2, r"(?:<PARAM>(?:,<PARAM>)*,?)?"), (4, rf"(?:<VAR>|<EXPRS>)?;(?:<EXPRS>)?;(?:<EXPRS>)?|V(?:<TARGET>){of}[hf]<EXPRS>|<EXPR>f<EXPRS>|<EXPR>")],
+        "(": [(1, r"(?:e?<EXPR>(?:,e?<EXPR>)*,?)?"), (2, r"(?:<PARAM>(?:,<PARAM>)*,?)?"), (4, rf"(?:<VAR>|<EXPRS>)?;(?:<EXPRS>)?;(?:<EXPRS>)?|V(?:<TARGET>){of}[hf]<EXPRS>|<EXPR>f<EXPRS>|<EXPR>", ";fh")],
         "[": [(1, r"(?:e?<EXPR>)?(?:,(?:e?<EXPR>)?)*"), (2, "<EXPRS>")],
-        "{": [(1, "<STMTS>"), (2, r"(?:(?:<PROP>)(?:,(?:<PROP>))*,?)?"), (4, r"(?:<MEMBER>)*+"), (8, r"\n*(?:(?:Z<EXPRS>|D):<STMTS>)*+"), (16, r"(?:<SPEC>(?:,<SPEC>)*,?)?")],
+        "{": [(1, "<STMTS>"), (2, r"(?:(?:<PROP>)(?:,(?:<PROP>))*,?)?"), (4, r"(?:<MEMBER>)*+"), (8, r"\n*(?:(?:Z<EXPRS>|D):<STMTS>)*+", "ZD"), (16, r"(?:<SPEC>(?:,<SPEC>)*,?)?")],
     }
     if ts:
         shape["("].append((8, "<TYPE>"))
-        shape["["] += [(4, r"(?:e?(?:<ID>q?:)?<TYPE>q?(?:,e?(?:<ID>q?:)?<TYPE>q?)*,?)?"), (8, r"<ID>:<TYPE>|<ID>h<TYPE>(?:P<TYPE>)?")]
+        shape["["] += [(4, r"(?:e?(?:<ID>q?:)?<TYPE>q?(?:,e?(?:<ID>q?:)?<TYPE>q?)*,?)?"), (8, r"<ID>:<TYPE>|<ID>h<TYPE>(?:P<TYPE>)?", ":h")]
         shape["{"] += [(32, r"(?:(?:<SIG>)(?:[;,\n]+(?:<SIG>))*)?[;,\n]*|[pm]?k?<SIGN>[pm]?q?:<TYPE>[;\n]?"), (64, r"(?:(?:<NAME>|s)(?:=<EXPR>)?(?:,(?:<NAME>|s)(?:=<EXPR>)?)*,?)?")]
         typeargs = regex.compile(grammar + _calls(r"(?:<TYPEARG>(?:,<TYPEARG>)*,?)?"), regex.V0)
         is_args = Memo(lambda c: _TYPEARGS if typeargs.fullmatch(c) else "\x04" + c + "\x05")
@@ -215,7 +224,7 @@ def _make(ts: bool) -> Language:
         return generics(c) if ts and "l" in c and "r" in c else c
 
     made: list[Language] = []
-    made.append(Ecma("typescript" if ts else "javascript", _TOKEN, _classify(_TS_WORDS if ts else _WORDS, lambda: made[0]), grammar, shape, "<STMTS>", tidy, opens={"\x01": "template", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "template": (r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`", "t")}, cut=r"(?<=;)(?![EW\n;])|(?<=\n)(?=[VFKGM])", quick=(_MAYBE_REGEX, _QUICK_TOKEN)))
+    made.append(Ecma("typescript" if ts else "javascript", _TOKEN, _classify(_TS_WORDS if ts else _WORDS, lambda: made[0]), grammar, shape, "<STMTS>", tidy, opens={"\x01": "template", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "template": (r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`", "t")}, cut=r"(?<=;)(?![EW\n;])|(?<=\n)(?=[VFKGM])", quick=(_maybe_regex, _QUICK_TOKEN)))
     return made[0]
 
 

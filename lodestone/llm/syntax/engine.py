@@ -21,6 +21,8 @@ BAD = "\x00"
 _GROUP = {"(": 0xE000, "[": 0xE100, "{": 0xE200}
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _PAIR = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+#: The same list element, member or statement three times or more reads as it does twice.
+_REPEATS = re.compile(r"([^,;\n\ue200-\ue2ff]{0,60}(?:[,;\ue200-\ue2ff]\n?|\n))\1{2,}")
 _REMEMBER = 400_000
 
 
@@ -80,35 +82,41 @@ class Memo(_Folds):
 class Language:
     """``token``: regex whose only capturing group is the token, blanks and comments skipped in front.  ``opens``: class
     of an unclosed construct at the end of a text to the state that it leaves.  ``resume``: state to (regex that leads out
-    of it, class of the construct).  ``grammar``: the rules; ``shape``: per bracket a list of (bit, rule).  ``tidy`` rewrites the inside of a
+    of it, class of the construct).  ``grammar``: the rules; ``shape``: per bracket a list of (bit, rule[, signs]).  ``tidy`` rewrites the inside of a
     bracket, or the top level (bracket ""), before matching.  ``trees``: a bracket whose inside fits no rule is still a
     token tree, as macros take it.  ``cut`` finds places between top-level statements; the part
-    before the first one must match ``top``, the others ``rest``.  ``quick``: a pattern, and the token regex that does for
-    texts without it."""
+    before the first one must match ``top``, the others ``rest``.  ``quick``: a test, and the token regex that does for
+    texts that fail it.  A rule may name signs of which its texts hold at least one: others are not tried."""
 
-    def __init__(self, name: str, token: str, classify: Callable[[str], str], grammar: str, shape: Mapping[str, Sequence[tuple[int, str]]], top: str, tidy: Callable[[str, str], str] = lambda c, b: c, trees: bool = False, opens: Mapping[str, str] | None = None, resume: Mapping[str, tuple[str, str]] | None = None, after: Callable[[str], str] = lambda c: c, cut: str = "", rest: str = "", quick: tuple[str, str] | None = None) -> None:
+    def __init__(self, name: str, token: str, classify: Callable[[str], str], grammar: str, shape: Mapping[str, Sequence[tuple]], top: str, tidy: Callable[[str, str], str] = lambda c, b: c, trees: bool = False, opens: Mapping[str, str] | None = None, resume: Mapping[str, tuple[str, str]] | None = None, after: Callable[[str], str] = lambda c: c, cut: str = "", rest: str = "", quick: tuple[Callable[[str], bool], str] | None = None) -> None:
         self.name, self.tidy, self.trees, self.after = name, tidy, trees, after
         self.find = re.compile(token).findall
         self.classes = _Classes(classify)
-        self.shape = {b: [(bit, regex.compile(grammar + _calls(x), regex.V0)) for bit, x in xs] for b, xs in shape.items()}
+        self.shape = {b: [(bit, regex.compile(grammar + _calls(x[0]), regex.V0), x[1] if len(x) > 1 else "") for bit, *x in xs] for b, xs in shape.items()}
         self.top = regex.compile(grammar + _calls(top), regex.V0)
         self.cut = re.compile(cut) if cut else None
-        self.quick = (re.compile(quick[0]).search, re.compile(quick[1]).findall) if quick else None
+        self.quick = (quick[0], re.compile(quick[1]).findall) if quick else None
         self.rest = regex.compile(grammar + _calls(rest or top), regex.V0)
-        self.folds = _Folds(self._fold)
+        self.folds = _Folds(self._read)
         self.firsts = _Folds(lambda c: "1" if self.top.fullmatch(c) else "0")
         self.rests = _Folds(lambda c: "1" if self.rest.fullmatch(c) else "0")
         self.opens = dict(opens or {})
         self.resume = {s: (re.compile(x), c) for s, (x, c) in (resume or {}).items()}
 
+    def _read(self, pair: str) -> str:
+        """What a pair can be read as; repeats are told once, so long lists and generated members are known shapes."""
+        if len(pair) > 12 and (short := _REPEATS.sub(r"\1\1", pair)) != pair:
+            return self.folds[short]
+        return self._fold(pair)
+
     def _fold(self, pair: str) -> str:
         bracket, inside = pair[0], pair[1:-1]
         bits = 0
         if BAD in inside:
             return BAD
         text = self.tidy(inside, bracket)
-        for bit, x in self.shape[bracket]:
-            if x.fullmatch(text):
+        for bit, x, signs in self.shape[bracket]:
+            if (not signs or not text or any(c in text for c in signs)) and x.fullmatch(text):
                 bits |= bit
         return chr(_GROUP[bracket] + bits) if bits or self.trees else BAD
 
@@ -155,7 +163,7 @@ class Language:
     def accepts(self, end: str, folded: str) -> bool:
         if end or BAD in folded:
             return False
-        text = self.tidy(folded, "")
+        text = self.tidy(_REPEATS.sub(r"\1\1", folded), "")
         first, *others = self.cut.split(text) if self.cut else [text]
         return self.firsts[first] == "1" and all(self.rests[x] == "1" for x in others)
 

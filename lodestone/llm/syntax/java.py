@@ -84,9 +84,9 @@ def _make() -> Language:
     })
     del id_
     shape = {
-        "(": [(1, "(?:<EXPRS>)?"), (2, "(?:<PARAM>(?:,<PARAM>)*)?"), (4, "(?:<LOCAL>|<EXPRS>)?;<EXPR>?;<EXPRS>?|(?:m|<ANN>)*<TYPE><ID>:<EXPR>"), (8, "(?:<LOCAL>|<EXPR>)(?:;(?:<LOCAL>|<EXPR>))*;?"), (16, "<TYPE>(?:n<TYPE>)*"), (32, "(?:m|<ANN>)*<TYPE>(?:o<TYPE>)*<ID>"), (64, "(?:<ID>=(?:<INIT>|<ANN>)(?:,<ID>=(?:<INIT>|<ANN>))*|<INIT>|<ANN>)?")],
+        "(": [(1, "(?:<EXPRS>)?"), (2, "(?:<PARAM>(?:,<PARAM>)*)?"), (4, "(?:<LOCAL>|<EXPRS>)?;<EXPR>?;<EXPRS>?|(?:m|<ANN>)*<TYPE><ID>:<EXPR>", ";:"), (8, "(?:<LOCAL>|<EXPR>)(?:;(?:<LOCAL>|<EXPR>))*;?"), (16, "<TYPE>(?:n<TYPE>)*"), (32, "(?:m|<ANN>)*<TYPE>(?:o<TYPE>)*<ID>"), (64, "(?:<ID>=(?:<INIT>|<ANN>)(?:,<ID>=(?:<INIT>|<ANN>))*|<INIT>|<ANN>)?")],
         "[": [(1, "<EXPR>"), (2, "")],
-        "{": [(1, "<STMTS>"), (2, "(?:<MEMBER>)*+"), (4, "(?:(?:<INIT>|<ANN>)(?:,(?:<INIT>|<ANN>))*)?,?"), (8, "(?:(?:<LABELS>)(?::<STMTS>|z(?:<BLOCK>|<EXPR>;|T<EXPR>;)))*"), (16, "(?:<CONSTANT>(?:,<CONSTANT>)*)?,?(?:;(?:<MEMBER>)*+)?")],
+        "{": [(1, "<STMTS>"), (2, "(?:<MEMBER>)*+"), (4, "(?:(?:<INIT>|<ANN>)(?:,(?:<INIT>|<ANN>))*)?,?"), (8, "(?:(?:<LABELS>)(?::<STMTS>|z(?:<BLOCK>|<EXPR>;|T<EXPR>;)))*", "ZD"), (16, "(?:<CONSTANT>(?:,<CONSTANT>)*)?,?(?:;(?:<MEMBER>)*+)?")],
     }
     top = r"(?:(?:<ANN>)*P<ID>(?:\.<ID>)*;|;)?(?:Mm?<ID>(?:\.<ID>)*(?:\.k)?;|;)*(?:<TYPEDECL>|;)*+"
     typeargs = regex.compile(grammar + _calls(r"(?:<TYPEARG>(?:,<TYPEARG>)*)?"), regex.V0)
