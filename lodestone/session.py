@@ -6,8 +6,10 @@ executor can read that folder, so a lost executor costs a retry of one task and
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,27 @@ def release(df: DataFrame | None) -> None:
         if "/lodestone/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, unless their workers find it by themselves: on the path
+    that they inherit, or in the folder that a local session works in."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    on_path = root in (os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)
+    in_place = spark.sparkContext.master.startswith("local[") and os.getcwd() == root
+    app = spark.sparkContext.applicationId
+    if on_path or in_place or app in _SHIPPED:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
