@@ -198,7 +198,8 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         labels = new.select("node", "label")
         if moved:
             break
-    return labels.select("node", F.min("node").over(Window.partitionBy("label")).alias("community"))
+    named = labels.groupBy("label").agg(F.min("node").alias("community"))
+    return labels.join(named, "label").select("node", "community")
 
 
 def feedback_order(pdf: pd.DataFrame) -> pd.DataFrame:

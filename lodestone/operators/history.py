@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,5 +69,7 @@ def churn_windows(commits: DataFrame, length: str = "1 day") -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key: an upsert's outcome."""
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__k = 1").drop("__k")
+    """The row with the largest ``order`` of each key: an upsert's outcome, as one partial maximum per key and task."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    top = df.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("top"))
+    return top.select(key, "top.*").select(*df.columns)

@@ -140,8 +140,8 @@ def g5_dead_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g8_scc(spark: SparkSession, d: str) -> DataFrame:
-    x = G.components_strong(R.calls(spark, d))
-    return x.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("scc")))
+    x = materialize(G.components_strong(R.calls(spark, d)), "scc")
+    return x.join(x.groupBy("scc").agg(F.count(F.lit(1)).alias("size")), "scc").select("node", "scc", "size")
 
 
 def g7_cycles(spark: SparkSession, d: str) -> DataFrame:
@@ -183,10 +183,10 @@ def g15_explain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g19_impact_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Each dependent under one parent, in the order of its path."""
+    """Each dependent under one parent, with the path whose order is that of the tree."""
     e = materialize(R.calls(spark, d), "calls")
     p = G.shortest_paths(e, hottest_target(e))
-    return p.select("node", F.element_at("path", -2).alias("parent"), "depth", F.row_number().over(Window.orderBy("path")).alias("place"))
+    return p.select("node", F.element_at("path", -2).alias("parent"), "depth", F.array_join("path", " < ").alias("place"))
 
 
 def g16_blast_radius(spark: SparkSession, d: str) -> DataFrame:
