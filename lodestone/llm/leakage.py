@@ -29,7 +29,7 @@ LEAST_WORDS = 15
 BROADCAST_ITEMS = 5_000
 
 _OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
-_BLANK_ESCAPE = re.compile(r"\\+[nrtfv](?![a-z]{2}[\\/])")
+_BLANK_ESCAPE = re.compile(r"\\+[nrtfv]")
 _CODE_ESCAPE = re.compile(r"\\+u([0-9a-fA-F]{4})|\\+x([0-9a-fA-F]{2})")
 _BLOCK_TAG = re.compile(r"</?(?:br|p|li|ul|ol|div|tr|td|th|h[1-6]|blockquote|pre)\b[^<>]{0,200}>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--|-->")

@@ -47,7 +47,7 @@ _QUICK_TOKEN = (
 
 # fixed values: classes of words; any other word is "a"
 _WORDS = {
-    **dict.fromkeys(("var", "let", "const"), "V"), "function": "F", "class": "K", "extends": "X", "import": "M", "export": "G", "default": "D", "return": "R", "throw": "T",
+    **dict.fromkeys(("var", "let"), "V"), "const": "\x06", "function": "F", "class": "K", "extends": "X", "import": "M", "export": "G", "default": "D", "return": "R", "throw": "T",
     **dict.fromkeys(("break", "continue"), "B"), "if": "I", "else": "E", "while": "W", "do": "J", "for": "O", "try": "Y", "catch": "C", "finally": "L", "switch": "S", "case": "Z", "new": "N",
     "async": "H", "of": "f", **dict.fromkeys(("in", "instanceof"), "h"), **dict.fromkeys(("get", "set", "static"), "g"), "from": "w", "as": "P", "debugger": "b",
     **dict.fromkeys(("typeof", "void", "delete", "await", "yield"), "U"),
@@ -64,7 +64,7 @@ _OPS |= dict.fromkeys(("+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**=", "&
 
 _TYPEARGS = "\x03"
 _IDENT = "[aHgfwPkjyx24c]"
-_NAME = "[aHgfwPkjyx24cAVFKXMGDRTBIEWOJYCLSZNUhb]"
+_NAME = "[aHgfwPkjyx24cAV\x06FKXMGDRTBIEWOJYCLSZNUhb]"
 
 
 def _classify(words: dict[str, str], language):
@@ -128,7 +128,7 @@ def _grammar(ts: bool) -> str:
     if ts:
         parts |= {
             "SHAPE": b(32), "ENUM": b(64), "TPAREN": p(8), "TUPLE": s(4), "SIGN": s(8), "GEN": _TYPEARGS,
-            "T1": r"(?:<GEN>?<PARAMS>z|N<GEN>?<PARAMS>z)*k*(?:<ID>|[0stV]|U<ID>?|p0|<TUPLE>|<SHAPE>|<TPAREN>|M<ARGS>)(?:d|<TUPLE>|<GEN>)*",
+            "T1": r"(?:<GEN>?<PARAMS>z|N<GEN>?<PARAMS>z)*k*(?:<ID>|[0st\x06]|U<ID>?|p0|<TUPLE>|<SHAPE>|<TPAREN>|M<ARGS>)(?:d|<TUPLE>|<GEN>)*",
             "T2": r"[vn]?<T1>(?:[vn]<T1>)*",
             "TYPE": r"(?:k?<ID>j)?<T2>(?:X<T2>q<TYPE>:<TYPE>)?",
             "TYPEARG": r"k?(?:<ID>X<TYPE>|<TYPE>)(?:=<TYPE>)?",
@@ -149,7 +149,8 @@ def _grammar(ts: bool) -> str:
         "END": r"(?:[;\n]|$)",
         "TARGET": r"<ID>|<LIST>|<OBJECT>",
         "BIND": r"(?:<ID>" + pick("u?") + of + r"(?:=<EXPR>)?|(?:<LIST>|<OBJECT>)" + of + "=<EXPR>)",
-        "VAR": r"V<BIND>(?:,<BIND>)*",
+        "CBIND": r"(?:<TARGET>)" + of + r"=<EXPR>",
+        "VAR": r"V<BIND>(?:,<BIND>)*|\x06<CBIND>(?:,<CBIND>)*",
         "KEY": r"<NAME>|[s0]|<INDEX>",
         "PROP": rf"e<EXPR>|(?:[gH]|m|Hm)?(?:<KEY>){gen}<PARAMS>{of}<BLOCK>|(?:<KEY>):<EXPR>|<ID>(?:=<EXPR>)?",
         "PARAM": r"<DECO>" + pick("[4k]*") + r"e?(?:<TARGET>)" + pick("q?") + of + r"(?:=<EXPR>)?",
@@ -159,9 +160,9 @@ def _grammar(ts: bool) -> str:
         "IMPORT": r"M(?:s|" + pick("y?") + r"(?:<ID>|<SPECS>|mP<ID>|<ID>,(?:<SPECS>|mP<ID>))<WAY>)<END>" + pick(r"|M<ID>=<EXPR><END>"),
         "FUNCDECL": rf"H?Fm?<ID>{gen}<PARAMS>{of}(?:<BLOCK>" + pick("|<END>") + ")",
         "CLASSDECL": r"<DECO>" + pick("[42]*") + rf"K<ID>{gen}<BASE><BODY>",
-        "TSDECL": r"2*x<ID><GEN>?(?:X<TYPE>(?:,<TYPE>)*)?<SHAPE>|2*y<ID><GEN>?=<TYPE><END>|[2V]*A<ID><ENUM>|2+(?:<ID>d*|s)<BLOCK>|2(?:<VAR><END>|<FUNCDECL>)" if ts else "(?!)",
-        "DECL": r"<FUNCDECL>|<CLASSDECL>|<TSDECL>|<VAR><END>",
-        "EXPORT": rf"G(?:D(?:H?Fm?{gen}<PARAMS>{of}<BLOCK>|K<BASE><BODY>|<DECL>|<EXPR><END>)|<DECL>|" + pick("y?") + r"(?:m(?:P<NAME>)?<WAY>|<SPECS>(?:<WAY>)?)<END>" + pick(r"|=<EXPR><END>") + ")",
+        "TSDECL": r"2*x<ID><GEN>?(?:X<TYPE>(?:,<TYPE>)*)?<SHAPE>|2*y<ID><GEN>?=<TYPE><END>|[2V\x06]*A<ID><ENUM>|2+(?:<ID>d*|s)<BLOCK>|2(?:(?:<VAR>)<END>|\x06<BIND>(?:,<BIND>)*<END>|<FUNCDECL>)" if ts else "(?!)",
+        "DECL": r"<FUNCDECL>|<CLASSDECL>|<TSDECL>|(?:<VAR>)<END>",
+        "EXPORT": rf"G(?:D(?:H?Fm?{gen}<PARAMS>{of}<BLOCK>|K<BASE><BODY>|<DECL>|<EXPR><END>)|<DECL>|" + pick("y?") + r"(?:m(?:P<NAME>)?<WAY>|<SPECS>(?:<WAY>)?)<END>" + pick(r"|=<EXPR><END>|\x06<ID>:<TYPE><END>") + ")",
         "PREFIX": r"I<ARGS>\n?|E\n?|W<ARGS>(?=.)\n?|OU?<HEAD>\n?|J\n?|<ID>:\n?",
         "SIMPLE": r"[;\n]|<BLOCK>|<DECL>|<IMPORT>|<EXPORT>|R(?:<EXPRS>)?<END>|T<EXPRS><END>|B<ID>?<END>|Y<BLOCK>\n?(?:C<PARAMS>?<BLOCK>\n?L<BLOCK>|C<PARAMS>?<BLOCK>|L<BLOCK>)|S<ARGS><CASES>|W<ARGS><END>|(?![\ue200-\ue2ff])<EXPRS><END>",
         "STMT": r"(?:<PREFIX>)*(?:<SIMPLE>)",
@@ -196,7 +197,7 @@ def _make(ts: bool) -> Language:
     grammar = _grammar(ts)
     of = "(?::<TYPE>)?" if ts else ""
     shape = {
-        "(": [(1, r"(?:e?<EXPR>(?:,e?<EXPR>)*,?)?"), (2, r"(?:<PARAM>(?:,<PARAM>)*,?)?"), (4, rf"(?:<VAR>|<EXPRS>)?;(?:<EXPRS>)?;(?:<EXPRS>)?|V(?:<TARGET>){of}[hf]<EXPRS>|<EXPR>f<EXPRS>|<EXPR>", ";fh")],
+        "(": [(1, r"(?:e?<EXPR>(?:,e?<EXPR>)*,?)?"), (2, r"(?:<PARAM>(?:,<PARAM>)*,?)?"), (4, rf"(?:<VAR>|<EXPRS>)?;(?:<EXPRS>)?;(?:<EXPRS>)?|[V\x06](?:<TARGET>){of}[hf]<EXPRS>|<EXPR>f<EXPRS>|<EXPR>", ";fh")],
         "[": [(1, r"(?:e?<EXPR>)?(?:,(?:e?<EXPR>)?)*"), (2, "<EXPRS>")],
         "{": [(1, "<STMTS>"), (2, r"(?:(?:<PROP>)(?:,(?:<PROP>))*,?)?"), (4, r"(?:<MEMBER>)*+"), (8, r"\n*(?:(?:Z<EXPRS>|D):<STMTS>)*+", "ZD"), (16, r"(?:<SPEC>(?:,<SPEC>)*,?)?")],
     }
@@ -224,7 +225,7 @@ def _make(ts: bool) -> Language:
         return generics(c) if ts and "l" in c and "r" in c else c
 
     made: list[Language] = []
-    made.append(Ecma("typescript" if ts else "javascript", _TOKEN, _classify(_TS_WORDS if ts else _WORDS, lambda: made[0]), grammar, shape, "<STMTS>", tidy, opens={"\x01": "template", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "template": (r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`", "t")}, cut=r"(?<=;)(?![EW\n;])|(?<=\n)(?=[VFKGM])", quick=(_maybe_regex, _QUICK_TOKEN)))
+    made.append(Ecma("typescript" if ts else "javascript", _TOKEN, _classify(_TS_WORDS if ts else _WORDS, lambda: made[0]), grammar, shape, "<STMTS>", tidy, opens={"\x01": "template", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "template": (r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`", "t")}, cut=r"(?<=;)(?![EW\n;])|(?<=\n)(?=[V\x06FKGM])", quick=(_maybe_regex, _QUICK_TOKEN)))
     return made[0]
 
 

@@ -13,7 +13,7 @@ _TOKEN = (
 )
 # fixed values: classes of words and signs
 _WORDS = {
-    "package": "P", "import": "M", "func": "F", "var": "V", "const": "V", "type": "y", "struct": "S", "interface": "x", "map": "m", "chan": "h", "if": "I", "else": "E", "for": "O", "range": "R",
+    "package": "P", "import": "M", "func": "F", "var": "V", "const": "c", "type": "y", "struct": "S", "interface": "x", "map": "m", "chan": "h", "if": "I", "else": "E", "for": "O", "range": "R",
     "switch": "W", "case": "Z", "default": "D", "select": "L", "return": "T", "go": "G", "defer": "G", "break": "B", "continue": "B", "goto": "B", "fallthrough": "f",
 }
 _OPS = {":=": "~", "=": "=", "+": "p", "-": "p", "^": "p", "*": "k", "&": "n", "!": "u", "<-": "w", "++": "i", "--": "i", "...": "e", ".": ".", ",": ",", ";": ";", ":": ":", "~": "t", "\n": "\n"}
@@ -68,12 +68,14 @@ def _make() -> Language:
         "SIMPLE": "<EXPRS>(?:[~=]<EXPRS>|i)?",
         "HEAD": "<HEADS>(?:[~=]<HEADS>|i)?",
         "SPEC": "a(?:,a)*<TYPE>?(?:=<EXPRS>)?",
+        "VARSPEC": "a(?:,a)*(?:<TYPE>(?:=<EXPRS>)?|=<EXPRS>)",
+        "CONSTSPEC": "a(?:,a)*<TYPE>?=<EXPRS>",
         "TYPESPEC": "a<GENERIC>?=?<TYPE>",
         "IMPORTSPEC": r"[a.]?s",
         "IF": "I(?:<HEAD>?;)?<HEADX><BLOCK>(?:E(?:<IF>|<BLOCK>))?",
         "FOR": "O(?:<HEAD>?;<HEADX>?;<HEAD>?|(?:<HEADS>[~=])?R<HEADX>|<HEADX>)?<BLOCK>",
         "SWITCH": "W(?:<HEAD>?;)?(?:<HEAD>)?<CASES>|L<CASES>",
-        "DECL": "V(?:<SPEC>|<SPECS>)|y(?:<TYPESPEC>|<SPECS>)",
+        "DECL": "V(?:<VARSPEC>|<SPECS>)|c(?:<CONSTSPEC>|<SPECS>)|y(?:<TYPESPEC>|<SPECS>)",
         "STMT": "<BLOCK>|<IF>|<FOR>|<SWITCH>|<DECL>|T<EXPRS>?|G<EXPR>|Ba?|f|a:<STMT>|<SIMPLE>|",
         "STMTS": "(?:<STMT>)(?:;(?:<STMT>))*",
         "FUNC": "F<PARAMS>?a<GENERIC>?<PARAMS><RESULT>?<BLOCK>?",
@@ -87,7 +89,7 @@ def _make() -> Language:
         "{": [(1, "<STMTS>"), (2, "(?:<FIELD>)(?:;(?:<FIELD>))*"), (4, "(?:<METHOD>)(?:;(?:<METHOD>))*"), (8, "(?:(?:<EXPR>|<VALUES>)(?::(?:<EXPR>|<VALUES>))?(?:,(?:<EXPR>|<VALUES>)(?::(?:<EXPR>|<VALUES>))?)*,?)?"), (16, "(?:(?:Z(?:<SIMPLE>)|D):<STMTS>)*")],
     }
     top = "Pa;(?:M(?:<IMPORTSPEC>|<SPECS>);)*(?:(?:<FUNC>|<DECL>)?;)*"
-    return Language("go", _TOKEN, _classify, grammar, shape, top, opens={"\x01": "raw", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "raw": (r"[^`]*`", "s")}, after=_semicolons, cut=r"(?<=;)(?=[FVy])", rest="(?:(?:<FUNC>|<DECL>)?;)*")
+    return Language("go", _TOKEN, _classify, grammar, shape, top, opens={"\x01": "raw", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "raw": (r"[^`]*`", "s")}, after=_semicolons, cut=r"(?<=;)(?=[FVcy])", rest="(?:(?:<FUNC>|<DECL>)?;)*")
 
 
 GO = _make()

@@ -13,7 +13,7 @@ GOOD = {
         "const f = async (a, b = 2) => ({ ...a, [b]: 1, get c() { return 1 } });\n!function () {}();\n",
     ],
     "typescript": [
-        "", "interface A<T extends object = {}> extends B, C<T> { readonly a?: string; [k: string]: unknown; (x: number): void; m?<U>(u: U): U }\n", "type U = | 'a' | 1 | { [K in keyof T]?: T[K] } | (new () => X)[];\n", "export abstract class A<T> implements I<T>, J { private readonly x: Map<string, T[]> = new Map(); constructor(public a: string, b?: number) { super() } abstract m(): void; get v(): T | undefined { return this.x!.get('k') as T } }\n",
+        "", "interface A<T extends object = {}> extends B, C<T> { readonly a?: string; [k: string]: unknown; (x: number): void; m?<U>(u: U): U }\n", "declare const q: number;\nexport const enum Z { A }\nfor (const a of b) c(a);\n", "type U = | 'a' | 1 | { [K in keyof T]?: T[K] } | (new () => X)[];\n", "export abstract class A<T> implements I<T>, J { private readonly x: Map<string, T[]> = new Map(); constructor(public a: string, b?: number) { super() } abstract m(): void; get v(): T | undefined { return this.x!.get('k') as T } }\n",
         "enum E { A = 1, B = 'x', }\ndeclare module 'm' { export const x: number }\nfunction isA(x: unknown): x is A { return a < b && c > d }\nexport const F = { a: /x/ } as const;\nimport type { T } from './t';\nconst f = <T,>(x: T): Promise<Array<[T, number]>> => g<T>(x);\n",
     ],
     "go": ["package a\n", "package a\n\nimport (\n\t\"fmt\"\n\tx \"y\"\n)\n\nvar _ = map[string][]int{\"a\": {1, 2}, \"b\": nil}\n\ntype T[K comparable, V any] struct {\n\tA, B int `json:\"a\"`\n\t*E\n}\n\nfunc (t *T[K, V]) F(a int, bs ...string) (n int, err error) {\n\tfor i := range bs {\n\t\tif v, ok := t.m[i]; ok && v > 1 {\n\t\t\tcontinue\n\t\t} else if !ok {\n\t\t\tgo func() { defer close(c) }()\n\t\t}\n\t}\n\tswitch x := y.(type) {\n\tcase int, *T:\n\t\tfallthrough\n\tdefault:\n\t}\n\tselect {\n\tcase v := <-ch:\n\t\tch <- v\n\t}\n\treturn a<<1 &^ 2, nil\n}\n"],
@@ -22,9 +22,9 @@ GOOD = {
 }
 BAD = {
     "python": ["def (:\n", "x = (\n", "<<<<<<< HEAD\nx = 1\n", "  x\n y\n", "x = 1\0"],
-    "javascript": ["const x =\n", "function f( {\n", "import { a\n", "}\n", "<<<<<<< HEAD\na()\n=======\n", "package org.a.b;\n", "[section]\nname = shared lease\n", "{\"a\": 1}\n", "const s = 'open\n", "/* open", "let x: number = 1;\n", "export\n", "x = `a${ b\n"],
-    "typescript": ["const x: Map<string,\n", "interface A {\n", "type X =\n", "/** open\n", "import os\nimport sys\n"],
-    "go": ["", "// only\n", "package a.b\n", "package a\nfunc f( {\n", "package a\nvar x =\n", "package a\ntype T struct\n", "package a\n>>>>>>> x\n", "package a\nx := 1\n"],
+    "javascript": ["const x =\n", "const x\n", "function f( {\n", "import { a\n", "}\n", "<<<<<<< HEAD\na()\n=======\n", "package org.a.b;\n", "[section]\nname = shared lease\n", "{\"a\": 1}\n", "const s = 'open\n", "/* open", "let x: number = 1;\n", "export\n", "x = `a${ b\n"],
+    "typescript": ["const x: Map<string,\n", "const x: T\n", "interface A {\n", "type X =\n", "/** open\n", "import os\nimport sys\n"],
+    "go": ["", "// only\n", "package a.b\n", "package a\nfunc f( {\n", "package a\nvar x =\n", "package a\nvar x\n", "package a\nconst x\n", "package a\ntype T struct\n", "package a\n>>>>>>> x\n", "package a\nx := 1\n"],
     "java": ["class A {\n", "class A { void m() { int } }\n", "class A { String s = \"open; }\n", "version 1\n", "class A {}\n}\n", "class A { =======\n }\n", "public\n"],
     "rust": ["fn f() -> u8\n", "fn f() { \"open }\n", "let x = 1;\n", "pub\n", "struct S { a: u8, b }\nfn\n", "/* /* */\n", "<<<<<<< a\n", "fn f() { match x { 1 => } }\n"],
 }
