@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,21 +34,57 @@ def windows(files: DataFrame, ident: str, content: str, size: int = 20) -> DataF
     return at.select("file", "at", F.md5(F.concat_ws(" ", F.slice("t", F.col("at"), size))).alias("h"))
 
 
-def clones(files: DataFrame, ident: str, content: str, size: int = 20) -> DataFrame:
-    """(file_a, start_a, file_b, start_b, length): maximal runs of equal windows between a window class's first file and
-    each other place.
+def codes(text: Column) -> Column:
+    """The tokens as a text of one character each: every token but $id and $str is a single sign, and no sign is a letter a or a quote."""
+    return F.concat_ws("", F.transform(tokens(text), lambda t: F.when(t == "$id", "a").when(t == "$str", '"').otherwise(t)))
+
+
+def _common(x: str, y: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(x), len(y)) + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        if x[low:mid] == y[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
 
-    Every window belongs to the class of its hash; the class is represented by its first place, and each other place is
-    linked to it once.  So the number of links is that of the windows, never of their pairs, and no common text loses its
-    link.  Consecutive windows on one diagonal merge into a run (gaps and islands).  Places of one file count as clones of
-    each other when they lie at least a window apart.
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every run as long as the codes of its two files agree to both sides."""
+    for batch in batches:
+        c = {k: batch.column(k).to_pylist() for k in ("start_a", "start_b", "length", "codes_a", "codes_b")}
+        left, right = [], []
+        for a, b, n, x, y in zip(*c.values()):
+            left.append(_common(x[: a - 1][::-1], y[: b - 1][::-1]))
+            right.append(_common(x[a - 1 + n :], y[b - 1 + n :]))
+        starts = [pa.array([at - k for at, k in zip(c[name], left)], pa.int32()) for name in ("start_a", "start_b")]
+        length = pa.array([n + k + m for n, k, m in zip(c["length"], left, right)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("file_a"), starts[0], batch.column("file_b"), starts[1], length], ["file_a", "start_a", "file_b", "start_b", "length"])
+
+
+def clones(files: DataFrame, ident: str, content: str, size: int = 20) -> DataFrame:
+    """(file_a, start_a, file_b, start_b, length): maximal passages of at least ``size`` tokens in common.
+
+    Every window of ``size`` tokens belongs to the class of its hash; the class is represented by its first place, and each
+    other place is linked to it once.  So the number of links is that of the windows, never of their pairs.  Consecutive
+    windows on one diagonal merge into a run (gaps and islands).  Where a third file holds part of the passage, its windows
+    there have another representative and the run comes in pieces; every piece is extended on the two texts until they
+    differ, and pieces of one passage become one row.  So each file with ``size`` tokens in common with another one stands
+    in a row.  Files may be linked through a third one instead of directly.  Places of one file count as clones of each
+    other when they lie at least a window apart.
     """
     w = windows(files, ident, content, size)
     first = w.groupBy("h").agg(F.min(F.struct("file", "at")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
     links = w.join(first, "h").where((F.col("file") != F.col("r.file")) | (F.col("at") - F.col("r.at") >= size)).select(F.col("r.file").alias("file_a"), F.col("r.at").alias("a"), F.col("file").alias("file_b"), F.col("at").alias("b"))
     diagonal = Window.partitionBy("file_a", "file_b", F.col("b") - F.col("a")).orderBy("a")
     runs = links.withColumn("run", F.col("a") - F.row_number().over(diagonal))
-    return runs.groupBy("file_a", "file_b", (F.col("b") - F.col("a")).alias("shift"), "run").agg(F.min("a").alias("start_a"), F.min("b").alias("start_b"), (F.count(F.lit(1)) + size - 1).alias("length")).select("file_a", "start_a", "file_b", "start_b", "length")
+    pieces = runs.groupBy("file_a", "file_b", (F.col("b") - F.col("a")).alias("shift"), "run").agg(F.min("a").alias("start_a"), F.min("b").alias("start_b"), (F.count(F.lit(1)) + size - 1).alias("length")).drop("shift", "run")
+    texts = files.where(F.col(content).isNotNull()).select(F.col(ident), codes(F.col(content)).alias("codes"))
+    both = pieces.join(texts.select(F.col(ident).alias("file_a"), F.col("codes").alias("codes_a")), "file_a").join(texts.select(F.col(ident).alias("file_b"), F.col("codes").alias("codes_b")), "file_b")
+    kind = both.schema["file_a"].dataType.simpleString()
+    return both.mapInArrow(_extend, f"file_a {kind}, start_a int, file_b {kind}, start_b int, length bigint").distinct()
 
 
 def decision_lines(docs: DataFrame, ident: str, text: str) -> DataFrame:

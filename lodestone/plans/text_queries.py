@@ -30,7 +30,7 @@ def d2_repeated_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d3_clones(spark: SparkSession, d: str) -> DataFrame:
-    return T.clones(_contents(spark, d), "file_id", "content").where("length >= 60")
+    return T.clones(_contents(spark, d), "file_id", "content", 60)
 
 
 def a23_clone_totals(spark: SparkSession, d: str) -> DataFrame:

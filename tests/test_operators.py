@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -74,6 +75,22 @@ def test_clones_link_each_place_once(spark):
     assert got[(1, 2, 1, 1)] == n and got[(1, 3, 1, 1)] == n and (2, 3, 1, 1) not in got
 
 
+def test_a_third_file_cuts_no_clone(spark):
+    """Brute force over all pairs: a short first file that holds the middle of a long pair's passage."""
+    r = random.Random(4)
+    body = [r.choice("+-*/%()[]{}<>=!&|^~?:.,") for _ in range(110)]
+    other = lambda seed, n: [random.Random(seed).choice("0123456789") for _ in range(n)]
+    rows = {1: body[30:80], 2: other(2, 7) + body + other(3, 5), 3: other(4, 3) + body + other(5, 9), 4: other(6, 70), 5: body[:62] + other(7, 20)}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "id int, content string")
+    got = {tuple(x) for x in text.clones(df, "id", "content", 60).select("file_a", "start_a", "file_b", "start_b", "length").collect()}
+    assert (2, 8, 3, 4, 110) in got
+    share = lambda a, b: {tuple(a[i : i + 60]) for i in range(len(a) - 59)} & {tuple(b[i : i + 60]) for i in range(len(b) - 59)}
+    want = {a for a in rows for b in rows if a != b and share(rows[a], rows[b])}
+    assert {x for g in got for x in (g[0], g[2])} == want
+    short = {tuple(x) for x in text.clones(df, "id", "content", 20).select("file_a", "start_a", "file_b", "start_b", "length").collect()}
+    assert (2, 8, 3, 4, 110) in short and (1, 1, 2, 38, 50) in short
+
+
 def test_decisions(spark):
     df = spark.createDataFrame([(1, "Use the cache because it is fast\nmisuse of causes\n# x"), (2, None), (3, "")], "id int, text string")
     assert [(r.id, r.line) for r in text.decision_lines(df, "id", "text").collect()] == [(1, "Use the cache because it is fast")]
