@@ -55,7 +55,7 @@ class Engine:
         live = G.reach(self.edges, entries).select("node").union(entries)
         return self.nodes().join(live, "node", "left_anti")
 
-    def cycles(self, max_length: int = 8) -> DataFrame:
+    def cycles(self, max_length: int | None = None) -> DataFrame:
         return G.simple_cycles(self.edges, max_length)
 
     def hotspots(self, n: int = 10) -> DataFrame:

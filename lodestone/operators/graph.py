@@ -139,18 +139,20 @@ def components_strong(edges: DataFrame, pairs: DataFrame | None = None) -> DataF
     return nodes_of(edges).join(best, F.col("node") == F.col("src"), "left").select("node", F.least("node", F.coalesce("m", "node")).alias("scc"))
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """(cycle, length): elementary circuits of up to ``max_length`` nodes, each once, from its smallest node on.
+def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """(cycle, length): all elementary circuits, each once, from its smallest node on.
 
     Only edges inside a strongly connected component can lie on one; paths start at their smallest node and never return to
-    a node they hold.  The number of circuits can be exponential, hence the bound on their length."""
+    a node they hold, so the loop ends with the longest path.  The number of circuits can be exponential; who can do with
+    the short ones sets ``max_length``, the most nodes of a circuit."""
     e = materialize(clean(edges), "edges")
     scc = components_strong(e)
     inner = e.join(scc.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src").join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst").where("a = b").select("src", "dst")
     inner = materialize(inner, "inner")
     paths = inner.where(F.col("src") <= F.col("dst")).select(F.array("src").alias("path"), F.col("dst").alias("at"))
-    found = None
-    for _ in range(max_length):
+    found, length = None, 0
+    while max_length is None or length < max_length:
+        length += 1
         paths = materialize(paths, "cycle-paths")
         done = paths.where(F.col("at") == F.col("path")[0]).select(F.col("path").alias("cycle"))
         found = done if found is None else found.unionByName(done)

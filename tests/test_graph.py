@@ -78,6 +78,25 @@ def test_cycles_once_each(spark):
     assert G.simple_cycles(edges(spark, [("a", "b"), ("b", "c")])).count() == 0
 
 
+def test_long_cycles_are_found(spark):
+    """A ring of 12 with a short cut, against all circuits by depth-first search."""
+    pairs = [(f"n{i:02d}", f"n{(i + 1) % 12:02d}") for i in range(12)] + [("n03", "n06"), ("n06", "n05"), ("x", "x")]
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    want, todo = set(), [(a,) for a in out]
+    while todo:
+        path = todo.pop()
+        for x in out[path[-1]]:
+            if x == path[0]:
+                want.add(path)
+            elif x > path[0] and x not in path:
+                todo.append((*path, x))
+    got = [tuple(r["cycle"]) for r in G.simple_cycles(edges(spark, pairs)).collect()]
+    assert max(map(len, want)) == 12 and sorted(got) == sorted(want)
+    assert {len(r["cycle"]) for r in G.simple_cycles(edges(spark, pairs), max_length=2).collect()} == {1, 2}
+
+
 def test_components_and_back_edges(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")])
     assert {(r.node, r.scc) for r in G.components_strong(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e")}
