@@ -1,6 +1,7 @@
 import json
 import os
 
+from lodestone.plans import source_queries
 from lodestone.sources import config, git_text, line_sources, python_source, registry, scan
 
 
@@ -115,3 +116,12 @@ def test_config(spark, tmp_path):
     assert sorted(r.name for r in config.load_workspace(spark, str(tmp_path / "w.json")).collect()) == ["one", "two"]
     (tmp_path / "e.json").write_text("{}")
     assert config.load_workspace(spark, str(tmp_path / "e.json")) is None
+
+
+def test_snapshots_hold_the_whole_log(spark, tmp_path):
+    """Large ids, ids against the order of time, events at the middle itself."""
+    rows = [(9_000, 10, 1), (9_001, 20, 1), (8_000, 90, 1), (9_002, 10, 2), (9_003, 50, 3), (9_004, 51, 4), (9_005, 50, 5), (7_000, 60, 5), (9_006, 90, 6)]
+    values = ", ".join(f"({i}L, 1L, timestamp_seconds({t}), 'view', 1.0D, '{{\"k\": {k}}}')" for i, t, k in rows)
+    spark.sql(f"SELECT * FROM VALUES {values} AS t(event_id, user_id, ts, event_type, value, props)").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.path: r.change for r in source_queries.t2_snapshot_diff(spark, str(tmp_path)).collect()}
+    assert got == {"src/f1.py": "modified", "src/f4.py": "added", "src/f5.py": "modified", "src/f6.py": "added"}
