@@ -163,23 +163,26 @@ def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     return found.withColumn("length", F.size("cycle"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after a fixed number of rounds from the uniform start; the mass of nodes without an out-edge is spread
-    over all.  Contributions are summed per node map-side before they are shuffled, so a hot node receives one partial sum
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank) from the uniform start, until a round changes all ranks together by less than ``tolerance`` a node, or
+    after ``rounds``; the mass of nodes without an out-edge is spread over all.  Contributions are summed per node map-side before they are shuffled, so a hot node receives one partial sum
     per task."""
     e = clean(edges)
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     weighted = materialize(e.join(out, "src"), "weighted")
     all_nodes = materialize(nodes_of(e).join(out.select(F.col("src").alias("node"), "n"), "node", "left"), "nodes")
     size = max(all_nodes.count(), 1)
-    ranks = all_nodes.select("node", "n", F.lit(1.0 / size).alias("rank"))
+    ranks = all_nodes.select("node", "n", F.lit(1.0 / size).alias("rank"), F.lit(1.0 / size).alias("was"))
     for _ in range(rounds):
         lost = ranks.where("n IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = weighted.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        step = all_nodes.join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row
+        step = ranks.select("node", "n", F.col("rank").alias("was")).join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row
         old = ranks
-        ranks = materialize(step.select("node", "n", (F.lit((1 - damping) / size) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / size)).alias("rank")), "ranks")
+        ranks = materialize(step.select("node", "n", (F.lit((1 - damping) / size) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / size)).alias("rank"), "was"), "ranks")
         release(old if old.inputFiles() and "ranks-" in old.inputFiles()[0] else None)
+        moved = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        if moved is None or moved < size * tolerance:
+            break
     return ranks.select("node", "rank")
 
 

@@ -168,7 +168,7 @@ def g11_split_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g12_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return G.pagerank(R.calls(spark, d), rounds=10).select("node", F.round("rank", 6).alias("rank"))
+    return G.pagerank(R.calls(spark, d)).select("node", F.round("rank", 6).alias("rank"))
 
 
 def g13_communities(spark: SparkSession, d: str) -> DataFrame:

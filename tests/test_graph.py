@@ -112,6 +112,31 @@ def test_pagerank_keeps_its_mass(spark):
     assert r.orderBy(F.desc("rank")).first()["node"] == "c"
 
 
+def test_pagerank_goes_on_to_the_tolerance(spark, tmp_path):
+    """The query against plain iteration until all ranks together change by less than 1e-6 a node."""
+    from lodestone import relations as R
+    from lodestone.plans import graph_queries
+
+    pairs = [(i, 9 if i > 9 else i + 1) for i in range(1, 14)] + [(9, 8)]
+    rows = ", ".join(f"({a}L, {b}L, {a}L, 1)" for a, b in pairs if (a, b) != (9, 10))
+    spark.sql(f"SELECT * FROM VALUES {rows} AS t(l_partkey, l_suppkey, l_orderkey, l_linenumber)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = [tuple(r) for r in R.calls(spark, str(tmp_path)).collect()]
+    nodes = {x for p in pairs for x in p}
+    rank, rounds = dict.fromkeys(nodes, 1 / len(nodes)), 0
+    while True:
+        rounds += 1
+        got, out = dict.fromkeys(nodes, 0.0), {a for a, _ in pairs}
+        for a, b in pairs:
+            got[b] += rank[a] / sum(x == a for x, _ in pairs)
+        lost = sum(r for x, r in rank.items() if x not in out)
+        new = {x: 0.15 / len(nodes) + 0.85 * (got[x] + lost / len(nodes)) for x in nodes}
+        moved, rank = sum(abs(new[x] - rank[x]) for x in nodes), new
+        if moved < len(nodes) * 1e-6:
+            break
+    assert 10 < rounds < 100
+    assert {r.node: r["rank"] for r in graph_queries.g12_pagerank(spark, str(tmp_path)).collect()} == {x: round(r, 6) for x, r in rank.items()}
+
+
 def test_communities_of_two_cliques(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(4) for j in range(i)]
     got = {r.node: r.community for r in G.label_communities(edges(spark, clique("a") + clique("b") + [("a0", "b0")])).collect()}
