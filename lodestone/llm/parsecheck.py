@@ -1,99 +1,161 @@
 """Source files that don't parse.
 
-A file up to ``CHUNK`` characters is one chunk: its text becomes token classes, balanced brackets fold bottom-up by the
-local grammars of their language, and the statements that remain are parsed (see ``syntax.engine``).  A longer file is cut
-at line ends into chunks that spread over all tasks; each gives its lexer-state map with a bracket summary per start
-state, and the maps of a file are joined, which is associative, before the statements are parsed.  Python, whose statements
-depend on indentation, is parsed as a whole by its own parser.
+Every file is cut into chunks of a few thousand characters.  A chunk becomes its lexer-state map: for each state in which
+it may begin, the state in which it ends and a bracket summary, the token classes with every balanced group folded by the
+local grammars of the language (see ``syntax.engine``).  Maps of neighbours join associatively, as a tree: first the
+chunks that lie in one task, then, for files longer than ``SPAN``, the spans that were read in different tasks.  What the
+map of a whole file leaves, a line of balanced statements, is parsed at the end.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.syntax.languages import LEXED, body, language_of, valid
+from lodestone.llm.syntax.engine import MARK, ChunkMap
+from lodestone.llm.syntax.languages import LEXED, body, language_of
 from lodestone.tables import table
 
-#: Longer files of bracket languages are checked chunk by chunk.
-CHUNK = 1 << 18
+#: Characters of a chunk.
+CHUNK = 2048
+#: Longer files are read by several tasks, so many characters each.
+SPAN = 1 << 20
+#: Spans that one step of the tree joins.
+FAN_IN = 64
+
+# before a line end that is no continuation, where no regular expression can begin; in a long line behind a sign
+_LINE_END = re.compile(r"(?<!\\)(?<!\\\r)\n(?!\s*/[^/*])")
+_IN_LINE = re.compile(r"(?<=[;,{}()\[\] ])(?=\w)")
+
+
+def chunks(text: str, size: int) -> list[str]:
+    """Pieces of about ``size`` characters.  A piece ends before a line end; in a line four times as long it ends behind a
+    bracket, a separator or a blank, and then with MARK."""
+    out, at = [], 0
+    while len(text) - at > size:
+        far, end = at + 4 * size, -1
+        for m in _LINE_END.finditer(text, at + size, far + 256):
+            if m.start() <= far and _LINE_END.match(text, m.start()):
+                end = m.start()
+                break
+        mark = ""
+        if end < 0:
+            m = _IN_LINE.search(text, at + size)
+            line = _LINE_END.search(text, far, m.start() if m else len(text))
+            end, mark = (line.start(), "") if line else (m.start(), MARK) if m else (len(text), "")
+        out.append(text[at:end] + mark)
+        at = end
+    if at < len(text) or not out:
+        out.append(text[at:])
+    return out
 
 
-def chunks(text: str, size: int) -> Iterator[str]:
-    """Pieces of about ``size`` characters that end at line ends."""
-    at = 0
-    while at < len(text):
-        end = text.find("\n", at + size - 1)
-        end = len(text) if end < 0 else end + 1
-        yield text[at:end]
-        at = end
+def joined(text: str, lang: str, size: int, first: bool = True) -> tuple[ChunkMap, int]:
+    """The map of a text, joined from those of its chunks, and their number."""
+    language = LEXED[lang]
+    maps = [language.summary(c, first and not k) for k, c in enumerate(chunks(text, size))]
+    return language.join_all(maps), len(maps)
+
+
+def parses(content: str, lang: str, size: int = CHUNK) -> tuple[bool, int]:
+    """(whether a whole text is a program, chunks it was joined from)."""
+    whole, n = joined(LEXED[lang].start(body(content, lang)), lang, size)
+    return LEXED[lang].accepts(*whole.entries[""]), n
+
 
+_ROW = "lang string, h bigint, k int, ok boolean, chunks bigint, map string, text string"
 
-def _can_split(text: str, language: str) -> bool:
-    """Templates with substitutions nest code in text, Rust's raw strings have many ends: such files stay whole."""
-    return not (language in ("javascript", "typescript") and "${" in text or language == "rust" and ('r#"' in text or 'r"' in text or "r##" in text))
 
+def _record(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string())
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *columns], ["id", "lang", "h", "k", "ok", "chunks", "map", "text"])
+
+
+def _first(size: int, span: int):
+    """Files of one span are joined and parsed here; longer ones leave their spans as texts."""
 
-def _first(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, index, language, verdict, text = [], [], [], [], []
-            for i, (path, content) in enumerate(zip(b.column("path").to_pylist(), b.column("content").to_pylist())):
+            at, rows = [], []
+            for i, (path, content, h) in enumerate(zip(b.column("path").to_pylist(), b.column("content").to_pylist(), b.column("h").to_pylist())):
                 lang = language_of(path)
                 if lang is None or content is None:
                     continue
-                if lang != "python" and len(content) > size and _can_split(content, lang):
-                    for k, c in enumerate(chunks(body(content, lang), size)):
-                        at.append(i), index.append(k), language.append(lang), verdict.append(None), text.append(c)
+                if len(content) <= span:
+                    ok, n = parses(content, lang, size)
+                    at.append(i), rows.append((lang, h, 0, ok, n, None, None))
                 else:
-                    at.append(i), index.append(0), language.append(lang), verdict.append(valid(content, lang)), text.append(None)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(index, pa.int32()), pa.array(language, pa.string()), pa.array(verdict, pa.bool_()), pa.array(text, pa.string())], ["id", "k", "lang", "ok", "chunk"])
+                    for k, text in enumerate(chunks(LEXED[lang].start(body(content, lang)), span)):
+                        at.append(i), rows.append((lang, h, k, None, 0, None, text))
+            yield _record(b, at, rows)
 
     return run
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk to its lexer-state map; a file's first chunk begins in code."""
-    for b in batches:
-        out = []
-        for k, lang, chunk in zip(b.column("k").to_pylist(), b.column("lang").to_pylist(), b.column("chunk").to_pylist()):
-            out.append(None if chunk is None else json.dumps(LEXED[lang].summary(chunk, None if k else [""])))
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), b.column("lang"), b.column("ok"), pa.array(out, pa.string())], ["id", "k", "lang", "ok", "summary"])
+def _packed(m: ChunkMap) -> str:
+    return json.dumps([m.entries, m.texts])
+
 
+def _spans(size: int):
+    """Each span to its map."""
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = []
-        for lang, done, parts in zip(b.column("lang").to_pylist(), b.column("ok").to_pylist(), b.column("parts").to_pylist()):
-            if done is None:
-                language, whole = LEXED[lang], None
-                for p in sorted(parts, key=lambda p: p["k"]):
-                    step = json.loads(p["summary"])
-                    whole = step if whole is None else language.join(whole, step)
-                end, folded = whole[""]
-                done = language.accepts(end, folded)
-            ok.append(done)
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(ok, pa.bool_())], ["id", "lang", "ok"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {k: b.column(k).to_pylist() for k in ("lang", "h", "k", "ok", "chunks", "text")}
+            rows = []
+            for lang, h, k, ok, n, text in zip(*c.values()):
+                packed = None
+                if text is not None:
+                    m, n = joined(text, lang, size, k == 0)
+                    packed = _packed(m)
+                rows.append((lang, h, k, ok, n, packed, None))
+            yield _record(b, list(range(len(rows))), rows)
+
+    return run
+
+
+def _step(last: bool):
+    """Neighbouring maps of a file joined; in the last step its statements are parsed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {k: b.column(k).to_pylist() for k in ("lang", "h", "k", "ok", "chunks", "maps")}
+            rows = []
+            for lang, h, k, ok, n, maps in zip(*c.values()):
+                packed = None
+                if maps:
+                    language = LEXED[lang]
+                    whole = language.join_all([ChunkMap({s: tuple(e) for s, e in entries.items()}, texts) for entries, texts in (json.loads(m["map"]) for m in sorted(maps, key=lambda m: m["k"]))])
+                    ok, packed = (language.accepts(*whole.entries[""]), None) if last else (None, _packed(whole))
+                rows.append((lang, h, k, ok, n, packed, None))
+            yield _record(b, list(range(len(rows))), rows)
+
+    return run
 
 
-def parse_files(df: DataFrame, ident: str, path: str, content: str, chunk: int = CHUNK) -> DataFrame:
-    """(ident, language, parses) per file whose extension names a known language and whose content isn't null.
+def parse_files(df: DataFrame, ident: str, path: str, content: str, chunk: int = CHUNK, span: int = SPAN, fan_in: int = FAN_IN) -> DataFrame:
+    """(ident, language, parses, chunks) per file whose extension names a known language and whose content isn't null;
+    ``chunks`` is the number of maps that were joined for it.
 
     An empty file, or one with comments only, is a program except in Go.  Repeated deliveries count once.  A file that
     comes with different contents under one id parses only if all do.
     """
     kind = dict(df.dtypes)[ident]
-    rows = df.select(F.col(ident).alias("id"), F.col(path).alias("path"), F.col(content).alias("content"))
-    first = rows.mapInArrow(_first(chunk), f"id {kind}, k int, lang string, ok boolean, chunk string")
-    spread = first.repartition("id", "k")
-    maps = spread.mapInArrow(_summaries, f"id {kind}, k int, lang string, ok boolean, summary string")
-    part = F.when(F.col("summary").isNotNull(), F.struct("k", "summary"))
-    files = maps.groupBy("id").agg(F.first("lang").alias("lang"), F.min("ok").alias("ok"), F.collect_set(part).alias("parts"))
-    return files.mapInArrow(_joined, f"id {kind}, lang string, ok boolean").select(F.col("id").alias(ident), F.col("lang").alias("language"), F.col("ok").alias("parses"))
+    row = f"id {kind}, {_ROW}"
+    rows = df.select(F.col(ident).alias("id"), F.col(path).alias("path"), F.col(content).alias("content"), F.xxhash64(F.col(path), F.col(content)).alias("h"))
+    spread = rows.mapInArrow(_first(chunk, span), row).repartition("id", "h", "k").mapInArrow(_spans(chunk), row)
+    part = F.when(F.col("map").isNotNull(), F.struct("k", "map"))
+    for last in (False, True):  # two steps take fan_in ** 2 spans, more than a row can hold
+        key = F.lit(0) if last else F.floor(F.col("k") / fan_in).cast("int")
+        many = spread.groupBy("id", "lang", "h", key.alias("k")).agg(F.min("ok").alias("ok"), F.sum("chunks").alias("chunks") if not last else F.max("chunks").alias("chunks"), F.collect_set(part).alias("maps"))
+        spread = many.mapInArrow(_step(last), row)
+    return spread.groupBy("id").agg(F.first("lang").alias("language"), F.min("ok").alias("parses"), F.max("chunks").alias("chunks")).select(F.col("id").alias(ident), "language", "parses", "chunks")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

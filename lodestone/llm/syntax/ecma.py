@@ -6,33 +6,29 @@ import re
 
 import regex
 
-from lodestone.llm.syntax.engine import BAD, Language, Memo, _calls, group, rules
+from lodestone.llm.syntax.engine import BAD, MARK, Language, Memo, _calls, group, rules
 
 _BLANK = r"(?:[ \t\r\f\v\xa0\ufeff]+|//[^\n\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/)*+"
 _WORD = r"(?:[A-Za-z_$\u0080-\U0010ffff]|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]+\})(?:[\w$\u200c\u200d]|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]+\})*"
 _TEXT = r""""(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"""
 _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
+_CUT_REGEX = rf"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])*+(?<={MARK})\Z"
 _NUMBER = r"0[xX][0-9A-Fa-f_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?"
-_BEFORE_REGEX = r"(?:=>|[=(,:;!&|?{}\[+\-*%~^<>]|(?<![\w$.])(?:return|typeof|case|in|of|delete|void|throw|new|else|do|yield|await)(?![\w$]))[ \t\r\n]*"
+#: Stands before a regular expression that a chunk's end has cut in two.
+_CUT = "\ufdd1"
+_BEFORE_REGEX = rf"(?:=>|[{_CUT}" r"=(,:;!&|?{}\[+\-*%~^<>]|(?<![\w$.])(?:return|typeof|case|in|of|delete|void|throw|new|else|do|yield|await)(?![\w$]))[ \t\r\n]*"
 
 
-def _template(depth: int) -> str:
-    """A template literal whose substitutions nest templates up to ``depth`` deep."""
-    if not depth:
-        return r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`"
-    flat = rf"[^`{{}}'\"/]|{_TEXT}|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|/|{_template(depth - 1)}"
-    body = rf"(?:{flat}|\{{(?:{flat}|\{{(?:{flat})*\}})*\}})*"
-    return rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{body}\}})*`"
-
-
-_TEMPLATE = _template(2)
+# a template literal without substitutions; those with some are taken apart by ``Ecma.scan``
+_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`"
+_OPEN = r""""(?:[^"\\\n\r]|\\[\s\S])*\Z|'(?:[^'\\\n\r]|\\[\s\S])*\Z"""
 _TOKEN = (
-    rf"{_BLANK}({_BEFORE_REGEX}{_REGEX}|\n|\?\.(?!\d)[ \t]*#?{_WORD}|\.\.\.|\.(?!\d)[ \t\n]*#?{_WORD}|(?:{_NUMBER})(?![\w$])|#?{_WORD}|{_TEXT}|{_TEMPLATE}"
-    r"|`[\s\S]*\Z|/\*[\s\S]*\Z|=>|===|!==|==|!=|\+\+|--|\*\*=?|&&=?|\|\|=?|\?\?=?|\?\.|<<=?|<=|[+\-*/%&|^]=|[\s\S]|\Z)"
+    rf"{_BLANK}({_BEFORE_REGEX}{_REGEX}|{_BEFORE_REGEX}{_CUT_REGEX}|\n|\?\.(?!\d)[ \t]*#?{_WORD}|\.\.\.|\.(?!\d)[ \t\n]*#?{_WORD}|(?:{_NUMBER})(?![\w$])|#?{_WORD}|{_TEXT}|{_TEMPLATE}"
+    rf"|{_OPEN}|`[\s\S]*\Z|/\*[\s\S]*\Z" r"|=>|===|!==|==|!=|\+\+|--|\*\*=?|&&=?|\|\|=?|\?\?=?|\?\.|<<=?|<=|[+\-*/%&|^]=|[\s\S]|\Z)"
 )
 # most texts hold no regular expression: then a slash is a sign, and words can be tried first
 _SLASH = re.compile(r"/(?![*/])")
-_MAY_PRECEDE = frozenset("=(,:;!&|?{}[+-*%~^<> \t\r\n")
+_MAY_PRECEDE = frozenset(_CUT + "=(,:;!&|?{}[+-*%~^<> \t\r\n")
 
 
 def _maybe_regex(text: str) -> bool:
@@ -42,7 +38,7 @@ def _maybe_regex(text: str) -> bool:
 
 _QUICK_TOKEN = (
     rf"[ \t\r]*+{_BLANK}([A-Za-z_$][\w$]*+|\n|[()\[\]{{}};,:]|{_TEXT}|\.(?!\d)[ \t\n]*#?{_WORD}|\?\.(?!\d)[ \t]*#?{_WORD}|\.\.\.|(?:{_NUMBER})(?![\w$])|#?{_WORD}|{_TEMPLATE}"
-    r"|`[\s\S]*\Z|/\*[\s\S]*\Z|=>|===|!==|==|!=|\+\+|--|\*\*=?|&&=?|\|\|=?|\?\?=?|\?\.|<<=?|<=|[+\-*/%&|^]=|[\s\S]|\Z)"
+    rf"|{_OPEN}|`[\s\S]*\Z|/\*[\s\S]*\Z" r"|=>|===|!==|==|!=|\+\+|--|\*\*=?|&&=?|\|\|=?|\?\?=?|\?\.|<<=?|<=|[+\-*/%&|^]=|[\s\S]|\Z)"
 )
 
 # fixed values: classes of words; any other word is "a"
@@ -57,7 +53,7 @@ _TS_WORDS = _WORDS | {
     **dict.fromkeys(("namespace", "module", "declare", "abstract"), "2"), **dict.fromkeys(("public", "private", "protected", "override"), "4"),
 }
 # fixed values: classes of signs
-_OPS = {"=>": "z", "=": "=", "+": "p", "-": "p", "*": "m", "!": "u", "~": "u", "++": "i", "--": "i", "?": "q", ":": ":", ",": ",", ";": ";", "...": "e", "<": "l", ">": "r", "|": "v", "&": "n", "@": "@", "\n": "\n", "?.": "Q"}
+_OPS = {"=>": "z", "=": "=", "+": "p", "-": "p", "*": "m", "!": "u", "~": "u", "++": "i", "--": "i", "?": "q", ":": ":", ",": ",", ";": ";", "...": "e", "<": "l", ">": "r", "|": "v", "&": "n", "@": "@", "\n": "\n", "?.": "Q", _CUT: ""}
 _OPS |= {c: c for c in "()[]{}"}
 _OPS |= dict.fromkeys(("===", "!==", "==", "!=", "**", "&&", "||", "??", "<<", "<=", "/", "%", "^"), "o")
 _OPS |= dict.fromkeys(("+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**=", "&&=", "||=", "??=", "<<="), "=")
@@ -67,7 +63,7 @@ _IDENT = "[aHgfwPkjyx24c]"
 _NAME = "[aHgfwPkjyx24cAV\x06FKXMGDRTBIEWOJYCLSZNUhb]"
 
 
-def _classify(words: dict[str, str], language):
+def _classify(words: dict[str, str]):
     def of(t: str) -> str:
         c = _OPS.get(t) or words.get(t)
         if c is not None:
@@ -77,16 +73,17 @@ def _classify(words: dict[str, str], language):
             return "a"
         if first.isdigit() or first == "." and len(t) > 1 and t[1].isdigit():
             return "0"
-        if first in "\"'" and len(t) > 1 and t[-1] == first:
-            return "s"
+        if first in "\"'":
+            return "s" if len(t) > 1 and t[-1] == first and re.fullmatch(_TEXT, t) else "\x01"
         if first == "`":
-            if len(t) > 1 and re.fullmatch(_TEMPLATE, t):
-                return "t" if "${" not in t or _substitutions_ok(t, language()) else BAD
-            return "\x01"
+            return "t" if len(t) > 1 and re.fullmatch(_TEMPLATE, t) else "\x01"
         if t.startswith("/*"):
             return "\x02"
-        if (m := re.match(_BEFORE_REGEX, t)) and re.fullmatch(_REGEX, t[m.end() :]):
-            return of(m[0].strip()) + "s"
+        if m := re.match(_BEFORE_REGEX, t):
+            if re.fullmatch(_REGEX, t[m.end() :]):
+                return of(m[0].strip()) + "s"
+            if t.endswith(MARK):
+                return "\x01"
         if len(t) > 1 and first in ".?":
             return "d"
         return BAD
@@ -94,26 +91,59 @@ def _classify(words: dict[str, str], language):
     return of
 
 
-_HOLE = re.compile(r"\\[\s\S]|\$\{")
-_INSIDE_HOLE = re.compile(rf"{_TEXT}|{_TEMPLATE}|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|[\s\S]")
+_SKIPPED = rf"{_BEFORE_REGEX}{_REGEX}|{_TEXT}|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
+_SKELETON = re.compile(rf"{_SKIPPED}|(`)")
+_IN_HOLE = re.compile(rf"{_SKIPPED}|[`{{}}]")
+_IN_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
+
+
+def _template_end(text: str, at: int) -> tuple[int, list[str], int]:
+    """(end of the template that begins at ``at`` or -1, all its substitutions, where the outer unfinished one begins or -1).
+
+    The stack holds, for every substitution around, its open braces, its code so far and where that goes on; a template
+    within stands in the code as an empty one, so templates nest to any depth."""
+    stack: list[list] = []
+    holes, start, inside, at = [], -1, True, at + 1
+    while True:
+        m = (_IN_TEMPLATE if inside else _IN_HOLE).search(text, at)
+        if not m:
+            return -1, holes, start if stack else -1
+        t, at = m[0], m.end()
+        if inside:
+            if t == "`":
+                if not stack:
+                    return at, holes, -1
+                stack[-1][2] = at
+                inside = False
+            elif t == "${":
+                if not stack:
+                    start = m.start()
+                stack.append([0, [], at])
+                inside = False
+        elif t == "`":
+            stack[-1][1] += [text[stack[-1][2] : m.start()], "``"]
+            inside = True
+        elif t[0] == "{":
+            stack[-1][0] += 1
+        elif t[0] == "}":
+            if stack[-1][0]:
+                stack[-1][0] -= 1
+            else:
+                _, code, last = stack.pop()
+                inside, at = True, m.start() + 1
+                holes.append("".join(code) + text[last : m.start()])
 
 
-def _substitutions_ok(template: str, language: Language) -> bool:
-    """Every ``${...}`` of a template literal holds an expression."""
-    at = 1
-    while m := _HOLE.search(template, at):
-        at = m.end()
-        if m[0] != "${":
-            continue
-        depth, start = 1, at
-        while depth and at < len(template):
-            t = _INSIDE_HOLE.match(template, at)
-            depth += {"{": 1, "}": -1}.get(t[0], 0)
-            at = t.end()
-        found, end = language.lex("(" + template[start : at - 1] + ")")
-        if end or found == "()" or not re.fullmatch(group("(", 1), language.fold(found)):
-            return False
-    return True
+def _unfinished(classify):
+    def leaves(token: str) -> tuple[str, str, str]:
+        if token[0] in "\"'":
+            return ("", token[0], "") if token.endswith(MARK) else (BAD, "", "")
+        if token[0] == "`" or token.startswith("/*"):
+            return "", token[0] if token[0] == "`" else "/*", ""
+        m = re.match(_BEFORE_REGEX, token)
+        return classify(m[0].strip()), _CUT + token[m.end() :], ""
+
+    return leaves
 
 
 def _grammar(ts: bool) -> str:
@@ -181,6 +211,32 @@ class Ecma(Language):
 
     loose = (2, 16, 64)
 
+    def scan(self, text: str) -> tuple[str, str]:
+        """Code between templates with substitutions is read as usual; every substitution must hold an expression."""
+        if "${" not in text or "`" not in text:
+            return super().scan(text)
+        parts, done, at = [], 0, 0
+        while m := _SKELETON.search(text, at):
+            at = m.end()
+            if m[1] is None:
+                continue
+            found, end = super().scan(text[done : m.start()])
+            if end:
+                break
+            parts.append(found)
+            at, holes, open_ = _template_end(text, m.start())
+            parts.append("t" if all(self.holes[h] for h in holes) else BAD)
+            if at < 0:
+                parts[-1] = parts[-1].replace("t", "")
+                return "".join(parts), "`" if open_ < 0 else "`" + text[open_:]
+            done = at
+        found, end = super().scan(text[done:])
+        return "".join(parts) + found, end
+
+    def _hole(self, code: str) -> str:
+        found, end = self.scan("(" + code + ")")
+        return "1" if not end and found != "()" and re.fullmatch(group("(", 1), self.fold(found)) else ""
+
     def _fold(self, pair: str) -> str:
         if pair[0] != "{" or "\n" not in pair or BAD in pair:
             return super()._fold(pair)
@@ -224,9 +280,11 @@ def _make(ts: bool) -> Language:
                     c, n = _GOES_ON.subn("", c)
         return generics(c) if ts and "l" in c and "r" in c else c
 
-    made: list[Language] = []
-    made.append(Ecma("typescript" if ts else "javascript", _TOKEN, _classify(_TS_WORDS if ts else _WORDS, lambda: made[0]), grammar, shape, "<STMTS>", tidy, opens={"\x01": "template", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "template": (r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`", "t")}, cut=r"(?<=;)(?![EW\n;])|(?<=\n)(?=[V\x06FKGM])", quick=(_maybe_regex, _QUICK_TOKEN)))
-    return made[0]
+    states = {"/*": (r"(?:[^*]|\*(?!/))*\*/(?![ \t]*/[^/*])", ""), "`": (_TEMPLATE[1:], "t")}
+    classify = _classify(_TS_WORDS if ts else _WORDS)
+    made = Ecma("typescript" if ts else "javascript", _TOKEN, classify, grammar, shape, "<STMTS>", _unfinished(classify), states, tidy, cut=r"(?<=;)(?![EW\n;])|(?<=\n)(?=[V\x06FKGM])", quick=(_maybe_regex, _QUICK_TOKEN))
+    made.holes = Memo(made._hole)
+    return made
 
 
 JAVASCRIPT = _make(False)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from lodestone.llm.syntax.engine import BAD, Language, group, rules
+from lodestone.llm.syntax.engine import BAD, MARK, Language, group, rules
 
 _BLANK = r"(?:[ \t\r﻿]+|//[^\n]*)*+"
 _TOKEN = (
     rf"{_BLANK}(\n|/\*(?:[^*]|\*(?!/))*\*/|\.[ \t\n]*[^\W\d]\w*|\.\.\.|0[xX][0-9A-Fa-f_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eEpP][+-]?\d+)?i?(?!\w)|[^\W\d]\w*"
-    r"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^\n]+?)'|`[^`]*`|`[\s\S]*\Z|/\*[\s\S]*\Z|:=|<-|\+\+|--|&&|\|\||&\^=?|<<=?|>>=?|[=!<>]=|[+\-*/%&|^]=|[\s\S]|\Z)"
+    r"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^\n]+?)'|`[^`]*`|\"(?:[^\"\\\n]|\\.)*\Z|`[\s\S]*\Z|/\*[\s\S]*\Z|:=|<-|\+\+|--|&&|\|\||&\^=?|<<=?|>>=?|[=!<>]=|[+\-*/%&|^]=|[\s\S]|\Z)"
 )
 # fixed values: classes of words and signs
 _WORDS = {
@@ -33,21 +33,37 @@ def _classify(t: str) -> str:
         return "0"
     if first == ".":
         return "0" if t[1:2].isdigit() else "d"
-    if first in "\"'`" and len(t) > 1 and t[-1] == first:
+    if first in "\"'`" and len(t) > 1 and t[-1] == first and not (first == '"' and t.endswith('\\"') and not re.fullmatch(_TEXT, t)):
         return "s"
-    if first == "`":
+    if first in "`\"":
         return "\x01"
     if t.startswith("/*"):
         return "\x02" if len(t) < 4 or not t.endswith("*/") else "\n" if "\n" in t else ""
     return BAD
 
 
-_LINE_END = re.compile(r"(?<=[a0sdBfTi)\]}])\n+")
+_TEXT = r"\"(?:[^\"\\\n]|\\.)*\""
+_LINE_END = re.compile(r"(?<=[a0sdBfTi)\]}\ue000-\ue2ff])\n+")
 
 
 def _semicolons(c: str) -> str:
-    """The language's own rule: a line that ends in an operand ends a statement."""
-    return _LINE_END.sub(";", c + "\n" if c[-1:] != "\n" else c).replace("\n", "") if c else c
+    """The language's own rule: a line that ends in an operand ends a statement.  A line end at the very beginning stays,
+    since what it ends is not known."""
+    if "\n" not in c:
+        return c
+    lead = "\n" if c[0] == "\n" else ""
+    return lead + _LINE_END.sub(";", c.lstrip("\n")).replace("\n", "")
+
+
+def _unfinished(token: str) -> tuple[str, str, str]:
+    if token[0] == '"':
+        return ("", '"', "") if token.endswith(MARK) else (BAD, "", "")
+    return "", "`" if token[0] == "`" else "/*", ""
+
+
+class Go(Language):
+    def finish(self, folded: str) -> str:
+        return _semicolons(folded + "\n").lstrip("\n")
 
 
 def _make() -> Language:
@@ -89,7 +105,7 @@ def _make() -> Language:
         "{": [(1, "<STMTS>"), (2, "(?:<FIELD>)(?:;(?:<FIELD>))*"), (4, "(?:<METHOD>)(?:;(?:<METHOD>))*"), (8, "(?:(?:<EXPR>|<VALUES>)(?::(?:<EXPR>|<VALUES>))?(?:,(?:<EXPR>|<VALUES>)(?::(?:<EXPR>|<VALUES>))?)*,?)?"), (16, "(?:(?:Z(?:<SIMPLE>)|D):<STMTS>)*")],
     }
     top = "Pa;(?:M(?:<IMPORTSPEC>|<SPECS>);)*(?:(?:<FUNC>|<DECL>)?;)*"
-    return Language("go", _TOKEN, _classify, grammar, shape, top, opens={"\x01": "raw", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "raw": (r"[^`]*`", "s")}, after=_semicolons, cut=r"(?<=;)(?=[FVcy])", rest="(?:(?:<FUNC>|<DECL>)?;)*")
+    return Go("go", _TOKEN, _classify, grammar, shape, top, _unfinished, {"/*": (r"(?:[^*]|\*(?!/))*\*/", ""), "`": (r"[^`]*`", "s")}, settle=_semicolons, cut=r"(?<=;)(?=[FVcy])", rest="(?:(?:<FUNC>|<DECL>)?;)*")
 
 
 GO = _make()

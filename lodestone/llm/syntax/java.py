@@ -6,13 +6,13 @@ import re
 
 import regex
 
-from lodestone.llm.syntax.engine import BAD, Language, Memo, _calls, group, rules
+from lodestone.llm.syntax.engine import BAD, MARK, Language, Memo, _calls, group, rules
 
 _BLANK = r"(?:\s+|﻿|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*+"
 _TOKEN = (
     rf"{_BLANK}(\"\"\"[ \t]*\r?\n(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\n\r]|\\.)*\"|\"\"(?!\")|'(?:[^'\\\n\r]|\\[^\n]+?)'"
     r"|0[xX][0-9A-Fa-f_.]+(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?(?![\w$])|@[ \t]*interface\b|non-sealed\b|[^\W\d][\w$]*|\$[\w$]*"
-    r"|\"\"\"[\s\S]*\Z|/\*[\s\S]*\Z|->|::|\.\.\.|\+\+|--|&&|\|\||<<=?|[=!<]=|[+\-*/%&|^]=|[\s\S]|\Z)"
+    r"|\"\"\"[\s\S]*\Z|\"(?:[^\"\\\n\r]|\\.)*\Z|/\*[\s\S]*\Z|->|::|\.\.\.|\+\+|--|&&|\|\||<<=?|[=!<]=|[+\-*/%&|^]=|[\s\S]|\Z)"
 )
 # fixed values: classes of words and signs
 _WORDS = {
@@ -40,8 +40,10 @@ def _classify(t: str) -> str:
         return "0"
     if t.startswith('"""') and (len(t) < 6 or not t.endswith('"""')):
         return "\x01"
-    if first in "\"'" and len(t) > 1 and t[-1] == first:
+    if first in "\"'" and len(t) > 1 and t[-1] == first and not (first == '"' and t.endswith('\\"') and not t.startswith('"""') and not re.fullmatch(r'"(?:[^"\\]|\\.)*"', t)):
         return "s"
+    if first == '"':
+        return "\x01"
     if first == "@":
         return "@K"
     if t.startswith("/*"):
@@ -49,6 +51,14 @@ def _classify(t: str) -> str:
     return BAD
 
 
+def _unfinished(token: str) -> tuple[str, str, str]:
+    if token.startswith('"""'):
+        return ("", '"""\n', "") if re.match(rf'"""[ \t]*\r?(?:\n|{MARK}|\Z)', token) else (BAD, "", "")
+    if token[0] == '"':
+        return ("", '"', "") if token.endswith(MARK) else (BAD, "", "")
+    return "", "/*", ""
+
+
 def _make() -> Language:
     p, s, b = (lambda n: group("(", n)), (lambda n: group("[", n)), (lambda n: group("{", n))
     id_ = "[arymU]".replace("m", "")
@@ -101,7 +111,8 @@ def _make() -> Language:
             c, n = angle.subn(lambda m: is_args[m[1]], c)
         return c.replace("\x04", "<").replace("\x05", ">")
 
-    return Language("java", _TOKEN, _classify, grammar, shape, top, tidy=generics, opens={"\x01": "block", "\x02": "comment"}, resume={"comment": (r"(?:[^*]|\*(?!/))*\*/", ""), "block": (r"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"", "s")})
+    states = {"/*": (r"(?:[^*]|\*(?!/))*\*/", ""), '"""' + "\n": (r"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"", "s")}
+    return Language("java", _TOKEN, _classify, grammar, shape, top, _unfinished, states, tidy=generics)
 
 
 JAVA = _make()

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import ast
-import warnings
-
 from lodestone.llm.syntax.ecma import JAVASCRIPT, TYPESCRIPT
 from lodestone.llm.syntax.engine import Language
 from lodestone.llm.syntax.golang import GO
 from lodestone.llm.syntax.java import JAVA
+from lodestone.llm.syntax.python import PYTHON
 from lodestone.llm.syntax.rust import RUST
 
 # fixed values: extension to language
 EXTENSIONS = {"py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "go": "go", "java": "java", "rs": "rust"}
-LEXED: dict[str, Language] = {x.name: x for x in (JAVASCRIPT, TYPESCRIPT, GO, JAVA, RUST)}
+LEXED: dict[str, Language] = {x.name: x for x in (JAVASCRIPT, TYPESCRIPT, GO, JAVA, RUST, PYTHON)}
 
 
 def language_of(path: str | None) -> str | None:
@@ -25,21 +23,11 @@ def body(text: str, language: str) -> str:
     text = text.removeprefix("﻿")
     if text.startswith("#!") and (language in ("javascript", "typescript") or language == "rust" and not text.startswith("#![")):
         text = "\n" + text.partition("\n")[2]
+    if language == "python" and "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
     return text
 
 
-def python_valid(text: str) -> bool:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            compile(text, "file", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-        except (SyntaxError, ValueError):
-            return False
-        except (RecursionError, MemoryError):  # nested beyond what the parser of this interpreter can hold
-            return True
-    return True
-
-
 def valid(text: str, language: str) -> bool:
-    text = body(text, language)
-    return python_valid(text) if language == "python" else LEXED[language].valid(text)
+    """Whether a whole text, as one chunk, is a program."""
+    return LEXED[language].valid(body(text, language))

@@ -12,9 +12,9 @@ _NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|
 _BLANK = rf"(?:\s+|﻿|//[^\n]*|{_NESTED})*+"
 _RAW = "|".join(rf'[bc]?r{"#" * k}"(?:[^"]|"(?!{"#" * k}))*"{"#" * k}' if k else r'[bc]?r"[^"]*"' for k in range(4))
 _TOKEN = (
-    rf"{_BLANK}({_RAW}|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[0-9A-Fa-f]{{2}}|u\{{[0-9A-Fa-f_]+\}}|[^\n]))'|'[^\W\d]\w*(?!')"
+    rf"{_BLANK}({_RAW}|[bc]?r#*\"[\s\S]*\Z|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|[bc]?\"[\s\S]*\Z|b?'(?:[^'\\\n]|\\(?:x[0-9A-Fa-f]{{2}}|u\{{[0-9A-Fa-f_]+\}}|[^\n]))'|'[^\W\d]\w*(?!')"
     r"|0x[0-9A-Fa-f_]+\w*|0b[01_]+\w*|0o[0-7_]+\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?(?:[iuf](?:8|16|32|64|128|size))?(?!\w)|r#[^\W\d]\w*|[^\W\d]\w*"
-    r"|[bc]?r#*\"[\s\S]*\Z|[bc]?\"[\s\S]*\Z|/\*[\s\S]*\Z|->|=>|::|\.\.=|\.\.\.|\.\.|&&|\|\||<<=|<=|[=!]=|[+\-*/%^&|]=|[\s\S]|\Z)"
+    r"|/\*[\s\S]*\Z|->|=>|::|\.\.=|\.\.\.|\.\.|&&|\|\||<<=|<=|[=!]=|[+\-*/%^&|]=|[\s\S]|\Z)"
 )
 # fixed values: classes of words and signs
 _WORDS = {
@@ -50,6 +50,21 @@ def _classify(t: str) -> str:
     return BAD
 
 
+def _unfinished(token: str) -> tuple[str, str, str]:
+    """Comments nest to any depth, raw texts end with as many signs as they begin with."""
+    if token.startswith("/*"):
+        depth = 0
+        for m in re.finditer(r"/\*|\*/", token):
+            depth += 1 if m[0] == "/*" else -1
+            if not depth:
+                return "", "", token[m.end() :]
+        return "", "/*" * depth, ""
+    if m := re.match(r'[bc]?r(#*)"', token):
+        end = token.find('"' + m[1], m.end())
+        return ("", m[0], "") if end < 0 else ("s", "", token[end + 1 + len(m[1]) :])
+    return "", '"', ""
+
+
 def _make() -> Language:
     p, s, b = (lambda n: group("(", n)), (lambda n: group("[", n)), (lambda n: group("{", n))
     grammar = rules({
@@ -111,8 +126,8 @@ def _make() -> Language:
             c, n = angle.subn(lambda m: is_args[m[0][1:-1]], c)
         return c.replace("\x04", "<").replace("\x05", ">")
 
-    resume = {"comment": (r"(?:[^*/]|\*(?!/)|/(?!\*)|" + _NESTED + r")*\*/", ""), "text": (r"(?:[^\"\\]|\\[\s\S])*\"", "s")}
-    return Language("rust", _TOKEN, _classify, grammar, shape, top, tidy=generics, trees=True, cut=r"(?<=[;\ue200-\ue2ff])(?=[PFXSATMyDcU#])", opens={"\x01": "text", "\x02": "comment"}, resume=resume)
+    states = {"/*": (r"(?:[^*/]|\*(?!/)|/(?!\*))*\*/", "")}
+    return Language("rust", _TOKEN, _classify, grammar, shape, top, _unfinished, states, tidy=generics, trees=True, cut=r"(?<=[;\ue200-\ue2ff])(?=[PFXSATMyDcU#])")
 
 
 RUST = _make()

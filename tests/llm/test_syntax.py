@@ -1,9 +1,14 @@
 """Valid and invalid programs of every language, chunk by chunk equal to whole."""
 
+import ast
+import random
+import time
+import warnings
+
 import pytest
 
-from lodestone.llm.parsecheck import chunks, parse_files
-from lodestone.llm.syntax.languages import LEXED, valid
+from lodestone.llm.parsecheck import chunks, parse_files, parses
+from lodestone.llm.syntax.languages import LEXED, body, valid
 
 GOOD = {
     "python": ["", "x = 1\n", "\ufeffdef f(a, /, *, b=1) -> int:\n    return a\n", "match x:\n    case [a, *_]:\n        pass\n", 's = """\n<<<<<<< ours\n"""\n'],
@@ -40,25 +45,106 @@ def test_invalid(language):
     assert [t for t in BAD[language] if valid(t, language)] == []
 
 
-@pytest.mark.parametrize("language", [x for x in GOOD if x != "python"])
-def test_chunk_maps_join_in_any_grouping(language):
+PYTHON = """# -*- coding: utf-8 -*-
+from . import a, b as c
+from .x import (y, z as q,)
+import os.path as p
+
+
+@cache(1, *a, k=2, **b)
+class A(B, metaclass=M):
+    'text'
+    x: int = 3
+
+    async def f(self, a, /, b: list[int] = [1], *c, d, e=1, **g) -> None:
+        async with open(a) as f, b as (c, d):
+            await f.read(1)[2:3, ::4] ** -x
+        async for i, *j in k:
+            yield
+        else:
+            pass
+        return lambda x, *y, z=1: x if y else not z
+
+    if x: y = 1; z = 2
+    elif (n := len(a)) > 10 and not b in c is not d:
+        del a[0], b.c
+    else:
+        raise X(1) from None
+try:
+    a = b = {**c, 'k': 1, f'{x!r:>{w}} {y["a"]}': {i: j for i in a for j in b if j}}
+except (A, B) as e:
+    global g
+    assert a, "m"
+finally:
+    a += yield_
+with (open(a) as f, b):
+    print(f'''  # noqa
+    x
+    ''', *a, sep=b"x" b"y") \\
+        .z
+match a:
+    case [1, *_] | {"k": v, **r} if v:
+        pass
+    case P(x=0) as p: pass
+while 1:
+	if x:
+		break
+"""
+
+
+@pytest.mark.parametrize("language", GOOD)
+@pytest.mark.parametrize("size", [3, 8, 40])
+def test_chunk_maps_join_in_any_grouping(language, size):
     lang = LEXED[language]
-    for text in [t for t in GOOD[language] + BAD[language] if "${" not in t and 'r#"' not in t and not t.startswith("#!/")]:
-        pieces = [lang.summary(c) for c in chunks(text, 8)] or [lang.summary("")]
+    for text in GOOD[language] + BAD[language] + ([PYTHON] if language == "python" else []):
+        text = lang.start(body(text, language))
+        pieces = [lang.summary(c) for c in chunks(text, size)]
         left = pieces[0]
         for p in pieces[1:]:
             left = lang.join(left, p)
         right = pieces[-1]
         for p in reversed(pieces[:-1]):
             right = lang.join(p, right)
-        assert left[""] == right[""]
-        assert lang.accepts(*left[""]) == lang.valid(text)
+        tree = lang.join_all(pieces)
+        whole = lang.entry(text, "")
+        assert lang.accepts(*left.entries[""]) == lang.accepts(*right.entries[""]) == lang.accepts(*tree.entries[""]) == lang.accepts(*whole), text
+
+
+def test_python_against_its_compiler():
+    r = random.Random(1)
+    texts = [PYTHON, PYTHON.replace("    ", "  ")]
+    for _ in range(1500):
+        t = r.choice(texts[:2])
+        i = r.randrange(len(t))
+        j = i + r.randrange(12)
+        texts.append(r.choice((t[:i], t[i:], t[:i] + t[j:], t[:i] + r.choice("()[]{}:,.=*'\"\n \t@if0") + t[j:])))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for t in texts:
+            try:
+                compile(t, "f", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+                want = True
+            except (SyntaxError, ValueError):
+                want = False
+            for size in (30, 2048):
+                assert parses(t, "python", size)[0] == want, t
+
+
+@pytest.mark.parametrize("language,text", [("javascript", "x = " + "[" * 100_000 + "]" * 100_000 + ";\n"), ("python", "x = " + "(" * 100_000 + ")" * 100_000), ("python", "-" * 100_000 + "x"), ("javascript", "a = " + "`${" * 3000 + "1" + "}`" * 3000), ("rust", "/*" * 5000 + "*/" * 5000), ("java", "class A {" + "int a = 1;" * 50_000 + "}"), ("javascript", "var a=[" + "1," * 200_000 + "]")])
+def test_deep_and_long_texts(language, text):
+    began = time.perf_counter()
+    assert parses(text, language)[0] and not parses(text + "(", language)[0]
+    assert time.perf_counter() - began < 20
 
 
 def test_files(spark):
+    two = "class A {" + " int a;\n" * 60
     rows = [(1, "r/a.py", "x = 1"), (1, "r/a.py", "x = 1"), (2, "r/b.js", "const x ="), (3, "r/c.txt", "(("), (4, None, "(("), (5, "r/d.go", None), (6, "r/e.go", ""), (7, "r/f.java", "class A {" + " int a;\n" * 500 + "}"), (8, "r/g.java", "class A {" + " int a;\n" * 500)]
+    rows += [(9, "r/h.java", two), (9, "r/h.java", two + "}}"), (10, "r/i.py", "def f():\n" + "    x = [\n1,\n]\n" * 300), (11, "r/j.py", "def f():\n" + "    x = 1\n" * 300 + "   y = 2\n"), (12, "r/k.ts", "const a = `" + "text ${ [1,\n 2] } more\n" * 200 + "`;\n")]
     df = spark.createDataFrame([(*r, "clash", 3) for r in rows], "file_id bigint, file_path string, content string, lang string, k int")
-    for size in (1 << 18, 64):
-        got = {r.file_id: r.parses for r in parse_files(df, "file_id", "file_path", "content", chunk=size).collect()}
-        assert got == {1: True, 2: False, 6: False, 7: True, 8: False}
+    for size, span, fan_in in ((2048, 1 << 20, 64), (64, 1 << 20, 64), (64, 512, 3)):
+        got = {r.file_id: (r.parses, r.chunks) for r in parse_files(df, "file_id", "file_path", "content", size, span, fan_in).collect()}
+        assert {k: v[0] for k, v in got.items()} == {1: True, 2: False, 6: False, 7: True, 8: False, 9: False, 10: True, 11: False, 12: True}
+        # every file comes from the maps of all its chunks
+        assert all(v[1] >= 1 for v in got.values()) and got[7][1] >= 4008 // (4 * size) and got[12][1] > (1 if size < 500 else 0)
     assert parse_files(df.limit(0), "file_id", "file_path", "content").count() == 0
