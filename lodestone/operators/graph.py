@@ -7,14 +7,25 @@ count once, an empty edge table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import materialize, release
 
+#: Edges between numbers that one task takes at most (16 MB of them, some 300 MB as lists).
+MAX_TASK_EDGES = 1_000_000
+#: Bits of a reach set that one task of ``impact_sizes`` holds at most, over all nodes.
+MAX_TASK_BITS = 1 << 30
+#: Steps of a level loop that stay apart before they are written as one.
+LEVELS = 16
+
 
 def clean(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
@@ -63,11 +74,98 @@ def closure(edges: DataFrame) -> DataFrame:
     return named.select(F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
-def impact_sizes(edges: DataFrame) -> DataFrame:
-    """(node, impact): from how many nodes each node is reached; the closure is counted by number and never named."""
+def _in_rank_order(src: np.ndarray, dst: np.ndarray, n: int) -> list[np.ndarray]:
+    """Edges of an acyclic graph, grouped so that every edge into a node comes in an earlier group than those out of it."""
+    left = np.bincount(dst, minlength=n)
+    order = np.argsort(src, kind="stable")
+    start = np.searchsorted(src[order], np.arange(n + 1))
+    front, groups = np.flatnonzero(left == 0), []
+    while len(front):
+        edges = np.concatenate([order[start[v] : start[v + 1]] for v in front]) if len(front) else np.empty(0, np.int64)
+        if not len(edges):
+            break
+        groups.append(edges)
+        np.subtract.at(left, dst[edges], 1)
+        reached = np.unique(dst[edges])
+        front = reached[left[reached] == 0]
+    return groups
+
+
+def _block_reach(key: tuple, batch: pa.Table) -> pa.Table:
+    """From how many members of one block of nodes each component is reached, by bit sets."""
+    src, dst, bit = (batch.column(c).to_numpy() for c in ("src", "dst", "bit"))
+    own = np.flatnonzero(bit >= 0)
+    names, codes = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = codes[: len(src)], codes[len(src) :]
+    words = int(bit.max()) // 64 + 1
+    state = np.zeros((len(names), words), dtype=np.uint64)
+    np.bitwise_or.at(state, (b[own], bit[own] // 64), np.uint64(1) << (bit[own] % 64).astype(np.uint64))
+    edge = np.flatnonzero(bit < 0)
+    e, f = a[edge], b[edge]
+    for group in _in_rank_order(e, f, len(names)):
+        np.bitwise_or.at(state, f[group], state[e[group]])
+    n = np.bitwise_count(state).sum(axis=1)
+    keep = np.flatnonzero(n)
+    return pa.table({"comp": pa.array(names[keep], pa.int64()), "n": pa.array(n[keep].astype(np.int64), pa.int64())})
+
+
+def _acyclic_sizes(dag: DataFrame, members: DataFrame, max_task_edges: int) -> DataFrame:
+    """(comp, n): how many members of ``members`` (id, comp) lie in each component or above it in the acyclic ``dag``.
+
+    The members are cut into blocks; a block's reach is a bit set per component, so that a task needs the edges and one bit
+    per component and member.  Where the edges don't fit into a task, the bits travel level by level as 16 words a row, and
+    are united by the map-side aggregate."""
+    n, m = dag.count(), members.count()
+    if n <= max_task_edges:
+        width = max(64, min(1 << 16, MAX_TASK_BITS // max(n + m, 1) // 64 * 64))
+        blocks = -(-m // width)
+        at = members.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")) if blocks > 1 else members.withColumn("block", F.lit(0))
+        at = at.select("block", "comp", (F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1).cast("long").alias("bit"))  # a block is bounded by the width
+        own = at.select("block", F.col("comp").alias("src"), F.col("comp").alias("dst"), "bit")
+        edges = dag.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "src", "dst", F.lit(-1).cast("long").alias("bit"))
+        found = own.unionByName(edges).groupBy("block").applyInArrow(_block_reach, "comp bigint, n bigint")
+        return found.groupBy("comp").agg(F.sum("n").alias("n"))
+    words = 16
+    blocks = -(-m // 512)  # a block of 1024 bits holds some 512 members by their hash; those beyond go to a further one
+    at = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    at = at.select("comp", "part", (F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1).alias("k"))
+    at = at.select("comp", (F.col("part") * 8 + F.floor(F.col("k") / 1024)).alias("block"), F.pmod("k", F.lit(1024)).alias("k"))
+    bits = [F.bit_or(F.when(F.floor(F.col("k") / 64) == w, F.expr("shiftleft(1L, CAST(k % 64 AS INT))")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
+    names = [f"w{w}" for w in range(words)]
+    state = materialize(at.groupBy("comp", "block").agg(*bits), "bits")
+    new = state
+    while True:
+        sent = new.join(dag, new["comp"] == dag["src"]).select(F.col("dst").alias("comp"), "block", *names)
+        both = state.withColumn("old", F.lit(True)).unionByName(sent.withColumn("old", F.lit(False)))
+        same = F.lit(True)
+        merged = both.groupBy("comp", "block").agg(*(F.bit_or(w).alias(w) for w in names), *(F.coalesce(F.bit_or(F.when(F.col("old"), F.col(w))), F.lit(0).cast("long")).alias("o" + w) for w in names))
+        for w in names:
+            same = same & (F.col(w) == F.col("o" + w))
+        merged = materialize(merged.withColumn("moved", ~same).select("comp", "block", *names, "moved"), "bits")
+        state, new = merged.select("comp", "block", *names), merged.where("moved").select("comp", "block", *names)
+        if new.isEmpty():
+            break
+    count = sum((F.bit_count(F.col(w)) for w in names[1:]), F.bit_count(F.col(names[0])))
+    return state.groupBy("comp").agg(F.sum(count).cast("long").alias("n"))
+
+
+def impact_sizes(edges: DataFrame, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+    """(node, impact): from how many nodes each node is reached over at least one edge, itself only if it lies on a cycle.
+
+    Strongly connected components are contracted first: their members share one figure, and what is left has no cycle.  No
+    pair of nodes is ever written."""
     e, ids = numbered(edges)
-    size = closure_ids(e).groupBy("dst").agg(F.count(F.lit(1)).alias("impact"))
-    return ids.join(size, F.col("id") == F.col("dst"), "left").select("node", F.coalesce("impact", F.lit(0)).alias("impact"))
+    e = materialize(e, "numbered")
+    comps = materialize(component_ids(e, max_task_edges), "comps")
+    a, b = comps.select(F.col("id").alias("src"), F.col("comp").alias("a")), comps.select(F.col("id").alias("dst"), F.col("comp").alias("b"))
+    ce = e.join(a, "src").join(b, "dst").select("a", "b", (F.col("src") == F.col("dst")).alias("self"))
+    dag = materialize(ce.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "dag")
+    looped = ce.where("self").select(F.col("a").alias("comp")).distinct().withColumn("looped", F.lit(1))
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    n = _acyclic_sizes(dag, comps, max_task_edges).join(sizes, "comp").join(looped, "comp", "left")
+    # a node that lies on no cycle isn't among its own origins
+    impact = n.select("comp", F.when((F.col("size") > 1) | F.col("looped").isNotNull(), F.col("n")).otherwise(F.col("n") - 1).alias("impact"))
+    return ids.join(comps, "id").join(impact, "comp").select("node", "impact")
 
 
 def trim(edges: DataFrame, rounds: int = 8) -> DataFrame:
@@ -79,12 +177,109 @@ def trim(edges: DataFrame, rounds: int = 8) -> DataFrame:
         kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         kept = materialize(kept.select("src", "dst"), "core")
         m = kept.count()
+        release(e)
         e, done, n = kept, m > 0.9 * n, m
         if done or not m:
             break
     return e
 
 
+def tarjan(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, the smallest id of each one's strongly connected component) of a small graph."""
+    names, codes = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    n = len(names)
+    a, b = codes[: len(src)], codes[len(src) :]
+    order = np.argsort(a, kind="stable")
+    out = b[order].tolist()
+    start = np.searchsorted(a[order], np.arange(n + 1)).tolist()
+    seen, low, comp = [-1] * n, [0] * n, [-1] * n
+    stack: list[int] = []
+    clock = 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        seen[root] = low[root] = clock
+        clock += 1
+        stack.append(root)
+        work = [(root, start[root])]
+        while work:
+            v, i = work[-1]
+            if i < start[v + 1]:
+                work[-1] = (v, i + 1)
+                w = out[i]
+                if seen[w] < 0:
+                    seen[w] = low[w] = clock
+                    clock += 1
+                    stack.append(w)
+                    work.append((w, start[w]))
+                elif comp[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            work.pop()
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[v])
+            if low[v] == seen[v]:
+                members = []
+                while True:
+                    w = stack.pop()
+                    members.append(w)
+                    if w == v:
+                        break
+                first = min(members)
+                for w in members:
+                    comp[w] = first
+    return names, names[np.array(comp, dtype=np.int64)] if n else names
+
+
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        t = pa.Table.from_batches(parts)
+        ids, comp = tarjan(t.column("src").to_numpy(), t.column("dst").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(comp, pa.int64())], ["id", "comp"])
+
+
+def component_ids(edges: DataFrame, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+    """(id, comp) of every node of edges between numbers: nodes on a common cycle share a number.
+
+    Up to ``max_task_edges`` edges one task finds them.  Beyond, what lies on no cycle is peeled off; then every node takes
+    the largest number that reaches it, and the nodes with the number of a node r that also reach r are r's component.  These
+    leave, and the rest, which has lost at least a component per number, goes on until it fits into a task.  Rows stay linear in the
+    edges, in every step."""
+    every = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    rest, done = edges, []
+    while True:
+        if rest.limit(max_task_edges + 1).count() <= max_task_edges:
+            done.append(rest.repartition(1).mapInArrow(_one_task, "id bigint, comp bigint"))
+            break
+        rest = trim(rest.where("src <> dst"))
+        if rest.isEmpty():
+            break
+        if rest.limit(max_task_edges + 1).count() <= max_task_edges:
+            continue
+        color = materialize(rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id")).withColumn("moved", F.lit(True)), "color")
+        while True:
+            sent = rest.join(color.where("moved").select(F.col("id").alias("src"), "color"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("up"))
+            new = color.join(sent, "id", "left").select("id", F.greatest("color", "up").alias("color"), F.coalesce(F.col("up") > F.col("color"), F.lit(False)).alias("moved"))
+            new = materialize(new, "color")
+            release(color)
+            color = new
+            if color.where("moved").isEmpty():
+                break
+        c = color.select("id", "color")
+        inner = rest.join(c.withColumnRenamed("id", "src"), "src").join(c.select(F.col("id").alias("dst"), F.col("color").alias("c")), "dst").where("color = c")
+        inner = materialize(inner.select(F.concat_ws(":", "src", "color").alias("src"), F.concat_ws(":", "dst", "color").alias("dst")), "inner")
+        roots = c.where("id = color").select(F.concat_ws(":", "id", "color").alias("node"))
+        back = reach(inner, roots, backwards=True).select("node").union(roots).distinct()
+        parts = back.select(F.split_part("node", F.lit(":"), F.lit(1)).cast("long").alias("id"), F.split_part("node", F.lit(":"), F.lit(2)).cast("long").alias("comp"))
+        parts = materialize(parts, "parts")
+        done.append(parts)
+        gone = parts.select("id")
+        rest = materialize(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "rest")
+    found = reduce(DataFrame.unionByName, done) if done else every.select("id", F.col("id").alias("comp")).limit(0)
+    return every.join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+
+
 def reach(edges: DataFrame, sources: DataFrame, backwards: bool = False, max_depth: int | None = None, closed: DataFrame | None = None) -> DataFrame:
     """(node, depth) of what ``sources`` (node) reach over at least one edge, by levels; depth is the smallest.
 
@@ -93,22 +288,26 @@ def reach(edges: DataFrame, sources: DataFrame, backwards: bool = False, max_dep
     """
     e = clean(edges)
     e = materialize(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backwards else e, "edges")
-    level, seen, depth = sources.select("node").distinct(), None, 0
+    level, seen, depth = sources.select("node").distinct(), [], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = level.join(e, level["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
         if closed is not None:
             step = step.join(closed.select("node"), "node", "left_anti")
-        if seen is not None:
-            step = step.join(seen.select("node"), "node", "left_anti")
+        if seen:
+            step = step.join(reduce(DataFrame.union, [x.select("node") for x in seen]), "node", "left_anti")
         level = materialize(step, "level")
         if level.isEmpty():
             break
-        now = level.withColumn("depth", F.lit(depth))
-        seen = now if seen is None else materialize(seen.unionByName(now), "seen")
-    if seen is None:
+        seen.append(level.withColumn("depth", F.lit(depth)))
+        if len(seen) > LEVELS:
+            parts = seen
+            seen = [materialize(reduce(DataFrame.unionByName, parts), "seen")]
+            for x in parts[:-1]:
+                release(x)
+    if not seen:
         return sources.select("node").withColumn("depth", F.lit(0)).limit(0)
-    return seen
+    return reduce(DataFrame.unionByName, seen)
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, backwards: bool = True) -> DataFrame:
@@ -117,26 +316,29 @@ def shortest_paths(edges: DataFrame, start: DataFrame, backwards: bool = True) -
     e = clean(edges)
     e = materialize(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backwards else e, "edges")
     first = start.select("node").distinct()
-    seen = materialize(first.select("node", F.array("node").alias("path")), "paths")
-    level = seen
+    seen = [materialize(first.select("node", F.array("node").alias("path")), "paths")]
+    level = seen[0]
     while True:
         step = level.join(e, level["node"] == e["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        new = materialize(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"), "paths-new")
-        if new.isEmpty():
+        known = reduce(DataFrame.union, [x.select("node") for x in seen])
+        level = materialize(step.groupBy("node").agg(F.min("path").alias("path")).join(known, "node", "left_anti"), "paths")
+        if level.isEmpty():
             break
-        seen, level = materialize(seen.unionByName(new), "paths"), new
-    return seen.join(first, "node", "left_anti").withColumn("depth", F.size("path") - 1)
-
+        seen.append(level)
+        if len(seen) > LEVELS:
+            parts = seen
+            seen = [materialize(reduce(DataFrame.unionByName, parts), "paths")]
+            for x in parts[:-1]:
+                release(x)
+    return reduce(DataFrame.unionByName, seen).join(first, "node", "left_anti").withColumn("depth", F.size("path") - 1)
 
-def components_strong(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(node, scc): nodes on a common cycle share the smallest of them; a node on no cycle stands alone.
 
-    Two nodes are together when each reaches the other, read from the closure of the trimmed graph."""
-    r = closure(trim(edges)) if pairs is None else pairs
-    back = r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = r.join(back, ["src", "dst"])
-    best = mutual.groupBy("src").agg(F.min("dst").alias("m"))
-    return nodes_of(edges).join(best, F.col("node") == F.col("src"), "left").select("node", F.least("node", F.coalesce("m", "node")).alias("scc"))
+def components_strong(edges: DataFrame, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+    """(node, scc): nodes on a common cycle share the smallest of them; a node on no cycle stands alone."""
+    e, ids = numbered(edges)
+    comps = materialize(component_ids(materialize(e, "numbered"), max_task_edges), "comps")
+    named = ids.join(comps, "id").select("node", "comp")
+    return named.join(named.groupBy("comp").agg(F.min("node").alias("scc")), "comp").select("node", "scc")
 
 
 def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
@@ -186,22 +388,87 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
     return ranks.select("node", "rank")
 
 
-def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by synchronous label propagation on the undirected graph: each node takes the most frequent label
-    around it, the smallest on ties, and keeps its own while that is among the most frequent.  This is the distributed
-    stand-in for greedy modularity, which merges one pair of communities at a time."""
+def _greedy(names: list, edges: list[tuple], m: int) -> dict:
+    """Greedy modularity on one connected part of a graph of ``m`` edges: the pair whose union gains most is united, the
+    pair with the smallest names on ties, while something is gained.  A community is named by its smallest node."""
+    near: dict = {x: {} for x in names}
+    degree = dict.fromkeys(names, 0)
+    for a, b in edges:
+        near[a][b] = near[a].get(b, 0) + 1
+        near[b][a] = near[b].get(a, 0) + 1
+        degree[a] += 1
+        degree[b] += 1
+    home = {x: [x] for x in names}
+    gain = lambda a, b: 2 * m * near[a][b] - degree[a] * degree[b]  # noqa: E731  (in units of 1 / 2 m ** 2)
+    heap = [(-gain(a, b), a, b) for a in names for b in near[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        g, a, b = heapq.heappop(heap)
+        if g >= 0:
+            break
+        if a not in home or b not in home or -g != gain(a, b):
+            continue
+        home[a] += home.pop(b)
+        degree[a] += degree.pop(b)
+        for c, w in near.pop(b).items():
+            del near[c][b]
+            if c != a:
+                near[a][c] = near[c][a] = near[a].get(c, 0) + w
+        for c in near[a]:
+            x, y = (a, c) if a < c else (c, a)
+            heapq.heappush(heap, (-gain(x, y), x, y))
+    return {x: k for k, xs in home.items() for x in xs}
+
+
+def communities(edges: DataFrame, max_part_edges: int = 2_000, rounds: int = 200, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+    """(node, community), a community named by its smallest node, on the undirected graph without self-loops.
+
+    Unions within different connected parts don't touch each other, so greedy modularity runs exactly, part by part, each
+    of up to ``max_part_edges`` edges in one task.  It unites one pair at a time, which doesn't distribute: larger
+    parts take label propagation instead, see ``label_communities``.  A node without a neighbour stands alone."""
+    e = clean(edges).where(F.col("src") != F.col("dst"))
+    e = materialize(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "undirected")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    part = materialize(components_strong(both, max_task_edges), "parts")
+    pe = materialize(e.join(part.withColumnRenamed("node", "src"), "src"), "part-edges")
+    size = pe.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
+    small = pe.join(size.where(F.col("n") <= max_part_edges), "scc").select("scc", "src", "dst")
+    large = pe.join(size.where(F.col("n") > max_part_edges), "scc").select("src", "dst")
+    m = e.count()
+    kind = dict(e.dtypes)["src"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _greedy(sorted({*pdf["src"], *pdf["dst"]}), list(zip(pdf["src"], pdf["dst"])), m)
+        return pd.DataFrame({"node": list(found), "community": list(found.values())})
+
+    exact = small.groupBy("scc").applyInPandas(run, f"node {kind}, community {kind}")
+    spread = label_communities(large, rounds)
+    known = exact.unionByName(spread)
+    lone = nodes_of(edges).join(part.select("node"), "node", "left_anti").select("node", F.col("node").alias("community"))
+    return known.unionByName(lone)
+
+
+def label_communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, community) by label propagation on the undirected graph: each node takes the most frequent label around it, the
+    smallest on ties, and keeps its own while that is among the most frequent.  In odd rounds only the one half of the
+    nodes moves, in even rounds the other one (by hash), so neighbours don't swap labels for ever; it ends when neither
+    half moves."""
     e = clean(edges).where(F.col("src") != F.col("dst"))
     both = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
     labels = materialize(nodes_of(edges).withColumn("label", F.col("node")), "labels")
-    for _ in range(rounds):
+    still = 0
+    for k in range(rounds):
+        mine = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
         votes = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count(F.lit(1)).alias("n"))
-        top = votes.groupBy("node").agg(F.max("n").alias("most"))
-        tied = votes.join(top, "node").where("n = most").groupBy("node").agg(F.min("label").alias("smallest"), F.collect_set("label").alias("tied"))
-        new = labels.join(tied, "node", "left").select("node", F.when(F.col("tied").isNull() | F.array_contains("tied", F.col("label")), F.col("label")).otherwise(F.col("smallest")).alias("label"), F.col("label").alias("was"))
+        own = votes.join(labels.select("node", F.col("label").alias("own")), "node")
+        best = own.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("k"), "label")).alias("top"), F.max(F.when(F.col("label") == F.col("own"), F.col("n"))).alias("kept"))
+        better = F.col("top").isNotNull() & (F.coalesce("kept", F.lit(0)) < -F.col("top.k")) & mine
+        new = labels.join(best, "node", "left").select("node", F.when(better, F.col("top.label")).otherwise(F.col("label")).alias("label"), better.alias("moved"))
         new = materialize(new, "labels")
-        moved = new.where("label <> was").isEmpty()
+        still = still + 1 if new.where("moved").isEmpty() else 0
+        release(labels)
         labels = new.select("node", "label")
-        if moved:
+        if still == 2:
             break
     named = labels.groupBy("label").agg(F.min("node").alias("community"))
     return labels.join(named, "label").select("node", "community")
