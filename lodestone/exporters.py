@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHOWN = 5_000
@@ -46,15 +46,16 @@ def dot(edges: DataFrame, shown: int = SHOWN) -> str:
 
 def tree(edges: DataFrame, root: str, max_depth: int = 4, max_children: int = 12) -> str:
     """Callees below a function as an indented tree; what was shown before is marked and not opened again.  Each level asks
-    for the children of the nodes it shows, so the driver holds the shown part only."""
+    for the children of the nodes it shows and cuts them to ``max_children`` in the plan, so the driver holds the shown part
+    only."""
     lines, seen = [], set()
     children: dict[str, list[str]] = {}
     level = [root]
     for _ in range(max_depth):
-        rows = edges.where(F.col("src").isin(*level)).orderBy("src", "dst").collect() if level else []
-        for r in rows:
+        shown = edges.select("src", "dst").where(F.col("src").isin(*level)).distinct().withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("k") <= max_children)
+        for r in shown.orderBy("src", "dst").collect() if level else []:
             children.setdefault(r.src, []).append(r.dst)
-        level = [c for n in level for c in children.get(n, [])[:max_children] if c not in children][:500]
+        level = [c for n in level for c in children.get(n, []) if c not in children][:500]
 
     def draw(node: str, depth: int) -> None:
         again = node in seen
@@ -62,7 +63,7 @@ def tree(edges: DataFrame, root: str, max_depth: int = 4, max_children: int = 12
         if again or depth >= max_depth:
             return
         seen.add(node)
-        for c in children.get(node, [])[:max_children]:
+        for c in children.get(node, []):
             draw(c, depth + 1)
 
     draw(root, 0)

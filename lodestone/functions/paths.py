@@ -83,8 +83,10 @@ def risk_text(tags: Column) -> Column:
     return F.when(F.size(tags) > 0, F.concat(F.lit("Runtime-load risk: "), F.array_join(texts, ", ")))
 
 
-def safe_to_delete(confidence: Column, path: Column, least: float = 0.7) -> Column:
-    return (confidence >= least) & (F.size(risk_tags(path)) == 0)
+def safe_to_delete(confidence: Column, path: Column, stored: Column | None = None, least: float = 0.7) -> Column:
+    """Nothing speaks against deleting: what is stored about it (null counts as no), a high confidence, no risk tags."""
+    kept = F.lit(True) if stored is None else F.coalesce(stored, F.lit(False))
+    return kept & (confidence >= least) & (F.size(risk_tags(path)) == 0)
 
 
 def module_file(module: Column) -> Column:

@@ -13,30 +13,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def key_states(df: DataFrame, key: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
-    """One row per non-null ``key``: ``n`` rows and the sum of every expression in ``sums`` (nulls are skipped)."""
+def key_states(df: DataFrame, key: str, sums: Mapping[str, Column] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One row per non-null ``key`` (and values of ``by``): ``n`` rows and the sum of every expression in ``sums`` (nulls are
+    skipped)."""
     aggs = [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(a) for a, c in (sums or {}).items())]
-    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(*aggs)
+    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), *by).agg(*aggs)
 
 
-def eager_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_sums: Mapping[str, Column] | None = None, right_sums: Mapping[str, Column] | None = None, products: Mapping[str, tuple[str, str]] | None = None, how: str = "inner") -> DataFrame:
+def eager_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_sums: Mapping[str, Column] | None = None, right_sums: Mapping[str, Column] | None = None, products: Mapping[str, tuple[str, str]] | None = None, how: str = "inner", left_by: Sequence[str] = ()) -> DataFrame:
     """Per key of ``left JOIN right`` on the keys: the number of joined rows and the sums over the joined rows, without
     building them.
 
     ``pairs`` = n_left * n_right; a sum over left columns counts n_right times and the reverse.  With ``how="left"`` or
     ``"full"`` a key missing on one side counts as one null-extended row there, as in the plain join.  Null keys match
     nothing; they are left out.  ``products`` names (left alias, right alias): the sum over the joined rows of the product
-    of the two expressions.  Columns: key, n_left, n_right, pairs, then sums and products by alias, which must differ.
+    of the two expressions.  ``left_by`` names columns of the left side that the result is later rolled up by: the left states
+    are kept apart by them.  Columns: key, those of ``left_by``, n_left, n_right, pairs, then sums and products by alias,
+    which must differ.
     """
     left_sums, right_sums, products = dict(left_sums or {}), dict(right_sums or {}), dict(products or {})
-    if clash := (left_sums.keys() & right_sums.keys()) | ({"key", "n", "n_left", "n_right", "pairs"} & (left_sums.keys() | right_sums.keys())):
+    if clash := (left_sums.keys() & right_sums.keys()) | ({"key", "n", "n_left", "n_right", "pairs", *left_by} & (left_sums.keys() | right_sums.keys())):
         raise ValueError(f"aliases used twice: {sorted(clash)}")
-    a = key_states(left, left_key, left_sums).withColumnRenamed("n", "n_left")
+    a = key_states(left, left_key, left_sums, left_by).withColumnRenamed("n", "n_left")
     b = key_states(right, right_key, right_sums).withColumnRenamed("n", "n_right")
     j = a.join(b, "key", how)
     n_left, n_right = F.coalesce("n_left", F.lit(0)), F.coalesce("n_right", F.lit(0))
     return j.select(
         "key",
+        *left_by,
         n_left.alias("n_left"),
         n_right.alias("n_right"),
         (F.greatest(n_left, F.lit(1)) * F.greatest(n_right, F.lit(1))).alias("pairs"),

@@ -365,10 +365,38 @@ def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     return found.withColumn("length", F.size("cycle"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def _rank_task(rounds: int, damping: float, tolerance: float):
+    """The same rounds in one task, over numbered edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        names, codes = np.unique(np.concatenate([t.column("src").to_numpy(), t.column("dst").to_numpy()]), return_inverse=True)
+        a, b, n = codes[: t.num_rows], codes[t.num_rows :], len(names)
+        out = np.bincount(a, minlength=n)
+        rank, idle = np.full(n, 1.0 / n), out == 0
+        for _ in range(rounds):
+            share = rank / np.maximum(out, 1)
+            new = (1 - damping) / n + damping * (np.bincount(b, weights=share[a], minlength=n) + rank[idle].sum() / n)
+            moved, rank = np.abs(new - rank).sum(), new
+            if moved < n * tolerance:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rank)], ["id", "rank"])
+
+    return run
+
+
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
     """(node, rank) from the uniform start, until a round changes all ranks together by less than ``tolerance`` a node, or
-    after ``rounds``; the mass of nodes without an out-edge is spread over all.  Contributions are summed per node map-side before they are shuffled, so a hot node receives one partial sum
-    per task."""
+    after ``rounds``; the mass of nodes without an out-edge is spread over all.  Up to ``max_task_edges`` edges the rounds run
+    in one task.  Beyond, contributions are summed per node map-side before they are shuffled, so a hot node receives one
+    partial sum per task; the result is the same but for the last digits."""
+    if clean(edges).limit(max_task_edges + 1).count() <= max_task_edges:
+        numbers, ids = numbered(edges)
+        ranks = materialize(numbers.repartition(1).mapInArrow(_rank_task(rounds, damping, tolerance), "id bigint, rank double"), "ranks")
+        return ids.join(ranks, "id").select("node", "rank")
     e = clean(edges)
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     weighted = materialize(e.join(out, "src"), "weighted")
@@ -420,7 +448,7 @@ def _greedy(names: list, edges: list[tuple], m: int) -> dict:
     return {x: k for k, xs in home.items() for x in xs}
 
 
-def communities(edges: DataFrame, max_part_edges: int = 2_000, rounds: int = 200, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+def communities(edges: DataFrame, max_part_edges: int = 2_000, rounds: int = 50, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
     """(node, community), a community named by its smallest node, on the undirected graph without self-loops.
 
     Unions within different connected parts don't touch each other, so greedy modularity runs exactly, part by part, each
@@ -442,36 +470,85 @@ def communities(edges: DataFrame, max_part_edges: int = 2_000, rounds: int = 200
         return pd.DataFrame({"node": list(found), "community": list(found.values())})
 
     exact = small.groupBy("scc").applyInPandas(run, f"node {kind}, community {kind}")
-    spread = label_communities(large, rounds)
+    spread = label_communities(large, rounds, max_task_edges)
     known = exact.unionByName(spread)
     lone = nodes_of(edges).join(part.select("node"), "node", "left_anti").select("node", F.col("node").alias("community"))
     return known.unionByName(lone)
 
 
-def label_communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, community) by label propagation on the undirected graph: each node takes the most frequent label around it, the
-    smallest on ties, and keeps its own while that is among the most frequent.  In odd rounds only the one half of the
+def _label_task(rounds: int):
+    """The same rounds in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        kind = t.schema.field("src").type
+        names, a = np.unique(t.column("src").to_numpy(zero_copy_only=False), return_inverse=True)
+        b, n, ends = np.searchsorted(names, t.column("dst").to_numpy(zero_copy_only=False)), len(names), t.num_rows
+        half, degree = np.zeros(n, dtype=np.int64), np.bincount(a, minlength=n)
+        half[a] = t.column("half").to_numpy()
+        label, still, low = np.arange(n), 0, np.iinfo(np.int64).min
+        for k in range(rounds):
+            total = np.bincount(label, weights=degree, minlength=n).astype(np.int64)
+            votes, count = np.unique(a * n + label[b], return_counts=True)
+            node, voted = votes // n, votes % n
+            own = voted == label[node]
+            gain = ends * count - degree[node] * (total[voted] - np.where(own, degree[node], 0))
+            stay = -degree * (total[label] - degree)
+            stay[node[own]] = gain[own]
+            most = np.full(n, low)
+            np.maximum.at(most, node, gain)
+            top = gain == most[node]
+            best = np.full(n, n)
+            np.minimum.at(best, node[top], voted[top])
+            moves = (half == k % 2) & (most > stay) & (best < n)
+            label = np.where(moves, best, label)
+            still = 0 if moves.any() else still + 1
+            if still == 2:
+                break
+        _, home = np.unique(label, return_inverse=True)
+        first = np.full(home.max() + 1, n)
+        np.minimum.at(first, home, np.arange(n))
+        yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(names[first[home]], kind)], ["node", "community"])
+
+    return run
+
+
+def label_communities(edges: DataFrame, rounds: int = 50, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+    """(node, community) by label propagation on the undirected graph: each node takes the label around it that gains most
+    modularity, the smallest on ties, and keeps its own unless another gains more.  In odd rounds only the one half of the
     nodes moves, in even rounds the other one (by hash), so neighbours don't swap labels for ever; it ends when neither
-    half moves."""
+    half moves, or after ``rounds``.  Up to ``max_task_edges`` edges the rounds run in one task, with the same result."""
     e = clean(edges).where(F.col("src") != F.col("dst"))
     both = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
-    labels = materialize(nodes_of(edges).withColumn("label", F.col("node")), "labels")
+    lone = nodes_of(edges).join(both.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.col("node").alias("community"))
+    ends = both.count()
+    if ends <= max_task_edges:
+        kind = dict(both.dtypes)["src"]
+        found = both.withColumn("half", F.pmod(F.xxhash64("src"), F.lit(2))).repartition(1).mapInArrow(_label_task(rounds), f"node {kind}, community {kind}")
+        return materialize(found, "labels").unionByName(lone)
+    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")).withColumn("label", F.col("node")), "labels")
     still = 0
     for k in range(rounds):
-        mine = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
+        total = labels.groupBy("label").agg(F.sum("degree").alias("total"))
+        own = labels.select("node", F.col("label").alias("own"), "degree")
         votes = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count(F.lit(1)).alias("n"))
-        own = votes.join(labels.select("node", F.col("label").alias("own")), "node")
-        best = own.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("k"), "label")).alias("top"), F.max(F.when(F.col("label") == F.col("own"), F.col("n"))).alias("kept"))
-        better = F.col("top").isNotNull() & (F.coalesce("kept", F.lit(0)) < -F.col("top.k")) & mine
-        new = labels.join(best, "node", "left").select("node", F.when(better, F.col("top.label")).otherwise(F.col("label")).alias("label"), better.alias("moved"))
-        new = materialize(new, "labels")
+        x = votes.unionByName(own.select("node", F.col("own").alias("label"), F.lit(0).cast("long").alias("n"))).groupBy("node", "label").agg(F.sum("n").alias("n"))
+        x = x.join(total, "label").join(own, "node")
+        gain = ends * F.col("n") - F.col("degree") * (F.col("total") - F.when(F.col("label") == F.col("own"), F.col("degree")).otherwise(0))
+        x = x.select("node", "label", "own", gain.alias("gain"))
+        best = x.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("k"), "label")).alias("top"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
+        moves = (-F.col("top.k") > F.col("stay")) & (F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2)
+        new = materialize(labels.join(best, "node").select("node", "degree", F.when(moves, F.col("top.label")).otherwise(F.col("label")).alias("label"), moves.alias("moved")), "labels")
         still = still + 1 if new.where("moved").isEmpty() else 0
         release(labels)
-        labels = new.select("node", "label")
+        labels = new.select("node", "degree", "label")
         if still == 2:
             break
     named = labels.groupBy("label").agg(F.min("node").alias("community"))
-    return labels.join(named, "label").select("node", "community")
+    return labels.join(named, "label").select("node", "community").unionByName(lone)
 
 
 def feedback_order(pdf: pd.DataFrame) -> pd.DataFrame:

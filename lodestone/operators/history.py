@@ -47,20 +47,22 @@ def co_changes(commits: DataFrame, group: Column, lg_size: int = 16) -> DataFram
     return g.join(sketches, "g").groupBy("path").agg((F.hll_sketch_estimate(F.hll_union_agg("s")) - 1).alias("co_change_partners"))
 
 
-def owner_in_ranges(blame: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
-    """Blame lines (file_path, line_no, sha, author_ts, author) within functions (file_path, function, start, end): the author
-    of most lines, their share, distinct commits and the lower median time.
+def owner_in_ranges(blame: DataFrame, ranges: DataFrame, width: int = 64, since: int = 0) -> DataFrame:
+    """Blame lines (file_path, line_no, sha, author_ts, author, email) within functions (file_path, function, start, end): the
+    author of most lines, their first e-mail that isn't empty, their share, distinct commits, those from ``since`` on, and the
+    lower median time.
 
     A range join: both sides are cut into blocks of ``width`` lines, so the join is on equality of (file, block) and the
     bounds are a residual filter; a line never meets functions of other blocks."""
     r = ranges.withColumn("block", F.explode(F.sequence((F.col("start") / width).cast("int"), (F.col("end") / width).cast("int"))))
     b = blame.withColumn("block", (F.col("line_no") / width).cast("int"))
     j = b.join(r, ["file_path", "block"]).where(F.col("line_no").between(F.col("start"), F.col("end")))
-    per = j.groupBy("file_path", "function", "author").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("file_path", "function").agg(F.min(F.struct((-F.col("n")).alias("k"), "author")).alias("t"), F.sum("n").alias("lines"))
+    mail = F.min(F.when(F.col("email") != "", F.struct("line_no", "sha", "email")))["email"]
+    per = j.groupBy("file_path", "function", "author").agg(F.count(F.lit(1)).alias("n"), F.coalesce(mail, F.lit("")).alias("email"))
+    top = per.groupBy("file_path", "function").agg(F.min(F.struct((-F.col("n")).alias("k"), "author", "email")).alias("t"), F.sum("n").alias("lines"))
     times = j.where("author_ts > 0").groupBy("file_path", "function").agg(F.floor(F.percentile("author_ts", 0.5)).alias("median_ts"))
-    shas = j.groupBy("file_path", "function").agg(F.countDistinct("sha").alias("commits"))
-    return top.join(shas, ["file_path", "function"]).join(times, ["file_path", "function"], "left").select("file_path", "function", F.col("t.author").alias("owner"), (-F.col("t.k") / F.col("lines")).alias("share"), "lines", "commits", "median_ts")
+    shas = j.groupBy("file_path", "function").agg(F.countDistinct("sha").alias("commits"), F.countDistinct(F.when(F.col("author_ts") >= since, F.col("sha"))).alias("recent_commits"))
+    return top.join(shas, ["file_path", "function"]).join(times, ["file_path", "function"], "left").select("file_path", "function", F.col("t.author").alias("owner"), F.col("t.email").alias("email"), (-F.col("t.k") / F.col("lines")).alias("share"), "lines", "commits", "recent_commits", "median_ts")
 
 
 def churn_windows(commits: DataFrame, length: str = "1 day") -> DataFrame:

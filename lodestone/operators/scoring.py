@@ -90,9 +90,9 @@ def file_scores(findings: DataFrame) -> DataFrame:
 
 
 def finding_impacts(findings: DataFrame) -> DataFrame:
-    """Each finding's share of the capped defect points.  The sums are pre-aggregated and joined back on
-    (file_path, category), so no window gathers all findings of a hot file in one task."""
-    w = weighted(findings).where(F.col("dim") == "defect")
-    sums = category_sums(findings).where(F.col("dim") == "defect").select("file_path", "category", F.col("points").alias("total"), "counted")
-    j = w.join(sums, ["file_path", "category"])
-    return j.select("finding_id", "file_path", F.when(F.col("total") > 0, F.col("points") * F.col("counted") / F.col("total")).otherwise(0.0).alias("impact"))
+    """Each finding's share of the capped points of its category, in its home dimension.  The sums are pre-aggregated and
+    joined back, so no window gathers all findings of a hot file in one task."""
+    w = weighted(findings).where(F.col("dim") == home_dimension(F.col("biomarker_type")))
+    sums = category_sums(findings).select("file_path", "dim", "category", F.col("points").alias("total"), "counted")
+    j = w.join(sums, ["file_path", "dim", "category"])
+    return j.select("finding_id", "file_path", "dim", F.when(F.col("total") > 0, F.col("points") * F.col("counted") / F.col("total")).otherwise(0.0).alias("impact"))

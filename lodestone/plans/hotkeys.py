@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.eager import distinct_partners, eager_join, roll_up
+from lodestone.operators.eager import eager_join, roll_up
 from lodestone.tables import once, table
 
 
@@ -15,10 +15,15 @@ def import_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dependents(spark: SparkSession, d: str) -> DataFrame:
-    """One row per file: its stored dependents_count and the counted importers, 0 when there is none."""
-    files = once(table(spark, d, "file_contexts"), "file_id", "repo_id", "file_path", "dependents_count")
-    counted = distinct_partners(import_edges(spark, d), "target", "source", "importers")
-    return files.join(counted, files["file_path"] == counted["key"], "left").select("file_id", "repo_id", "file_path", "dependents_count", F.coalesce("importers", F.lit(0)).alias("importers"))
+    """One row per file: its stored dependents_count and the counted importers, 0 when there is none.
+
+    Edges shrink to one row per (target, source), spread by both, and then to one state per target; files to one state per
+    path and numbers; the states join, their counts multiply, and what is joined is rolled up to files."""
+    edges = import_edges(spark, d).where(F.col("target").isNotNull() & F.col("source").isNotNull()).distinct()
+    by = ("file_id", "repo_id", "dependents_count")
+    files = once(table(spark, d, "file_contexts"), "file_path", *by)
+    states = eager_join(files, edges, "file_path", "target", right_sums={"importers": F.lit(1)}, how="left", left_by=by)
+    return roll_up(states, [F.col(c) for c in ("key", *by)], ["importers"]).select("file_id", "repo_id", F.col("key").alias("file_path"), "dependents_count", F.coalesce("importers", F.lit(0)).alias("importers"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

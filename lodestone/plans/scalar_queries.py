@@ -22,7 +22,7 @@ def p1_p2_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_suffix_lookup(spark: SparkSession, d: str) -> DataFrame:
-    n = R.nodes(R.calls(spark, d))
+    n = R.nodes(R.main_calls(spark, d))
     return n.where(F.endswith(F.col("node"), F.concat(F.lit("::"), F.lit("main")))).select("node")
 
 
@@ -58,7 +58,7 @@ def p11_safe_to_delete(spark: SparkSession, d: str) -> DataFrame:
     f = _files(spark, d)
     idle = f.join(R.imports(spark, d).where("src <> dst").select(F.col("dst").alias("file_path")), "file_path", "left_anti")
     confidence = F.when(F.col("has_test_file"), 0.5).otherwise(0.9)
-    return idle.select("file_id", P.safe_to_delete(confidence, F.col("path")).alias("safe"))
+    return idle.select("file_id", P.safe_to_delete(confidence, F.col("path"), F.col("nloc") > 0).alias("safe"))
 
 
 def p12_p13_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +112,46 @@ def w5_most_complex(spark: SparkSession, d: str) -> DataFrame:
     return R.ccn(spark, d).orderBy(F.desc("ccn"), "node").limit(20)
 
 
+def test_gaps(affected: DataFrame, tests: DataFrame) -> DataFrame:
+    """The ``affected`` files (path) without a test: no test's file name (path) holds ``test_{base}``, ``{base}_test`` or
+    ``{base}.spec.``, base being the file's name without its last extension.
+
+    A substring search compares every file with every test.  Here a test's name gives what its text could be a test of: all
+    beginnings of what stands behind ``test_``, and all ends of what stands before ``_test`` or ``.spec.``; an equi anti-join
+    does the rest.  Names are short, so a test gives a bounded number of rows."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    t = tests.select(name("path").alias("n")).distinct()
+    at = F.sequence(F.lit(1), F.length("n"))
+    starts = lambda mark: F.filter(at, lambda i: F.substring(F.col("n"), i, F.lit(len(mark))) == mark)
+    after = F.flatten(F.transform(starts("test_"), lambda i: F.transform(F.sequence(F.lit(0), F.length("n") - i - 4), lambda k: F.substring(F.col("n"), i + 5, k))))
+    before = lambda mark: F.flatten(F.transform(starts(mark), lambda i: F.transform(F.sequence(F.lit(1), i), lambda k: F.substring(F.col("n"), k, i - k))))
+    bases = t.select(F.explode(F.array_distinct(F.concat(after, before("_test"), before(".spec.")))).alias("base")).distinct()
+    f = affected.withColumn("base", F.regexp_replace(name("path"), r"(?<=.)\.[^.]*$", ""))
+    return f.join(bases, "base", "left_anti").select("path")
+
+
 def j8_test_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Python files of the code folders without a test that bears their name: the name that a test would have is built on
-    both sides, so an equi anti-join takes the place of a substring search."""
-    f = _files(spark, d).where(F.col("path").endswith(".py")).withColumn("base", P.stem(F.col("path")))
-    tests = f.where(F.col("base").rlike("^test_|_test$")).select(F.regexp_replace("base", "^test_|_test$", "").alias("base")).distinct()
-    return f.where(~F.col("base").rlike("^test_|_test$")).join(tests, "base", "left_anti").select("file_id")
+    f = R.file_context(spark, d).select(F.col("file_path").alias("path")).distinct()
+    return test_gaps(f, f)
+
+
+def p32_test_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d).where(F.col("path").startswith("test")).select("file_id")
+
+
+def j5_line_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with the first line that is known of it, 1 where none is."""
+    known = R.findings(spark, d).where("line_start IS NOT NULL").groupBy(F.col("file_path").alias("node")).agg(F.min("line_start").alias("line"))
+    return R.nodes(R.calls(spark, d)).join(known, "node", "left").select("node", F.coalesce("line", F.lit(1)).alias("line"))
+
+
+def a21_rate_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts joined to a small table of rates and rolled up: characters by source, one half for sources without a rate."""
+    c = lambda x: F.lower(F.trim(x))
+    used = table(spark, d, "documents").groupBy(F.coalesce(c("source"), F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("items"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("amount"))
+    rates = table(spark, d, "mix_targets").select(c("source").alias("source"), F.col("target_share").alias("rate")).distinct()
+    x = used.join(F.broadcast(rates), "source", "left")  # 13 rates
+    return x.select("source", "items", "amount", F.round(F.col("amount") * F.coalesce("rate", F.lit(0.5)), 4).alias("total"))
 
 
 def j15_cross_layer(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +179,8 @@ def w8_layer_order(spark: SparkSession, d: str) -> DataFrame:
     return x.select("layer", F.row_number().over(order).alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (a4_histograms, s14_changed_filter, j4_default_ccn, w5_most_complex, j8_test_gaps, j15_cross_layer, a22_layer_net, w8_layer_order)}
-QUERIES |= {f"scalar_{f.__name__}": f for f in (p1_p2_names, p3_suffix_lookup, p4_module_paths, p7_layers, p8_simple_layers, p9_risk_tags, p11_safe_to_delete, p12_p13_levels, p15_repo_risk, p16_deductions, p22_labels, p29_mock_embedding, p30_file_risk)}
+QUERIES = {f.__name__: f for f in (a4_histograms, s14_changed_filter, j4_default_ccn, w5_most_complex, j8_test_gaps, j5_line_numbers, a21_rate_rollup, j15_cross_layer, a22_layer_net, w8_layer_order)}
+QUERIES |= {f"scalar_{f.__name__}": f for f in (p1_p2_names, p3_suffix_lookup, p4_module_paths, p7_layers, p8_simple_layers, p9_risk_tags, p11_safe_to_delete, p12_p13_levels, p15_repo_risk, p16_deductions, p22_labels, p29_mock_embedding, p30_file_risk, p32_test_paths)}
 
 _L = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _HINT = "CASE " + " ".join(f"WHEN x IN ({', '.join(repr(m) for m in ms)}) THEN '{g}'" for g, ms in P.LAYER_HINTS.items()) + " END"
@@ -166,17 +200,20 @@ SQL = {
     "s14_changed_filter": _F + r"SELECT file_id FROM fl WHERE regexp_matches(path, '\.(py|js)$') AND NOT list_has_any(string_split(path, '/'), ['tests', 'build', '__pycache__', '.venv'])",
     "j4_default_ccn": R.with_("calls", "nodes", "ccn") + "SELECT node, coalesce(ccn, 1) AS ccn FROM nodes LEFT JOIN ccn USING (node)",
     "w5_most_complex": R.with_("ccn") + "SELECT node, ccn FROM ccn ORDER BY ccn DESC, node LIMIT 20",
-    "j8_test_gaps": _F.rstrip() + ", t AS (SELECT DISTINCT regexp_replace(stem, '^test_|_test$', '') AS base FROM fl WHERE path LIKE '%.py' AND regexp_matches(stem, '^test_|_test$')) SELECT file_id FROM fl WHERE path LIKE '%.py' AND NOT regexp_matches(stem, '^test_|_test$') AND stem NOT IN (SELECT base FROM t)",
+    "j8_test_gaps": "WITH f AS (SELECT DISTINCT file_path AS path FROM file_contexts), t AS (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS n FROM f WHERE path LIKE '%test%' OR path LIKE '%.spec.%'), b AS (SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS base FROM f) SELECT path FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(n, 'test_' || base) OR contains(n, base || '_test') OR contains(n, base || '.spec.'))",
+    "j5_line_numbers": R.with_("calls", "nodes", "findings") + "SELECT node, coalesce(line, 1) AS line FROM nodes LEFT JOIN (SELECT file_path AS node, min(line_start) AS line FROM findings WHERE line_start IS NOT NULL GROUP BY 1) USING (node)",
+    "a21_rate_rollup": "WITH u AS (SELECT coalesce(lower(trim(source)), 'unknown') AS source, count(*) AS items, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS amount FROM documents GROUP BY 1) SELECT u.source, items, amount, round(amount * coalesce(target_share, 0.5), 4) AS total FROM u LEFT JOIN mix_targets m ON u.source = lower(trim(m.source))",
+    "scalar_p32_test_paths": _F + "SELECT file_id FROM fl WHERE path LIKE 'test%'",
     "j15_cross_layer": _X + "SELECT * FROM xl",
     "a22_layer_net": _X + "SELECT * FROM net",
     "w8_layer_order": _X + "SELECT layer, CAST(row_number() OVER (ORDER BY layer IN ('Test', 'Docs & Tooling'), CASE WHEN layer IN ('Test', 'Docs & Tooling') THEN 0 ELSE coalesce(net, 0) END, " + "CASE layer " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.LAYER_RANK.items()) + " END) AS INTEGER) AS place FROM (SELECT DISTINCT layer FROM fl) LEFT JOIN net USING (layer)",
     "scalar_p1_p2_names": R.with_("depends") + "SELECT DISTINCT src AS node, split_part(src, '::', 1) AS file, split_part(src, '::', -1) AS label, split_part(split_part(src, '::', -1), '.', -1) AS bare FROM depends",
-    "scalar_p3_suffix_lookup": R.with_("calls", "nodes") + "SELECT node FROM nodes WHERE node LIKE '%::main'",
+    "scalar_p3_suffix_lookup": R.with_("main_calls", "main_nodes") + "SELECT node FROM main_nodes WHERE node LIKE '%::main'",
     "scalar_p4_module_paths": _F + "SELECT DISTINCT replace(regexp_replace(a.file_path, '\\.py$', ''), '/', '.') AS module, b.file_path FROM fl a LEFT JOIN fl b ON b.file_path = replace(replace(regexp_replace(a.file_path, '\\.py$', ''), '/', '.'), '.', '/') || '.py' WHERE a.file_path LIKE '%.py'",
     "scalar_p7_layers": _F + "SELECT file_id, layer FROM fl",
     "scalar_p8_simple_layers": _F + f"SELECT file_id, CASE WHEN {_HAS('test', 'tests')} THEN 'Test' WHEN {_HAS('api', 'routes', 'routers', 'controllers')} THEN 'API' WHEN {_HAS('models', 'db', 'persistence')} THEN 'Data' WHEN {_HAS('services', 'core')} THEN 'Service' WHEN {_HAS('components', 'views', 'pages', 'ui')} THEN 'UI' WHEN {_HAS('config', 'settings')} THEN 'Config' ELSE 'Utility' END AS layer FROM fl",
     "scalar_p9_risk_tags": _F + f"SELECT file_id, array_to_string({_TAGS}, ',') AS tags, CASE WHEN len({_TAGS}) > 0 THEN 'Runtime-load risk: ' || array_to_string(list_transform({_TAGS}, lambda x: CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.TAG_TEXT.items()) + " END), ', ') END AS evidence FROM fl",
-    "scalar_p11_safe_to_delete": _F.rstrip() + ", " + R.SQL["imports"] + f" SELECT file_id, NOT has_test_file AND len({_TAGS}) = 0 AS safe FROM fl WHERE file_path NOT IN (SELECT dst FROM imports WHERE src <> dst)",
+    "scalar_p11_safe_to_delete": _F.rstrip() + ", " + R.SQL["imports"] + f" SELECT file_id, coalesce(nloc > 0, false) AND NOT has_test_file AND len({_TAGS}) = 0 AS safe FROM fl WHERE file_path NOT IN (SELECT dst FROM imports WHERE src <> dst)",
     "scalar_p12_p13_levels": R.with_("ccn") + "SELECT node, CASE WHEN ccn > 10 THEN 'complex' WHEN ccn > 5 THEN 'moderate' ELSE 'simple' END AS bucket, CASE WHEN ccn >= 10 THEN 'HIGH' WHEN ccn >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ccn",
     "scalar_p15_repo_risk": _F.rstrip() + ", " + R.SQL["imports"] + ", g AS (SELECT dst, count(*) AS n FROM imports GROUP BY dst), j AS (SELECT repo_id, coalesce(max(n), 0) AS top, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM fl LEFT JOIN g ON file_path = dst GROUP BY repo_id) SELECT repo_id, total, CASE WHEN top >= 5 OR total >= 5 THEN 'HIGH' WHEN top >= 3 OR total >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM j",
     "scalar_p16_deductions": R.with_("findings") + "SELECT severity, count(*) AS n, max(CASE severity WHEN 'low' THEN 0.3 WHEN 'medium' THEN 0.7 WHEN 'high' THEN 1.2 WHEN 'critical' THEN 2.0 ELSE 0.5 END)::DOUBLE AS points FROM findings GROUP BY severity",

@@ -9,25 +9,29 @@ from lodestone import relations as R
 from lodestone.functions import paths as P
 from lodestone.operators import graph as G
 from lodestone.plans import graph_queries as GQ
+from lodestone.plans import history_queries as HQ
+from lodestone.plans import scalar_queries as SQ
 from lodestone.plans.scalar_queries import _F as _LAYERED
 from lodestone.sources import line_sources, python_source, registry
+from lodestone.session import materialize
 from lodestone.streaming.watch import snapshot_diff
 from lodestone.tables import table
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "file_contexts").select(F.col("file_path").alias("path"), "content").distinct()
+    """All deliveries: what a parser finds in them is small, and repeats go there, not among the texts."""
+    return table(spark, d, "file_contexts").select(F.col("file_path").alias("path"), "content")
 
 
 def s5_python_functions(spark: SparkSession, d: str) -> DataFrame:
     """Functions of all Python files with complexity, nesting and length."""
     rows = python_source.parse(_sources(spark, d).where(F.col("path").endswith(".py")))
-    return python_source.functions(rows).select("node", "lineno", "ccn", "depth", "loc", "n_vars", "n_ifs", "n_args")
+    return python_source.functions(rows).select("node", "lineno", "ccn", "depth", "loc", "n_vars", "n_ifs", "n_args").distinct()
 
 
 def s6_line_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Functions per file of the languages that are read by lines."""
-    rows = line_sources.parse(_sources(spark, d).where(~F.col("path").endswith(".py")))
+    """Functions and different calls per file of the languages that are read by lines."""
+    rows = line_sources.parse(_sources(spark, d).where(~F.col("path").endswith(".py"))).distinct()
     return rows.groupBy("path").agg(F.sum((F.col("kind") == "function").cast("long")).alias("functions"), F.sum((F.col("kind") == "call").cast("long")).alias("calls"))
 
 
@@ -42,7 +46,7 @@ def s11_entries(spark: SparkSession, d: str) -> DataFrame:
 def s10_parse_errors(spark: SparkSession, d: str) -> DataFrame:
     """Python files that the parser skips; the scan goes on without them."""
     rows = python_source.parse(_sources(spark, d).where(F.col("path").endswith(".py")))
-    return rows.where("kind = 'error'").select("path")
+    return rows.where("kind = 'error'").select("path").distinct()
 
 
 def s24_overview(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +56,7 @@ def s24_overview(spark: SparkSession, d: str) -> DataFrame:
 
 def b_syntax_findings(spark: SparkSession, d: str) -> DataFrame:
     rows = python_source.parse(_sources(spark, d).where(F.col("path").endswith(".py")))
-    return python_source.syntax_findings(rows)
+    return python_source.syntax_findings(rows).distinct()
 
 
 def t2_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +73,8 @@ def t2_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def a26_compare(spark: SparkSession, d: str) -> DataFrame:
     """Changed functions of two sides, their summed impact, and the difference."""
-    k = F.regexp_extract("node", r"/f(\d+)\.py", 1).cast("int")
-    r = GQ.risks(spark, d).select("impact", (k % 17 == 0).alias("head"), (k % 13 == 0).alias("base"))
+    head, base = (x.select(F.col("path").alias("file"), F.lit(True).alias(n)) for x, n in ((R.changed_files(spark, d), "head"), (R.changed_before(spark, d), "base")))
+    r = GQ.risks(spark, d).withColumn("file", GQ.file_of()).join(head, "file", "left").join(base, "file", "left").select("impact", F.coalesce("head", F.lit(False)).alias("head"), F.coalesce("base", F.lit(False)).alias("base"))
     s = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("impact"))), F.lit(0)).cast("long")
     n = lambda c: F.sum(F.col(c).cast("long"))
     return r.agg(n("head").alias("head_functions"), n("base").alias("base_functions"), s("head").alias("head_risk"), s("base").alias("base_risk"), (s("head") - s("base")).alias("risk_delta"))
@@ -90,7 +94,7 @@ def a28_graph_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 def u3_affected(spark: SparkSession, d: str) -> DataFrame:
     """Changed files together with those that the change reaches."""
-    changed = R.file_context(spark, d).where("file_id % 97 = 0").select(F.col("file_path").alias("node"))
+    changed = R.changed_files(spark, d).select(F.col("path").alias("node"))
     return GQ.g16_blast_radius(spark, d).select("node").union(changed).distinct()
 
 
@@ -105,23 +109,35 @@ def w9_most_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g16_reviewers(spark: SparkSession, d: str) -> DataFrame:
-    """Repositories that a change reaches, by the summed rank of their reached files: who should look at it."""
-    x = GQ.g16_blast_radius(spark, d).join(R.file_context(spark, d), F.col("node") == F.col("file_path"))
-    return x.groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum(F.col("pagerank_score").cast("decimal(18,12)")).cast("double"), 6).alias("weight")).orderBy(F.desc("weight"), "repo_id").limit(5)
+    """Who should look at a change: the owners of the files that it touches or reaches, by their summed shares."""
+    return HQ.reviewers(u3_affected(spark, d).withColumnRenamed("node", "path"), HQ.file_owners(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (s5_python_functions, s6_line_functions, s10_project_edges, s10_parse_errors, s11_entries, s24_overview, b_syntax_findings, t2_snapshot_diff, a26_compare, a27_totals, a28_graph_fingerprint, u3_affected, w4_rank_threshold, w9_most_calls, g16_reviewers)}
+def g16_change_report(spark: SparkSession, d: str) -> DataFrame:
+    """One answer on a change: per affected file how far off it lies (0: changed itself), its risk, whether a test bears its
+    name, and its owner."""
+    changed = R.changed_files(spark, d).select(F.col("path").alias("node"), F.lit(0).alias("depth"))
+    near = materialize(changed.unionByName(GQ.g16_blast_radius(spark, d)), "affected")
+    gaps = SQ.test_gaps(near.select(F.col("node").alias("path")), R.file_context(spark, d).select(F.col("file_path").alias("path"))).select(F.col("path").alias("node"), F.lit(True).alias("gap"))
+    f = R.file_context(spark, d).select(F.col("file_path").alias("node"), "pagerank_score", "dependents_count")
+    o = HQ.file_owners(spark, d).select(F.col("path").alias("node"), F.col("name").alias("owner"))
+    risk = F.col("pagerank_score") * (1 + F.coalesce(F.col("dependents_count"), F.lit(0)).cast("double") / 100)
+    x = near.join(f, "node", "left").join(gaps, "node", "left").join(o, "node", "left")
+    return x.select("node", "depth", F.round(risk, 9).alias("risk"), F.coalesce("gap", F.lit(False)).alias("gap"), "owner")
+
+
+QUERIES = {f.__name__: f for f in (s5_python_functions, s6_line_functions, s10_project_edges, s10_parse_errors, s11_entries, s24_overview, b_syntax_findings, t2_snapshot_diff, a26_compare, a27_totals, a28_graph_fingerprint, u3_affected, w4_rank_threshold, w9_most_calls, g16_reviewers, g16_change_report)}
 
 _G16 = GQ.SQL["g16_blast_radius"]
-_LOOK = "SELECT path, max(sha) AS m FROM commits WHERE sha % 3 = {r} AND sha < {n} GROUP BY path"
 SQL = {
     "s24_overview": _LAYERED + "SELECT layer, count(*) AS files FROM fl WHERE file_path LIKE '%.py' GROUP BY layer",
-    "t2_snapshot_diff": R.with_("commits") + f"SELECT path, CASE WHEN a.m IS NULL THEN 'added' WHEN b.m IS NULL THEN 'removed' ELSE 'modified' END AS change FROM ({_LOOK.format(r=0, n=300)}) a FULL JOIN ({_LOOK.format(r=1, n=400)}) b USING (path) WHERE a.m IS NULL OR b.m IS NULL OR a.m <> b.m",
-    "a26_compare": GQ._RISK + r"SELECT CAST(count(*) FILTER (k % 17 = 0) AS BIGINT) AS head_functions, CAST(count(*) FILTER (k % 13 = 0) AS BIGINT) AS base_functions, CAST(coalesce(sum(impact) FILTER (k % 17 = 0), 0) AS BIGINT) AS head_risk, CAST(coalesce(sum(impact) FILTER (k % 13 = 0), 0) AS BIGINT) AS base_risk, CAST(coalesce(sum(impact) FILTER (k % 17 = 0), 0) - coalesce(sum(impact) FILTER (k % 13 = 0), 0) AS BIGINT) AS risk_delta FROM (SELECT *, CAST(regexp_extract(node, '/f([0-9]+)\.py', 1) AS INTEGER) AS k FROM risk)",
+    "t2_snapshot_diff": R.with_("commits").rstrip() + ", a AS (SELECT path, max({'ts': ts, 'sha': sha}) AS m FROM commits WHERE ts <= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM commits) GROUP BY path), b AS (SELECT path, max({'ts': ts, 'sha': sha}) AS m FROM commits GROUP BY path) SELECT path, CASE WHEN a.m IS NULL THEN 'added' WHEN b.m IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (path) WHERE a.m IS NULL OR b.m IS NULL OR a.m <> b.m",
+    "a26_compare": GQ._RISK.rstrip() + ", " + R.SQL["changed_before"] + ", x AS (SELECT impact, split_part(node, '::', 1) IN (SELECT path FROM changed) AS h, split_part(node, '::', 1) IN (SELECT path FROM changed_before) AS b FROM risk) SELECT CAST(count(*) FILTER (h) AS BIGINT) AS head_functions, CAST(count(*) FILTER (b) AS BIGINT) AS base_functions, CAST(coalesce(sum(impact) FILTER (h), 0) AS BIGINT) AS head_risk, CAST(coalesce(sum(impact) FILTER (b), 0) AS BIGINT) AS base_risk, CAST(coalesce(sum(impact) FILTER (h), 0) - coalesce(sum(impact) FILTER (b), 0) AS BIGINT) AS risk_delta FROM x",
     "a27_totals": f"SELECT CAST(sum(sum_risk) AS BIGINT) AS total, max(max_risk) AS top, CASE WHEN max(max_risk) >= 5 OR sum(sum_risk) >= 5 THEN 'HIGH' WHEN max(max_risk) >= 3 OR sum(sum_risk) >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM ({GQ.SQL['a24_changed_risk']})",
     "a28_graph_fingerprint": R.with_("calls", "nodes") + "SELECT bit_xor(CAST('0x' || substr(md5(node), 1, 15) AS BIGINT)) AS fingerprint, count(*) AS nodes FROM nodes",
-    "u3_affected": f"SELECT node FROM ({_G16}) UNION SELECT file_path FROM file_contexts WHERE file_id % 97 = 0",
-    "w4_rank_threshold": GQ._RANKS + " SELECT min(rank) AS threshold FROM (SELECT round(rank, 6) AS rank FROM r10 ORDER BY 1 DESC LIMIT 51)",
+    "u3_affected": f"SELECT node FROM ({_G16}) UNION SELECT path FROM ({R.with_('changed')} SELECT path FROM changed)",
+    "w4_rank_threshold": GQ._RANKS + " SELECT min(rank) AS threshold FROM (SELECT rank FROM ranks ORDER BY 1 DESC LIMIT 51)",
     "w9_most_calls": R.with_("depends") + "SELECT node, CAST(outgoing AS BIGINT) AS outgoing FROM (SELECT node, sum(o) AS outgoing FROM (SELECT src AS node, 1 AS o FROM depends UNION ALL SELECT dst, 0 FROM depends) GROUP BY node) ORDER BY outgoing DESC, node LIMIT 50",
-    "g16_reviewers": f"SELECT repo_id, count(*) AS files, round(CAST(sum(CAST(pagerank_score AS DECIMAL(18,12))) AS DOUBLE), 6) AS weight FROM ({_G16}) JOIN (SELECT DISTINCT file_id, repo_id, file_path, pagerank_score FROM file_contexts) ON node = file_path GROUP BY repo_id ORDER BY weight DESC, repo_id LIMIT 5",
+    "g16_reviewers": f"WITH aff AS (SELECT node AS path FROM ({_G16}) UNION SELECT path FROM ({R.with_('changed')} SELECT path FROM changed)), {HQ._OWNERS} SELECT name, email, round(sum(share), 3) AS relevance FROM aff JOIN owners USING (path) GROUP BY name, email ORDER BY relevance DESC, name LIMIT 5",
+    "g16_change_report": f"WITH aff AS (SELECT node, depth FROM ({_G16}) UNION ALL SELECT path, 0 FROM ({R.with_('changed')} SELECT path FROM changed)), {HQ._OWNERS}, fc AS (SELECT DISTINCT file_path, pagerank_score, dependents_count FROM file_contexts), tp AS (SELECT DISTINCT regexp_extract(file_path, '[^/]*$') AS f FROM file_contexts), b AS (SELECT node, regexp_replace(regexp_extract(node, '[^/]*$'), '\\.[^.]*$', '') AS base FROM aff) SELECT aff.node, CAST(depth AS INTEGER) AS depth, round(pagerank_score * (1 + coalesce(dependents_count, 0)::DOUBLE / 100), 9) AS risk, NOT EXISTS (SELECT 1 FROM tp, b WHERE b.node = aff.node AND (contains(tp.f, 'test_' || b.base) OR contains(tp.f, b.base || '_test') OR contains(tp.f, b.base || '.spec.'))) AS gap, name AS owner FROM aff LEFT JOIN fc ON node = file_path LEFT JOIN owners ON owners.path = node",
 }

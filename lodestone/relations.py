@@ -4,9 +4,12 @@
 file_context    file_contexts, one row per file
 imports         kg_edges of type imports between two named files, without repeats
 depends         kg_edges of type depends_on between two named functions, without repeats
-calls           a call graph with cycles and self-calls: one edge per part, from the part to the supplier of its first line
-                item; both numbers share one space of function names
-ccn             cyclomatic complexity of some functions of ``calls`` (the others default to 1)
+calls           the whole knowledge graph: every edge, of files and of functions, whose target is known and inside
+main_calls      a function graph with cycles and self-calls from all line items: each part calls the supplier that ships most
+                of it; both numbers share one space of function names
+ccn             complexity of the files that have lines: one and a twentieth of the lines (the others default to 1)
+part_ccn        complexity of the functions of ``main_calls`` that are parts
+changed         files scanned in the last thirty days; ``changed_before``: in the thirty days before
 commits         events as commits: author, time, file, whether it fixes a bug
 findings        health_findings, one row per finding
 ==============  =====================================================================================================
@@ -44,8 +47,14 @@ def depends(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey"))["l_suppkey"].alias("s"))
-    return first.select(function_name(F.col("l_partkey")).alias("src"), function_name(F.col("s")).alias("dst")).distinct()
+    e = table(spark, d, "kg_edges").where(F.col("target").isNotNull() & ~F.col("target").startswith("ext:"))
+    return e.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+
+
+def main_calls(spark: SparkSession, d: str) -> DataFrame:
+    shipped = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    best = shipped.groupBy("l_partkey").agg(F.min(F.struct((-F.col("q")).alias("k"), "l_suppkey"))["l_suppkey"].alias("s"))
+    return best.select(function_name(F.col("l_partkey")).alias("src"), function_name(F.col("s")).alias("dst")).distinct()
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -53,14 +62,27 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def ccn(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where(F.col("p_partkey") % 5 != 0)
-    return p.groupBy(function_name(F.col("p_partkey")).alias("node")).agg(F.max(F.lit(1) + F.col("p_size") % 30).alias("ccn"))
+    f = table(spark, d, "file_contexts").where(F.col("nloc").isNotNull())
+    return f.groupBy(F.col("file_path").alias("node")).agg(F.max(F.lit(1) + F.floor(F.col("nloc") / 20).cast("int")).alias("ccn"))
+
+
+def part_ccn(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy(function_name(F.col("p_partkey")).alias("node")).agg(F.max(F.lit(1) + F.col("p_size") % 30).alias("ccn"))
+
+
+def _scanned(spark: SparkSession, d: str, since: int, until: int) -> DataFrame:
+    f = table(spark, d, "file_contexts").select(F.col("file_path").alias("path"), "scanned_at")
+    last = f.agg(F.max("scanned_at").alias("last"))  # one row
+    age = lambda days: F.col("last") - F.expr(f"INTERVAL {days} DAYS")
+    return f.join(F.broadcast(last)).where((F.col("scanned_at") >= age(since)) & (F.col("scanned_at") <= age(until))).select("path").distinct()
 
 
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
-    """Every 17th file of the call graph stands as changed."""
-    f = nodes(calls(spark, d)).select(F.split_part("node", F.lit("::"), F.lit(1)).alias("path")).distinct()
-    return f.where(F.regexp_extract("path", r"/f(\d+)\.py", 1).cast("int") % 17 == 0)
+    return _scanned(spark, d, 30, 0)
+
+
+def changed_before(spark: SparkSession, d: str) -> DataFrame:
+    return _scanned(spark, d, 60, 30)
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
@@ -79,10 +101,14 @@ SQL = {
     "file_context": "file_context AS (SELECT DISTINCT file_id, repo_id, file_path, language, nloc, has_test_file, module, dependents_count, pagerank_score, duplication_pct FROM file_contexts)",
     "imports": "imports AS (SELECT DISTINCT source AS src, target AS dst FROM kg_edges WHERE type = 'imports' AND target IS NOT NULL)",
     "depends": "depends AS (SELECT DISTINCT source AS src, target AS dst FROM kg_edges WHERE type = 'depends_on' AND target IS NOT NULL)",
-    "calls": f"calls AS (SELECT DISTINCT {_sql_name('l_partkey')} AS src, {_sql_name('l_suppkey')} AS dst FROM (SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS rn FROM lineitem) WHERE rn = 1)",
+    "calls": "calls AS (SELECT DISTINCT source AS src, target AS dst FROM kg_edges WHERE target IS NOT NULL AND target NOT LIKE 'ext:%')",
+    "main_calls": f"main_calls AS (SELECT DISTINCT {_sql_name('l_partkey')} AS src, {_sql_name('l_suppkey')} AS dst FROM (SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY sum(CAST(l_quantity AS BIGINT)) DESC, l_suppkey) AS rn FROM lineitem GROUP BY l_partkey, l_suppkey) WHERE rn = 1)",
+    "main_nodes": "main_nodes AS (SELECT src AS node FROM main_calls UNION SELECT dst FROM main_calls)",
     "nodes": "nodes AS (SELECT src AS node FROM calls UNION SELECT dst FROM calls)",
-    "ccn": f"ccn AS (SELECT {_sql_name('p_partkey')} AS node, max(1 + p_size % 30) AS ccn FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1)",
-    "changed": "changed AS (SELECT path FROM (SELECT DISTINCT split_part(node, '::', 1) AS path FROM nodes) WHERE CAST(regexp_extract(path, '/f([0-9]+)\\.py', 1) AS INTEGER) % 17 = 0)",
+    "ccn": "ccn AS (SELECT file_path AS node, CAST(max(1 + nloc // 20) AS INTEGER) AS ccn FROM file_contexts WHERE nloc IS NOT NULL GROUP BY 1)",
+    "part_ccn": f"part_ccn AS (SELECT {_sql_name('p_partkey')} AS node, max(1 + p_size % 30) AS ccn FROM part GROUP BY 1)",
+    "changed": "changed AS (SELECT DISTINCT file_path AS path FROM file_contexts WHERE scanned_at >= (SELECT max(scanned_at) FROM file_contexts) - INTERVAL 30 DAY)",
+    "changed_before": "changed_before AS (SELECT DISTINCT file_path AS path FROM file_contexts WHERE scanned_at BETWEEN (SELECT max(scanned_at) FROM file_contexts) - INTERVAL 60 DAY AND (SELECT max(scanned_at) FROM file_contexts) - INTERVAL 30 DAY)",
     "closure": "closure AS (SELECT src, dst FROM calls UNION SELECT c.src, e.dst FROM closure c JOIN calls e ON c.dst = e.src)",
     "commits": "commits AS (SELECT event_id AS sha, 'dev' || user_id AS author, ts, 'src/f' || CAST(json_extract(props, '$.k') AS INTEGER) || '.py' AS path, event_type = 'error' AS is_fix, value FROM events)",
     "findings": "findings AS (SELECT DISTINCT finding_id, file_path, biomarker_type, severity, function_name, line_start, line_end, deduction, health_impact, dimension FROM health_findings)",

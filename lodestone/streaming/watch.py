@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,25 +23,26 @@ def change_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the last time of each path and reports added, modified or removed; older or equal events report nothing."""
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("mtime")
-    said = []
-    for _, r in rows.iterrows():
-        at = r["mtime"].value
-        if last is not None and at <= last:
-            continue
-        kind = "removed" if pd.isna(r["content"]) else "modified" if last is not None else "added"
-        said.append((key[0], r["mtime"], kind))
-        last = at
+    """Keeps of each path the time of its last event and whether the file is there, also when it is gone: a file that comes
+    again is added, the removal of one that isn't there reports nothing, nor do older or equal events."""
+    last, there = state.get if state.exists else (None, False)
+    rows = pd.concat(list(frames)).sort_values("mtime", kind="stable").drop_duplicates("mtime", keep="last")
+    at = rows["mtime"].astype("int64")
     if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(said, columns=["path", "mtime", "change"])
+        rows, at = rows[at > last], at[at > last]
+    now = rows["content"].notna()
+    was = now.shift(1, fill_value=there)
+    change = pd.Series("modified", index=rows.index).mask(now & ~was, "added").mask(~now, "removed")
+    said = now | was
+    if len(rows):
+        state.update((int(at.iloc[-1]), bool(now.iloc[-1])))
+    yield pd.DataFrame({"path": [key[0]] * int(said.sum()), "mtime": rows["mtime"][said].to_numpy(), "change": change[said].to_numpy()}, columns=["path", "mtime", "change"])
 
 
 def changes(stream: DataFrame) -> DataFrame:
-    """(path, mtime, change): the difference of each path to what was seen before, held as state per path."""
-    return stream.groupBy("path").applyInPandasWithState(_state, "path string, mtime timestamp, change string", "mtime bigint", "append", GroupStateTimeout.NoTimeout)
+    """(path, mtime, change): the difference of each path to what was seen before, held as state per path.  The state of a path
+    is a time and a flag and never expires: a file may come again after any time."""
+    return stream.groupBy("path").applyInPandasWithState(_state, "path string, mtime timestamp, change string", "mtime bigint, there boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -56,36 +58,60 @@ def apply_changes(edges: DataFrame, touched: DataFrame, new_edges: DataFrame) ->
     return edges.withColumn("path", file).join(touched.select("path").distinct(), "path", "left_anti").select("src", "dst").unionByName(new_edges.select("src", "dst")).distinct()
 
 
-def maintain(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, on_batch: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Keeps the edge table below ``folder`` current: each micro-batch replaces the edges of its files in a new version.
+#: Batches after which what they wrote is put together.
+COMPACT = 16
 
-    The latest event of a path in the batch counts.  A version is written whole before the pointer names it, so a batch that
-    is run again gives the same table."""
+
+def maintain(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, on_batch: Callable[[DataFrame], None] | None = None, compact: int = COMPACT) -> StreamingQuery:
+    """Keeps the edge table below ``folder`` current.  A micro-batch writes the files that it touches and their edges only;
+    of a file, the edges of the last batch that touches it count.  Every ``compact`` batches these are put together as one.
+
+    The latest event of a path in the batch counts.  A batch is written whole before its entry names it, so a batch that is
+    run again gives the same table."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy("path").agg(F.max(F.struct("mtime", "content")).alias("m")).select("path", "m.content").persist()
-        old = current(spark, folder)
-        new = parse(last.where("content IS NOT NULL"))
-        after = apply_changes(old, last, new) if old is not None else new.select("src", "dst").distinct()
-        path = f"{folder}/v{number:08d}-{uuid.uuid4().hex[:8]}"
-        after.write.parquet(path)
-        spark.createDataFrame([(number, path)], "n bigint, path string").coalesce(1).write.mode("append").json(f"{folder}/versions")
+        new = parse(last.where("content IS NOT NULL")).select("src", "dst").distinct()
+        path = f"{folder}/b{number:08d}-{uuid.uuid4().hex[:8]}"
+        last.select("path").write.parquet(f"{path}/touched")
+        new.withColumn("path", F.split_part("src", F.lit("::"), F.lit(1))).write.parquet(f"{path}/edges")
+        _enter(spark, folder, number, path, False)
         last.unpersist()
+        if number % compact == compact - 1:
+            whole = f"{folder}/w{number:08d}-{uuid.uuid4().hex[:8]}"
+            current(spark, folder).withColumn("path", F.split_part("src", F.lit("::"), F.lit(1))).write.parquet(f"{whole}/edges")
+            _enter(spark, folder, number, whole, True)
         if on_batch:
-            on_batch(spark.read.parquet(path))
+            on_batch(current(spark, folder))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _enter(spark: SparkSession, folder: str, number: int, path: str, whole: bool) -> None:
+    spark.createDataFrame([(number, path, whole)], "n bigint, path string, whole boolean").coalesce(1).write.mode("append").json(f"{folder}/versions")
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The newest version of the edge table, None before the first."""
+    """The edge table as of the last batch, None before the first: what was last put together, less the files touched since,
+    and of these the edges of the last batch that touched each.  At most ``compact`` batches are read."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    newest = spark.read.schema("n bigint, path string").json(f"{folder}/versions").orderBy(F.desc("n"), F.desc("path")).first()
-    return spark.read.parquet(newest["path"]) if newest else None
+    entries = spark.read.schema("n bigint, path string, whole boolean").json(f"{folder}/versions")
+    top = entries.where("whole").agg(F.max("n")).first()[0]
+    rows = entries.where(F.lit(True) if top is None else (F.col("n") > top) | ((F.col("n") == top) & F.col("whole"))).orderBy("n", "path").collect()  # bounded by ``compact``
+    last = {r.n: r for r in rows}  # a batch that was run again: one of its equal entries
+    if not last:
+        return None
+    tagged = [spark.read.parquet(f"{r.path}/edges").withColumn("n", F.lit(r.n)) for r in last.values()]
+    touched = [spark.read.parquet(f"{r.path}/touched").withColumn("n", F.lit(r.n)) for r in last.values() if not r.whole]
+    edges = reduce(DataFrame.unionByName, tagged)
+    if touched:
+        newest = reduce(DataFrame.unionByName, touched).groupBy("path").agg(F.max("n").alias("newest"))
+        edges = edges.join(newest, "path", "left").where(F.col("newest").isNull() | (F.col("n") == F.col("newest")))
+    return edges.select("src", "dst").distinct()
 
 
 def churn(stream: DataFrame, length: str = "1 hour", late: str = "3 days") -> DataFrame:

@@ -118,8 +118,7 @@ def test_pagerank_goes_on_to_the_tolerance(spark, tmp_path):
     from lodestone.plans import graph_queries
 
     pairs = [(i, 9 if i > 9 else i + 1) for i in range(1, 14)] + [(9, 8)]
-    rows = ", ".join(f"({a}L, {b}L, {a}L, 1)" for a, b in pairs if (a, b) != (9, 10))
-    spark.sql(f"SELECT * FROM VALUES {rows} AS t(l_partkey, l_suppkey, l_orderkey, l_linenumber)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(f"n{a}", f"n{b}", "imports") for a, b in pairs if (a, b) != (9, 10)], "source string, target string, type string").write.parquet(f"{tmp_path}/kg_edges.parquet")
     pairs = [tuple(r) for r in R.calls(spark, str(tmp_path)).collect()]
     nodes = {x for p in pairs for x in p}
     rank, rounds = dict.fromkeys(nodes, 1 / len(nodes)), 0
@@ -134,7 +133,52 @@ def test_pagerank_goes_on_to_the_tolerance(spark, tmp_path):
         if moved < len(nodes) * 1e-6:
             break
     assert 10 < rounds < 100
-    assert {r.node: r["rank"] for r in graph_queries.g12_pagerank(spark, str(tmp_path)).collect()} == {x: round(r, 6) for x, r in rank.items()}
+    want = {x: round(r, 6) for x, r in rank.items()}
+    assert {r.node: r["rank"] for r in graph_queries.g12_pagerank(spark, str(tmp_path)).collect()} == want
+    one, spread = (G.pagerank(R.calls(spark, str(tmp_path)), rounds=4, max_task_edges=b) for b in (10**6, 3))
+    assert {r.node: round(r["rank"], 9) for r in spread.collect()} == {r.node: round(r["rank"], 9) for r in one.collect()}
+
+
+@pytest.mark.parametrize("seed,bound", [(1, 10**6), (1, 8), (2, 8)])
+def test_components_and_impacts_of_random_graphs(spark, seed, bound):
+    """One task or many, against brute force."""
+    r = random.Random(seed)
+    pairs = [(f"n{r.randrange(25):02d}", f"n{r.randrange(25):02d}") for _ in range(40)]
+    found = reachable(pairs)
+    nodes = {x for p in pairs for x in p}
+    e = edges(spark, pairs + pairs[:3] + [(None, "n01")])
+    assert {x.node: x.impact for x in G.impact_sizes(e, bound).collect()} == {n: sum((m, n) in found for m in nodes) for n in nodes}
+    assert {x.node: x.scc for x in G.components_strong(e, bound).collect()} == {n: min([n, *(m for m in nodes if (m, n) in found and (n, m) in found)]) for n in nodes}
+
+
+def modularity(pairs, home):
+    m = len(pairs)
+    degree = {}
+    for a, b in pairs:
+        degree[a] = degree.get(a, 0) + 1
+        degree[b] = degree.get(b, 0) + 1
+    groups = set(home.values())
+    inside = {g: sum(home[a] == home[b] == g for a, b in pairs) for g in groups}
+    total = {g: sum(d for x, d in degree.items() if home[x] == g) for g in groups}
+    return sum(inside[g] / m - (total[g] / (2 * m)) ** 2 for g in groups)
+
+
+def test_greedy_modularity_part_by_part(spark):
+    clique = lambda p, n: [(f"{p}{i}", f"{p}{j}") for i in range(n) for j in range(i)]
+    pairs = clique("a", 4) + clique("b", 5) + clique("c", 3) + [("a0", "b0"), ("c0", "c1")]
+    got = {r.node: r.community for r in G.communities(edges(spark, pairs + [("lone", "lone")])).collect()}
+    assert got == {**{f"a{i}": "a0" for i in range(4)}, **{f"b{i}": "b0" for i in range(5)}, **{f"c{i}": "c0" for i in range(3)}, "lone": "lone"}
+    plain = sorted({tuple(sorted(p)) for p in pairs})
+    assert modularity(plain, got) > 0.5
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_label_rounds_are_the_same_in_one_task(spark, seed):
+    r = random.Random(seed)
+    pairs = [(f"n{r.randrange(30):02d}", f"n{r.randrange(30):02d}") for _ in range(60)]
+    e = edges(spark, pairs)
+    one, many = ({x.node: x.community for x in G.label_communities(e, rounds=5, max_task_edges=b).collect()} for b in (10**6, 1))
+    assert one == many and set(one) == {x for p in pairs for x in p}
 
 
 def test_communities_of_two_cliques(spark):

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
@@ -56,10 +58,10 @@ def test_detectors_read_nulls_as_nothing(spark):
 def test_ownership_ties_and_ranges(spark):
     c = spark.sql("SELECT * FROM VALUES (1L,'bo',timestamp'2024-01-01','p',true),(2L,'al',timestamp'2024-01-02','p',false),(3L,'al',timestamp'2024-01-02',null,false) AS t(sha,author,ts,path,is_fix)")
     assert [(r.top_author, r.share, r.contributors, r.bus_factor) for r in history.ownership(c).collect()] == [("al", 0.5, 2, 2)]
-    blame = spark.createDataFrame([("f", i, f"s{i % 2}", 10 * i, "al" if i < 90 else "bo") for i in range(1, 131)], "file_path string, line_no int, sha string, author_ts bigint, author string")
+    blame = spark.createDataFrame([("f", i, f"s{i % 2}", 10 * i, "al" if i < 90 else "bo", "" if i < 100 else f"bo{i}@x") for i in range(1, 131)], "file_path string, line_no int, sha string, author_ts bigint, author string, email string")
     fns = spark.createDataFrame([("f", "one", 60, 130), ("f", "none", 500, 510)], "file_path string, function string, start int, end int")
-    r = history.owner_in_ranges(blame, fns).collect()
-    assert [(x.function, x.owner, x.lines, x.commits, x.median_ts) for x in r] == [("one", "bo", 71, 2, 950)]
+    r = history.owner_in_ranges(blame, fns, since=1300).collect()
+    assert [(x.function, x.owner, x.email, x.lines, x.commits, x.recent_commits, x.median_ts) for x in r] == [("one", "bo", "bo100@x", 71, 2, 1, 950)]
 
 
 def test_co_changes_without_pairs(spark):
@@ -67,10 +69,14 @@ def test_co_changes_without_pairs(spark):
     assert {r.path: r.co_change_partners for r in history.co_changes(c, F.col("g")).collect()} == {"a": 2, "b": 1, "c": 1, "d": 0}
 
 
+def codes(df):
+    return df.select(F.col("id").alias("file"), text.codes(F.col("content")).alias("codes"))
+
+
 def test_clones_link_each_place_once(spark):
     body = " ".join(f"v{i} + ({i}) ;" for i in range(30))
     df = spark.createDataFrame([(1, body), (2, body), (3, body), (4, None), (5, ""), (6, "x")], "id int, content string")
-    got = {(r.file_a, r.file_b, r.start_a, r.start_b): r.length for r in text.clones(df, "id", "content").collect()}
+    got = {(r.file_a, r.file_b, r.start_a, r.start_b): r.length for r in text.clones(codes(df)).collect()}
     n = df.where("id = 1").select(F.size(text.tokens(F.col("content")))).first()[0]
     assert got[(1, 2, 1, 1)] == n and got[(1, 3, 1, 1)] == n and (2, 3, 1, 1) not in got
 
@@ -82,15 +88,38 @@ def test_a_third_file_cuts_no_clone(spark):
     other = lambda seed, n: [random.Random(seed).choice("0123456789") for _ in range(n)]
     rows = {1: body[30:80], 2: other(2, 7) + body + other(3, 5), 3: other(4, 3) + body + other(5, 9), 4: other(6, 70), 5: body[:62] + other(7, 20)}
     df = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "id int, content string")
-    got = {tuple(x) for x in text.clones(df, "id", "content", 60).select("file_a", "start_a", "file_b", "start_b", "length").collect()}
+    got = {tuple(x) for x in text.clones(codes(df), 60).select("file_a", "start_a", "file_b", "start_b", "length").collect()}
     assert (2, 8, 3, 4, 110) in got
     share = lambda a, b: {tuple(a[i : i + 60]) for i in range(len(a) - 59)} & {tuple(b[i : i + 60]) for i in range(len(b) - 59)}
     want = {a for a in rows for b in rows if a != b and share(rows[a], rows[b])}
     assert {x for g in got for x in (g[0], g[2])} == want
-    short = {tuple(x) for x in text.clones(df, "id", "content", 20).select("file_a", "start_a", "file_b", "start_b", "length").collect()}
+    short = {tuple(x) for x in text.clones(codes(df), 20).select("file_a", "start_a", "file_b", "start_b", "length").collect()}
     assert (2, 8, 3, 4, 110) in short and (1, 1, 2, 38, 50) in short
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_clones_of_hot_windows(spark, seed):
+    """One window in a third of all places, cut over several partitions: each row is a passage that goes no further to either
+    side, and each file with a window in common stands in one."""
+    r = random.Random(seed)
+    size, rows = 6, {}
+    for k in range(60):
+        body = "".join(r.choice("xyz,;") for _ in range(r.randrange(30)))
+        at = r.randrange(len(body) + 1)
+        rows[k] = body[:at] + "(((((((((((" * (k % 3 == 0) + body[at:]
+    df = spark.createDataFrame(list(rows.items()), "file int, codes string").repartition(5)
+    got = [tuple(x) for x in text.clones(df, size).select("file_a", "start_a", "file_b", "start_b", "length").collect()]
+    assert len(set(got)) == len(got)
+    for f, a, g, b, n in got:
+        x, y = rows[f], rows[g]
+        assert n >= size and x[a - 1 : a - 1 + n] == y[b - 1 : b - 1 + n]
+        assert a == 1 or b == 1 or x[a - 2] != y[b - 2]
+        assert a - 1 + n == len(x) or b - 1 + n == len(y) or x[a - 1 + n] != y[b - 1 + n]
+    windows = {k: {v[i : i + size] for i in range(len(v) - size + 1)} for k, v in rows.items()}
+    want = {f for f in rows if any(windows[f] & windows[g] for g in rows if g != f)}
+    assert want <= {x for g in got for x in (g[0], g[2])}
+
+
 def test_decisions(spark):
     df = spark.createDataFrame([(1, "Use the cache because it is fast\nmisuse of causes\n# x"), (2, None), (3, "")], "id int, text string")
     assert [(r.id, r.line) for r in text.decision_lines(df, "id", "text").collect()] == [(1, "Use the cache because it is fast")]

@@ -27,6 +27,10 @@ def test_incremental_edges(spark, tmp_path):
     run()
     assert {(r.src, r.dst) for r in watch.current(spark, str(table)).collect()} == {("ab.py::f", "z")}
     assert sizes == [3, 1]
+    for k in range(3, 8):  # put together every second batch
+        put(inbox, f"{k}.json", [event(f"p{k}.py", k, "x"), event("ab.py", k, f"z{k}")])
+        watch.maintain(watch.change_stream(spark, str(inbox)), parse, str(table), str(mark), compact=2).awaitTermination()
+    assert {(r.src, r.dst) for r in watch.current(spark, str(table)).collect()} == {("ab.py::f", "z7"), *((f"p{k}.py::f", "x") for k in range(3, 8))}
 
 
 def test_stateful_changes(spark, tmp_path):
@@ -37,10 +41,12 @@ def test_stateful_changes(spark, tmp_path):
     start()
     put(inbox, "2.json", [event("a", 2, "y"), event("b", 1, "x"), event("c", 1, "n")])
     start()
-    put(inbox, "3.json", [event("c", 5, None)])
+    put(inbox, "3.json", [event("c", 5, None), event("never", 5, None)])
+    start()
+    put(inbox, "4.json", [event("c", 6, None), event("c", 7, "again")])
     start()
     got = sorted((r.path, r.change) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [("a", "added"), ("a", "modified"), ("b", "added"), ("c", "added"), ("c", "removed")]
+    assert got == [("a", "added"), ("a", "modified"), ("b", "added"), ("c", "added"), ("c", "added"), ("c", "removed")]
 
 
 def test_snapshot_diff(spark):
