@@ -22,6 +22,8 @@ from lodestone.tables import table
 
 #: Edges that one union-find task takes at most: two strings of about 100 bytes each keep it within 1 GB.
 MAX_TASK_EDGES = 1_000_000
+#: Parts in which the leaves of one parent meet its label.
+SALTS = 64
 
 
 def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -41,10 +43,34 @@ def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(parent, dtype=np.int64)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of one partition to its forest (a = node, b = smallest node of the tree), without the roots."""
-    table_ = pa.Table.from_batches(list(batches)) if (batches := [x for x in batches if x.num_rows]) else None
-    if table_ is None:
+def _forest(bound: int):
+    """Edges (a, b) of one partition to their forest (a = node, b = smallest node of the tree), without the roots.
+
+    The partition is taken in runs of ``bound`` edges: what a run holds, its forest included, is all that is in memory.  A
+    forest that keeps at most half of its run goes on into the next one; a larger one is told, and later steps merge it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, bound):
+                held.append(batch.slice(at, bound))
+                rows += held[-1].num_rows
+                if rows >= bound:
+                    kept = list(_trees(pa.Table.from_batches(held)))
+                    rows = sum(x.num_rows for x in kept)
+                    if 2 * rows > bound:
+                        yield from kept
+                        kept, rows = [], 0
+                    held = kept
+        if rows:
+            yield from _trees(pa.Table.from_batches(held))
+
+    return run
+
+
+def _trees(table_: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not table_.num_rows:
         return
     names, codes = np.unique(np.concatenate([table_.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]), return_inverse=True)
     half = table_.num_rows
@@ -56,9 +82,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names[part], kind), pa.array(names[root[part]], kind)], ["a", "b"])
 
 
-def _merge(edges: DataFrame) -> DataFrame:
+def _merge(edges: DataFrame, bound: int) -> DataFrame:
     kind = dict(edges.dtypes)["a"]
-    return edges.select("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}")
+    return edges.select("a", "b").mapInArrow(_forest(bound), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame, a: str, b: str, max_task_edges: int = MAX_TASK_EDGES, fan_in: int = 8) -> DataFrame:
@@ -71,12 +97,12 @@ def components(edges: DataFrame, a: str, b: str, max_task_edges: int = MAX_TASK_
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     alone = links.where(F.col("a") == F.col("b")).select("a", "b")
     levels: list[DataFrame] = []
-    level = materialize(_merge(links.where(F.col("a") != F.col("b"))), "forest")
+    level = materialize(_merge(links.where(F.col("a") != F.col("b")), max_task_edges), "forest")
     n = level.count()
     parts = max(1, len(level.inputFiles()))
     while n > max_task_edges:
         parts = max(-(-parts // fan_in), -(-n // max_task_edges) + 1)
-        merged = materialize(_merge(level.repartition(parts)), "forest")
+        merged = materialize(_merge(level.repartition(parts), max_task_edges), "forest")
         m = merged.count()
         level, shrunk, n = merged, m < 0.7 * n, m
         if n > max_task_edges and not shrunk:
@@ -86,15 +112,18 @@ def components(edges: DataFrame, a: str, b: str, max_task_edges: int = MAX_TASK_
             levels.append(leaves)
             inner = up.join(stay, "a", "left_semi").select("a", F.col("m").alias("b"))
             rest = level.join(up, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(inner)
-            level = materialize(_merge(rest), "forest")
+            level = materialize(_merge(rest, max_task_edges), "forest")
             n = level.count()
             parts = max(1, len(level.inputFiles()))
-    top = _merge(level.repartition(1))
+    top = _merge(level.repartition(1), max_task_edges)
     found = top.select(F.col("a").alias("node"), F.col("b").alias("group"))
     for leaves in reversed(levels):
         known = materialize(found, "labels")
-        # a leaf's label is its parent's; a parent without a label of its own is the root of its tree
-        below = leaves.join(known, leaves["m"] == known["node"], "left").select(F.col("a").alias("node"), F.coalesce("group", "m").alias("group"))
+        # a leaf's label is its parent's; a parent without a label of its own is the root of its tree.  Many leaves may hang
+        # on one parent: they are salted by themselves, and a parent's label goes to every salt that its leaves have
+        salted = leaves.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+        wanted = salted.select("m", "salt").distinct().join(known, F.col("m") == known["node"]).select("m", "salt", "group")
+        below = salted.join(wanted, ["m", "salt"], "left").select(F.col("a").alias("node"), F.coalesce("group", "m").alias("group"))
         found = below.unionByName(known)
     found = materialize(found, "labels")
     roots = found.select(F.col("group").alias("node"), F.col("group")).distinct()

@@ -25,8 +25,11 @@ from lodestone.tables import table
 
 MASKS = ("111011000111", "111010010111")
 LEAST_WORDS = 15
-#: Up to so many test items (some 20 kB of seeds each) every task gets their seeds; beyond, seeds meet in a shuffled join.
-BROADCAST_ITEMS = 5_000
+#: Up to so many test items of so many characters together (some ten bytes of seeds a character) every task gets their
+#: seeds; beyond, seeds meet in a shuffled join.
+BROADCAST_ITEMS, BROADCAST_CHARS = 5_000, 16_000_000
+#: Parts over which the documents of one seed spread in that join.
+SALTS = 16
 
 _OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
 _BLANK_ESCAPE = re.compile(r"\\+[nrtfv]")
@@ -111,89 +114,155 @@ def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> int:
     return best if best >= LEAST_WORDS else 0
 
 
-def _hits(words: np.ndarray, keys: np.ndarray, starts: np.ndarray, owner: np.ndarray, place: np.ndarray) -> set[tuple[int, int]]:
-    """(item index, shift) of all seeds that the text shares with the items."""
-    h, at = seeds(words)
-    if not len(h):
-        return set()
-    i = np.searchsorted(keys, h)
-    i[i == len(keys)] = 0
-    same = np.flatnonzero(keys[i] == h)
-    return {(int(owner[k]), int(at[s]) - int(place[k])) for s in same for k in range(starts[i[s]], starts[i[s] + 1])}
+class Index:
+    """The seeds of some items, sorted by hash."""
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        self.items = items
+        found = [seeds(w) for w in items]
+        h = np.concatenate([x[0] for x in found] or [np.empty(0, np.uint64)])
+        place = np.concatenate([x[1] for x in found] or [np.empty(0, np.int64)])
+        owner = np.repeat(np.arange(len(items)), [len(x[0]) for x in found])
+        order = np.lexsort((owner, h))
+        h, self.owner, self.place = h[order], owner[order], place[order]
+        self.keys, starts = np.unique(h, return_index=True)
+        self.starts = np.append(starts, len(h))
+
+    def shifts(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """Item to the shifts at which it and the text share a seed.  Places of one seed are compared as two sets: directly
+        while they are few, else by the product of their transforms, so that a seed that is everywhere in both costs no
+        more than their lengths."""
+        h, at = seeds(words)
+        if not len(h) or not len(self.keys):
+            return {}
+        i = np.searchsorted(self.keys, h)
+        i[i == len(self.keys)] = 0
+        same = np.flatnonzero(self.keys[i] == h)
+        if not len(same):
+            return {}
+        key = i[same]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[same][order]
+        ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+        found: dict[int, list[np.ndarray]] = {}
+        start = 0
+        for end in ends.tolist():
+            here = at[start:end]
+            low, high = self.starts[key[start]], self.starts[key[start] + 1]
+            owner, place = self.owner[low:high], self.place[low:high]
+            start = end
+            cuts = np.append(np.flatnonzero(np.diff(owner)) + 1, len(owner)).tolist()
+            a = 0
+            for b in cuts:
+                found.setdefault(int(owner[a]), []).append(_differences(here, place[a:b]))
+                a = b
+        return {item: np.unique(np.concatenate(x)) if len(x) > 1 else x[0] for item, x in found.items()}
+
+    def leaks(self, words: np.ndarray) -> dict[int, int]:
+        """Item to the longest stretch of it in the text.  Shifts with the longest possible stretch come first, and those that
+        can't be longer than what is known are left."""
+        out = {}
+        for item, shifts in self.shifts(words).items():
+            w = self.items[item]
+            room = np.minimum(len(w), len(words) - shifts) - np.maximum(0, -shifts)
+            best = 0
+            for k in np.argsort(-room, kind="stable"):
+                if room[k] <= best:
+                    break
+                best = max(best, overlap(w, words, int(shifts[k])))
+            if best:
+                out[item] = best
+        return out
+
+
+def _differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All values of x - y, x of ``a`` and y of ``b``, once each."""
+    if len(a) * len(b) <= 1 << 16:
+        return np.unique(np.subtract.outer(a, b))
+    low = int(a.min()) - int(b.max())
+    x, y = np.zeros(int(np.ptp(a)) + 1), np.zeros(int(np.ptp(b)) + 1)
+    x[a - a.min()] = 1
+    y[b.max() - b] = 1
+    n = len(x) + len(y) - 1
+    both = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(y, n), n)
+    return np.flatnonzero(both > 0.5) + low
+
+
+def _longest(index: Index, text: str, words: Words) -> dict[int, int]:
+    """Item to its longest stretch in any version of the text."""
+    best: dict[int, int] = {}
+    for w in versions(text, words):
+        for item, n in index.leaks(w).items():
+            best[item] = max(n, best.get(item, 0))
+    return best
 
 
 def _near(docs: DataFrame, items: list[tuple], kinds: tuple[str, str]) -> DataFrame:
     """Map-side join: every task has the sorted seeds of the (bounded) items."""
-    spark = docs.sparkSession
     words = Words()
-    rows = [(i, versions(t, words)[0]) for i, t in items]
-    parts = [(seeds(w), k) for k, (_, w) in enumerate(rows)]
-    h = np.concatenate([p[0][0] for p in parts] or [np.empty(0, np.uint64)])
-    place = np.concatenate([p[0][1] for p in parts] or [np.empty(0, np.int64)])
-    owner = np.concatenate([np.full(len(p[0][0]), p[1]) for p in parts] or [np.empty(0, np.int64)])
-    order = np.argsort(h, kind="stable")
-    keys, starts = np.unique(h[order], return_index=True)
-    shared = spark.sparkContext.broadcast((keys, np.append(starts, len(h)), owner[order], place[order], rows))
+    shared = docs.sparkSession.sparkContext.broadcast((Index([versions(t, words)[0] for _, t in items]), [i for i, _ in items]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, starts, owner, place, rows = shared.value
+        index, names = shared.value
         words = Words()
         for b in batches:
-            ids, found, length = b.column("doc"), [], []
-            at = []
+            at, found, length = [], [], []
             for d, text in enumerate(b.column("text").to_pylist()):
-                best: dict[int, int] = {}
-                for w in versions(text, words) if len(keys) else ():
-                    for item, shift in _hits(w, keys, starts, owner, place):
-                        if n := overlap(rows[item][1], w, shift):
-                            best[item] = max(n, best.get(item, 0))
+                best = _longest(index, text, words)
                 at += [d] * len(best)
-                found += [rows[k][0] for k in best]
+                found += [names[k] for k in best]
                 length += best.values()
             if at:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(found, item_type), pa.array(length, pa.int32())], ["doc", "item", "words"])
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(at)), pa.array(found, item_type), pa.array(length, pa.int32())], ["doc", "item", "words"])
 
     item_type = pa.int64() if kinds[1] == "bigint" else pa.string()
     return docs.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}, words int")
 
 
-def _seed_rows(df: DataFrame, ident: str, kind: str) -> DataFrame:
+def _seed_rows(df: DataFrame, ident: str, kind: str, all_versions: bool) -> DataFrame:
+    """(h, ident): each seed of a text once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             for i, text in enumerate(b.column("text").to_pylist()):
-                for v, w in enumerate(versions(text, words)):
-                    h, at = seeds(w)
-                    for s in range(0, len(h), 20_000):
-                        part = slice(s, s + 20_000)
-                        n = len(h[part])
-                        yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), b.column(ident).take(pa.array([i] * n)), pa.array(at[part]), pa.array([v] * n, pa.int32())], ["h", ident, "place", "version"])
+                found = [seeds(w)[0] for w in (versions(text, words) if all_versions else versions(text, words)[:1])]
+                h = np.unique(np.concatenate(found))
+                for s in range(0, len(h), 20_000):
+                    part = h[s : s + 20_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), b.column(ident).take(pa.array([i] * len(part)))], ["h", ident])
 
-    return df.mapInArrow(run, f"h bigint, {ident} {kind}, place bigint, version int")
+    return df.mapInArrow(run, f"h bigint, {ident} {kind}")
 
 
 def _far(docs: DataFrame, items: DataFrame, kinds: tuple[str, str]) -> DataFrame:
-    """Shuffled join of the seeds for test sets of any size; candidates go back to their texts for verification."""
-    a = _seed_rows(items, "item", kinds[1]).where("version = 0").select("h", "item", F.col("place").alias("p"))
-    b = _seed_rows(docs, "doc", kinds[0])
-    pairs = materialize(a.join(b, "h").select("doc", "item", "version", (F.col("place") - F.col("p")).alias("shift")).distinct(), "seeds")
-    full = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(docs, "doc")
+    """Shuffled join of the seeds for test sets of any size: each seed of a text once, the documents of a seed spread over
+    ``SALTS`` parts that all have its items.  A document then meets its candidate items as one row and its text moves
+    once; what they share is found as in ``_near``."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    a = _seed_rows(items, "item", kinds[1], False).select("h", "item", salt)
+    b = _seed_rows(docs, "doc", kinds[0], True).select("h", "doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = materialize(a.join(b, ["h", "salt"]).select("doc", "item").distinct(), "seeds")
+    some = pairs.join(items.withColumnRenamed("text", "item_text").distinct(), "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
+    full = some.join(docs.distinct(), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            keep, length = [], []
-            for i, (t, x, v, s) in enumerate(zip(*(b.column(c).to_pylist() for c in ("item_text", "text", "version", "shift")))):
-                if n := overlap(versions(t, words)[0], versions(x, words)[v], s):
-                    keep.append(i)
-                    length.append(n)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("item").take(at), pa.array(length, pa.int32())], ["doc", "item", "words"])
+            at, found, length = [], [], []
+            for d, (text, near) in enumerate(zip(b.column("text").to_pylist(), b.column("items").to_pylist())):
+                best = _longest(Index([versions(x["item_text"], words)[0] for x in near]), text, words)
+                at += [d] * len(best)
+                found += [near[k]["item"] for k in best]
+                length += best.values()
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(at)), pa.array(found, item_type), pa.array(length, pa.int32())], ["doc", "item", "words"])
 
+    item_type = pa.int64() if kinds[1] == "bigint" else pa.string()
     return full.mapInArrow(run, f"doc {kinds[0]}, item {kinds[1]}, words int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", broadcast_items: int = BROADCAST_ITEMS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """(doc, item, words): documents that hold a stretch of an item, with the longest stretch in words.
 
     Null, empty and shorter texts hold nothing; repeated ids count once; ids are bigint or string.  An empty table on
@@ -202,7 +271,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
     d = docs.where(F.length(text) > 0).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     i = items.where(F.length(text) > 0).select(F.col(item).alias("item"), F.col(text).alias("text"))
     kinds = (dict(d.dtypes)["doc"], dict(i.dtypes)["item"])
-    few = i.limit(broadcast_items + 1).count() <= broadcast_items
+    size = i.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    few = size["n"] <= broadcast_items and (size["chars"] or 0) <= broadcast_chars
     found = _near(d, [tuple(r) for r in i.collect()], kinds) if few else _far(d, i, kinds)
     return found.groupBy("doc", "item").agg(F.max("words").alias("words")).select(F.col("doc").alias(doc), F.col("item").alias(item), "words")
 

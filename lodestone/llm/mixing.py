@@ -2,8 +2,9 @@
 
 Each document draws how often it is used from a Poisson distribution, inverted at a number hashed from its id, with the
 repetition rate of its source as the mean and the source's cap as the upper end.  The total size is the largest at which
-every source that has tokens can reach its share within its cap, unless the caller sets a size.  Draws only grow with the
-rate, so the rate of each source is then tuned on the tokens that the draws really give.
+every source that has tokens reaches its share with a rate of at most ``MOST_RATE`` times its cap, unless the caller sets
+a smaller one: so every source is drawn, the scarcest one too, which gives nearly all that its cap allows.  Draws only grow
+with the rate, so the rate of each source is then tuned on the tokens that the draws really give.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from lodestone.tables import table
 #: Up to so many sources the table of rates (a few kB a source) is broadcast; beyond, the join shuffles.
 BROADCAST_SOURCES = 10_000
 GRID = 17
+#: The largest rate, in caps: at twice a cap of 5 a document is used 4.9 times in the mean.
+MOST_RATE = 2.0
 
 
 def thresholds(rate: float, cap: int) -> list[float]:
@@ -85,7 +88,14 @@ def plan_rates(sized: DataFrame, targets: DataFrame, seed: int, total_tokens: fl
     goal = targets.groupBy(clean_source("source").alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     s = goal.join(have, "source", "left").fillna({"available": 0.0, "documents": 0})
     usable = (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
-    top = s.where(usable).agg(F.sum("target_share").alias("share"), F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("size")).first()
+
+    def most(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["most_uses"] = [capped_mean(MOST_RATE * c, int(c)) if c and c > 0 else 0.0 for c in f["max_repeats"]]
+            yield f
+
+    s = s.mapInPandas(most, "source string, target_share double, max_repeats int, available double, documents bigint, most_uses double")
+    top = s.where(usable).agg(F.sum("target_share").alias("share"), F.min(F.col("available") * F.col("most_uses") / F.col("target_share")).alias("size")).first()
     share, size = top["share"] or 1.0, top["size"] or 0.0
     total = min(total_tokens, size * share) if total_tokens is not None else size * share
     wanted = F.when(usable, F.col("target_share") / share * total).otherwise(0.0)

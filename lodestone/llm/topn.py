@@ -26,6 +26,10 @@ def _changed(column: pa.Array, last: pa.Scalar | None) -> np.ndarray:
         out[1:] = pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
     if last is not None:
         out[0] = column[0] != last
+    if pa.types.is_floating(column.type):  # NaN is the same as NaN here
+        nan = pc.is_nan(column).to_numpy(zero_copy_only=False)
+        out[1:] &= ~(nan[1:] & nan[:-1])
+        out[0] &= not (nan[0] and last is not None and last.as_py() != last.as_py())
     return out
 
 

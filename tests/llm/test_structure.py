@@ -66,3 +66,16 @@ def test_components_of_nothing(spark):
     assert components(df, "a", "b").count() == 0
     alone = spark.createDataFrame([("x", "x"), ("x", None)], "a string, b string")
     assert [tuple(r) for r in components(alone, "a", "b").collect()] == [("x", "x")]
+
+
+def test_top_n_counts_a_repeated_nan_once(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", nan, 1), ("a", nan, 1), ("a", nan, 2), ("a", 5.0, 3), ("a", 4.0, 4)] * 2, "g string, s double, i bigint").repartition(3)
+    assert sorted((r.i, r.position) for r in top_n(df, ["g"], "s", "i", 3).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_components_of_a_star(spark):
+    """All leaves on one hub, far more than a task may hold at once."""
+    df = spark.range(60_000).selectExpr("id AS a", "CAST(-1 AS BIGINT) AS b")
+    got = components(df, "a", "b", max_task_edges=5_000)
+    assert got.count() == 60_001 and got.where("group <> -1").isEmpty()
