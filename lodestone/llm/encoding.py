@@ -2,13 +2,16 @@
 
 The states of the search are texts.  An operation encodes a text with the charset it was wrongly read in and decodes the
 bytes as what they were, or resolves numeric character references, escapes or percent signs.  A best-first search expands
-the cheapest state first, skips states it has seen (by hash), and stops at a depth or expansion bound; a character
-plausibility cost says how much a text looks like writing: letters of a language in their usual case are cheap, symbols
-inside words, mixed alphabets and control characters are dear.
-
-The search works on short runs of a text (a blank-separated word, or for charsets of one byte a letter the words of a line
-together), since a garbled passage often stands beside sound ones.  Spans between backquotes are examples and stay as
-they are unless they stand in a text that is garbled around them.
+the cheapest state first and skips states it has seen (by hash); it ends when no state is left, and if it should come to
+``MOST`` expansions before, the text isn't told as whole.  A character plausibility cost says how much a text looks like
+writing: letters of a language in their usual case are cheap, symbols inside words, mixed alphabets and control
+characters are dear.
+
+There are two kinds of states.  UTF-8 read as something else shows within a word, so there a state is a word and the
+search goes on word by word, since a garbled passage often stands beside sound ones.  A charset of one byte or of East Asia
+read as another one shows only in the words of a sentence together: there a state is a sentence, its operations are the
+pairs of charsets, and a result must be clearly better than what stands there.  Spans between backquotes are examples
+and stay as they are unless they stand in a text that is garbled around them.
 """
 
 from __future__ import annotations
@@ -31,10 +34,19 @@ READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman
 #: (wrongly read as, was) of one-byte Cyrillic texts.
 SWAPPED = (("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("koi8-r", "cp866"), ("cp866", "koi8-r"), ("cp1252", "koi8-r"), ("latin-1", "koi8-r"), ("cp437", "cp1251"), ("cp850", "cp1251"), ("cp1252", "cp866"), ("latin-1", "cp866"), ("mac_roman", "cp1251"), ("cp1251", "mac_cyrillic"))
 #: (wrongly read as, was) of one-byte Latin texts; a word with such letters rarely has two, so the gain must be clear.
-SWAPPED_LATIN = (("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp1250", "cp1252"))
-
-# fixed values: letters in common use in western European languages, and usual typographic signs
-_LATIN = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒ")
+SWAPPED_LATIN = (("cp1252", "cp1250"), ("latin-1", "iso8859-2"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp1250", "cp1252"))
+
+#: (wrongly read as, was) of one-byte texts in other alphabets, with the characters that most of such a text must be.
+SWAPPED_SCRIPT = tuple((a, b, low, high) for a in ("cp1252", "latin-1") for b, low, high in (("cp1255", "\u05d0", "\u05ea"), ("iso8859-8", "\u05d0", "\u05ea"), ("cp1253", "\u0370", "\u03ff"), ("iso8859-7", "\u0370", "\u03ff"), ("cp1256", "\u0600", "\u06ff")))
+#: (was, first bytes that nearly all of its usual characters have, share of them): charsets of East Asia, the narrower first.
+EAST_ASIAN = (("shift_jis", b"\x81\x82\x83", 0.4), ("euc_jp", b"\xa1\xa4\xa5", 0.4), ("euc_kr", bytes(range(0xB0, 0xC9)), 0.95), ("gbk", bytes(range(0xB0, 0xD8)), 0.85), ("big5", bytes(range(0xA4, 0xC7)), 0.85))
+#: Expansions of one search; what is left then is told as not whole.
+MOST = 2_000
+
+# fixed values: letters in common use in western and northern European languages, and usual typographic signs
+_LATIN = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒðþÐÞ")
+# fixed values: letters of the languages of central Europe
+_CENTRAL = set("ąćęłńśźżčďěňřšťůžőűăâîșțşţĄĆĘŁŃŚŹŻČĎĚŇŘŠŤŮŽŐŰĂȘȚŞŢ")
 _USUAL = set("äöüßéèêàçùâîôûïëœñáíóúãõ")
 _SIGNS = set("’‘“”„«»‹›–—…•→←−×≠≥≤€°§©®™¿¡№·½¼¾²³µ\xa0\u202f\u2009\u200b\xad")
 _OPENING = set("“„«‘‹¿¡(")
@@ -56,18 +68,18 @@ def _high(charset: str) -> dict[str, int]:
     return out
 
 
-_TO_BYTE = {c: _high(c) for c in {*READ_AS, *(a for a, _ in SWAPPED + SWAPPED_LATIN)}}
-_FROM_BYTE = {c: {b: ch for ch, b in reversed(_high(c).items())} for c in {b for _, b in SWAPPED + SWAPPED_LATIN}}
+_TO_BYTE = {c: _high(c) for c in {*READ_AS, *(x[0] for x in SWAPPED + SWAPPED_LATIN + SWAPPED_SCRIPT)}}
+_FROM_BYTE = {c: {b: ch for ch, b in reversed(_high(c).items())} for c in {x[1] for x in SWAPPED + SWAPPED_LATIN + SWAPPED_SCRIPT}}
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _UNREFERENCED = re.compile(r"&(?:amp;)*#(?:x[0-9A-Fa-f]{2,6}|[0-9]{2,7});|&(?:amp;)*[A-Za-z]{2,8}[0-9]{0,2};")
 _ESCAPED = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[0-3][0-7]{2})+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_QUOTED = re.compile(r"(?:=[0-9A-F]{2})+")
-_ANGLE = re.compile(r"(?:<U\+[0-9A-F]{4,6}>|<[0-9a-f]{2}>)+")
+_QUOTED = re.compile(r"(?:=[0-9A-F]{2})+|(?:=[0-9A-Fa-f]{2}){2,}")
+_ANGLE = re.compile(r"(?:<U\+[0-9A-Fa-f]{4,6}>|<[0-9A-Fa-f]{2}>)+")
 #: First half of a UTF-8 sequence that a no-break space may end, as the charsets show it.
 _LEADS = {c for charset in READ_AS for c, b in _TO_BYTE[charset].items() if b in (0xC2, 0xC3)}
 #: Texts without any of these can't be garbled: only ASCII, and no escape of anything beyond ASCII.
-ESCAPES = r"&(?:amp;)*#|&(?:amp;)*[A-Za-z]{2,8}[0-9]{0,2};|\\u00|\\x[89a-fA-F]|\\[23][0-7]{2}|%[89a-fA-F][0-9a-fA-F]|=[89A-F][0-9A-F]|<U\+|<[89a-f][0-9a-f]>"
+ESCAPES = r"&(?:amp;)*#|&(?:amp;)*[A-Za-z]{2,8}[0-9]{0,2};|\\u(?!00[0-7])[0-9a-fA-F]{4}|\\x[89a-fA-F]|\\[23][0-7]{2}|%[89a-fA-F][0-9a-fA-F]|=[89A-F][0-9A-F]|=[89a-fA-F][0-9a-fA-F]=[89a-fA-F][0-9a-fA-F]|<U\+|<[89a-fA-F][0-9a-fA-F]>"
 SUSPECT = r"[^\x00-\x7f]|" + ESCAPES
 
 
@@ -122,6 +134,8 @@ def cost(text: str) -> float:
                 total += 5.0 if share is None else 0.4 + 1.2 / (1 + share / 12)
                 if c.isupper() and before.islower():
                     total += 6
+            elif c in _CENTRAL:
+                total += 2.0 + (4.0 if c.isupper() and before.islower() else 0.0)
             elif unicodedata.category(c) in ("Cn", "Co", "Cs"):
                 total += 20
             elif kind:
@@ -189,8 +203,10 @@ def _swap(text: str, read_as: str, was: str) -> str | None:
             out.append(c)
         elif (b := to_byte.get(c)) is None:
             return None
+        elif (new_c := to_char.get(b)) is None:
+            return None
         else:
-            out.append(to_char[b])
+            out.append(new_c)
     new = "".join(out)
     return new if new != text else None
 
@@ -206,7 +222,7 @@ def _bytes_as_text(raw: bytes) -> str:
 def _numbers(text: str) -> str:
     """Backslash and angle escapes of a run of characters."""
     out = []
-    for u, x, o, a, b in re.findall(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([0-3][0-7]{2})|<U\+([0-9A-F]{4,6})>|<([0-9a-f]{2})>", text):
+    for u, x, o, a, b in re.findall(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([0-3][0-7]{2})|<U\+([0-9A-Fa-f]{4,6})>|<([0-9A-Fa-f]{2})>", text):
         code = int(o, 8) if o else int(u or x or a or b, 16)
         out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
     return "".join(out)
@@ -235,29 +251,28 @@ def _state_cost(text: str) -> float:
 
 
 @lru_cache(maxsize=1 << 16)
-def search(text: str, most: int = 60, depth: int = 5) -> tuple[str, int]:
-    """The cheapest text that is reached, and the number of decoding operations on the way (0: nothing was gained)."""
+def search(text: str, most: int = MOST) -> tuple[str, int, bool]:
+    """The cheapest text that is reached, the number of decoding operations on the way (0: nothing was gained), and whether
+    all states were seen.  Of equally cheap states the one with fewer operations comes first."""
     start = _state_cost(text)
     best, best_at, steps = text, start, 0
-    seen, heap, n = {hash(text)}, [(start, 0, 0, text, 0)], 0
+    seen, heap, n = {hash(text)}, [(start, 0, text, 0)], 0
     if text[-1:] in _LEADS:  # the no-break space that ended the sequence became a blank
         seen.add(hash(text + "\xa0"))
-        heap.append((start, 1, 0, text + "\xa0", 0))
+        heap.append((start, 1, text + "\xa0", 0))
     while heap and n < most:
-        at, _, level, here, decoded = heapq.heappop(heap)
+        at, _, here, decoded = heapq.heappop(heap)
         n += 1
         if decoded and at < best_at - 0.9:
             best, best_at, steps = here, at, decoded
-        if level == depth:
-            continue
         moves = [(x, decoded) for x in _unescape(here)]
         if not here.isascii():
             moves += [(x, decoded + 1) for c in READ_AS if (x := _read_again(here, c)) is not None]
         for new, d in moves:
             if (h := hash(new)) not in seen:
                 seen.add(h)
-                heapq.heappush(heap, (_state_cost(new), len(seen), level + 1, new, d))
-    return best, steps
+                heapq.heappush(heap, (_state_cost(new), len(seen), new, d))
+    return best, steps, not heap
 
 
 _SPAN = re.compile(r"`[^`\n]*`")
@@ -268,28 +283,105 @@ _WORD = re.compile(r"[^ \t\r\n\f\v]+")
 SOUND_LATIN, SOUND_CYRILLIC = 1.55, 0.75
 
 
-def _swap_line(line: str) -> str | None:
-    """A line whose letters come from another one-byte charset: all its words are judged together."""
-    words = [w for w in _WORD.findall(_SPAN.sub(" ", line)) if not w.isascii()]
-    high = "".join(c for w in words for c in w if c >= "\x80")
-    if not high:
+def _east_asian(text: str, charset: str, leads: bytes, share: float) -> str | None:
+    """Runs of characters of two bytes each, read as one each, put together again; strict, and only if the result is what such
+    texts are made of."""
+    to_byte = _TO_BYTE["cp1252"]
+    raw = bytearray()
+    for c in text:
+        if c < "\x80":
+            raw.append(ord(c))
+        elif (b := to_byte.get(c)) is None:
+            return None
+        else:
+            raw.append(b)
+    try:
+        new = raw.decode(charset)
+    except UnicodeDecodeError:
         return None
-    now = sum(cost(w) for w in words)
-    cyrillic = 2 * len(_CYRILLIC.findall(high)) > len(high)
-    if cyrillic and now < SOUND_CYRILLIC * len(high) or not cyrillic and now <= SOUND_LATIN * len(high) and not any(_LETTER_RUN.search(w) for w in words):
+    wide = [c for c in new if c >= "\u3040"]
+    if len(wide) < 4 or any(c >= "\x80" and c < "\u2010" for c in new):
         return None
+    first = [c.encode(charset)[0] for c in wide]
+    return new if sum(b in leads for b in first) >= share * len(first) else None
+
+
+def _script(text: str, read_as: str, was: str, low: str, high: str) -> str | None:
+    """A text of another alphabet of one byte a letter: nearly all its letters must be of it, in words of usual case."""
+    new = _swap(text, read_as, was)
+    if new is None:
+        return None
+    letters = [c for c in new if c >= "\x80" and c.isalpha()]
+    fit = sum(low <= c <= high for c in letters)
+    odd = sum(1 for a, b in zip(new, new[1:]) if a.islower() and b.isupper())
+    return new if len(letters) >= 8 and fit == len(letters) and odd == 0 and len(letters) >= 0.7 * sum(c >= "\x80" for c in new) else None
+
+
+def _moves(words: tuple[str, ...], high: str, cyrillic: bool) -> Iterator[tuple[tuple[str, ...], float, float]]:
+    """What a sentence's words can have been: (words, share of the cost that may remain, least gain)."""
     letters, present = sum(c.isalpha() for c in high), set(high)
-    gain, pair = 0.0, None
     for pairs, share, least in ((SWAPPED, 0.72, 4.0), (SWAPPED_LATIN, 0.6, 2.5)):
         for read_as, was in pairs:
-            if pairs is SWAPPED and letters < 4 or not present <= _TO_BYTE[read_as].keys():
+            # capitals alone may be a list of letters: they say little unless there are many
+            if letters < (8 if high.isupper() and letters > 3 else 4 if pairs is SWAPPED else 0) or not present <= _TO_BYTE[read_as].keys():
                 continue
-            c = sum(cost(_swap(w, read_as, was) or w) for w in words)
-            if c < share * now and now - c >= least and now - c > gain:
-                gain, pair = now - c, (read_as, was)
-    if pair:
-        return "".join(p if p.startswith("`") or p.isascii() else _WORD.sub(lambda m: _swap(m[0], *pair) or m[0], p) for p in re.split(r"(`[^`\n]*`)", line))
-    return None
+            yield tuple(_swap(w, read_as, was) or w for w in words), share, least
+    if not cyrillic and len(high) >= 8:
+        together = " ".join(words)
+        if len(high) >= 0.6 * (len(together) - len(words) + 1):
+            for read_as, was, low, top in SWAPPED_SCRIPT:
+                if (new := _script(together, read_as, was, low, top)) is not None:
+                    yield tuple(new.split(" ")), 2.0, -1e9
+            for was, leads, share in EAST_ASIAN:
+                if (new := _east_asian(together, was, leads, share)) is not None and new.count(" ") == len(words) - 1:
+                    yield tuple(new.split(" ")), 2.0, -1e9
+                    break
+
+
+#: A letter of another alphabet costs more than a letter of sound Russian in the mean, and less than one of a text that only
+#: happens to be of Russian letters.
+FOREIGN = 0.75
+_FOREIGN = re.compile("[\u0370-\u03ff\u05d0-\u05ea\u0600-\u06ff\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffef]")
+
+
+def _foreign_cost(words: tuple[str, ...]) -> float:
+    """``cost`` of words, with ``FOREIGN`` for each letter of an alphabet that it knows nothing of, and five where such
+    a letter is the only one of its word or stands with letters of other alphabets."""
+    total = 0.0
+    for w in words:
+        rest, n = _FOREIGN.subn("", w)
+        alone = n > 1 and rest.isascii() and not any(map(str.isalpha, rest))
+        total += (FOREIGN if alone else 5.0) * n + cost(rest)
+    return total
+
+
+def _search_sentence(line: str) -> str | None:
+    """Best-first search over charsets that were taken for each other, on all words of a sentence together; None if nothing is
+    clearly better."""
+    words = tuple(w for w in _WORD.findall(_SPAN.sub(" ", line)) if not w.isascii())
+    high = "".join(c for w in words for c in w if c >= "\x80")
+    if not high:
+        return None
+    start = sum(cost(w) for w in words)
+    cyrillic = 2 * len(_CYRILLIC.findall(high)) > len(high)
+    if cyrillic and start < SOUND_CYRILLIC * len(high) or not cyrillic and start <= SOUND_LATIN * len(high) and not any(_LETTER_RUN.search(w) for w in words):
+        return None
+    best, best_at = None, start
+    seen, heap = {hash(words)}, [(start, 0, words)]
+    while heap:
+        at, _, here = heapq.heappop(heap)
+        if here is not words and at < best_at:
+            best, best_at = here, at
+        chars = "".join(c for w in here for c in w if c >= "\x80")
+        for new, share, least in _moves(here, chars, 2 * len(_CYRILLIC.findall(chars)) > len(chars)):
+            c = _foreign_cost(new)
+            if (h := hash(new)) not in seen and c < share * at and at - c >= least:
+                seen.add(h)
+                heapq.heappush(heap, (c, len(seen), new))
+    if best is None:
+        return None
+    turned = iter(best)
+    return "".join(p if p.startswith("`") or p.isascii() else _WORD.sub(lambda m: m[0] if m[0].isascii() else next(turned), p) for p in re.split(r"(`[^`\n]*`)", line))
 
 
 def _pieces(text: str) -> Iterator[tuple[str, bool]]:
@@ -306,55 +398,60 @@ _SENTENCE = re.compile(r"((?<=[.!?;:])[ \t]+)")
 
 
 def _line_cost(line: str) -> float:
-    return sum(cost(w) for w in _WORD.findall(_SPAN.sub(" ", line)) if not w.isascii())
+    return _foreign_cost(tuple(w for w in _WORD.findall(_SPAN.sub(" ", line)) if not w.isascii()))
 
 
-def _search_words(line: str) -> tuple[str, bool]:
-    """The line with each suspicious word replaced by the cheapest text found for it, examples left alone."""
-    gained, out = False, []
+def _search_words(line: str) -> tuple[str, bool, bool]:
+    """The line with each suspicious word replaced by the cheapest text found for it, examples left alone; whether one was
+    found; whether every search saw all its states."""
+    gained, whole, out = False, True, []
     for piece, example in _pieces(line):
         if example or (piece.isascii() and not re.search(SUSPECT, piece)):
             out.append(piece)
             continue
 
         def word(m: re.Match) -> str:
-            nonlocal gained
+            nonlocal gained, whole
             w = m[0]
             if w.isascii() and not re.search(SUSPECT, w):
                 return w
             if not _MISREAD.search(w) and w[-1] not in _LEADS and not re.search(ESCAPES, w):
                 return w  # no operation applies
-            new, steps = search(w)
+            new, steps, all_seen = search(w)
             gained |= steps > 0
+            whole &= all_seen or not steps
             return new
 
         out.append(_WORD.sub(word, piece))
-    return "".join(out), gained
+    return "".join(out), gained, whole
 
 
 def repair(text: str | None) -> tuple[bool, str | None, bool]:
     """(garbled, text after repair, whole): ``whole`` is false where characters are lost for good."""
     if not text or text.isascii() and not re.search(SUSPECT, text):
         return False, text, True
-    changed, lines = False, []
+    changed, whole, lines = False, True, []
     for line in text.split("\n"):
         if line.isascii() and not re.search(SUSPECT, line):
             lines.append(line)
             continue
         parts = []
         for part in _SENTENCE.split(line):
-            word_by_word, gained = _search_words(part)
-            new, together = word_by_word, _swap_line(part)
-            if together is not None and _line_cost(together) < _line_cost(word_by_word):
+            word_by_word, gained, seen = _search_words(part)
+            new, together = word_by_word, _search_sentence(part)
+            if together is not None and (not gained or _line_cost(together) < _line_cost(word_by_word)):
                 new, gained = together, True
-            elif (again := _swap_line(word_by_word)) is not None:
-                new, gained = again, True
+            elif gained and (again := _search_sentence(word_by_word)) is not None:
+                new = again
             parts.append(new)
             changed |= gained
+            # what still stands far from any writing has not come back whole
+            high = sum(c >= "\x80" for c in new)
+            whole &= seen and not (gained and high and _line_cost(new) > 4 * high)
         lines.append("".join(parts))
     fixed = "\n".join(lines)
     lost = any("\ufffd" in p for p, example in _pieces(fixed) if not example)
-    return changed or lost, fixed, not lost
+    return changed or lost, fixed, whole and not lost
 
 
 def repaired(df: DataFrame, ident: str, text: str) -> DataFrame:

@@ -26,7 +26,10 @@ def test_origins(spark):
     got = {r.file_id: list(r.reasons) for r in origin.origins(df, libs).collect()}
     want = {1: [], 2: ["minified"], 3: ["vendored"], 4: ["generated"], 5: [], 6: ["generated"], 7: ["data"], 8: [], 9: ["vendored"], 10: [], 11: ["generated"], 12: [], 13: [], 14: [], 15: [], 16: [], 17: ["generated"]}
     assert {k: got[k] for k in want} == want
+    rows = {r.file_id: (list(r.reasons), list(r.evidence)) for r in origin.origins(df, libs, broadcast_files=0).collect()}
+    assert {k: v[0] for k, v in rows.items()} == got and rows[9][1] == ["library copy"] and rows[2][1] == ["mangled names"] and rows[6][1] == ["template names"]
     assert origin.origins(df.limit(0), libs.limit(0)).count() == 0
+    assert origin.origins(df.limit(0), libs, broadcast_files=0).count() == 0
 
 
 def seed_hits(length, wrong):
@@ -174,6 +177,47 @@ def test_twice_one_byte_and_notations():
     assert encoding.repair("an\ufffdlisis") == (True, "an\ufffdlisis", False)
 
 
+
+
+STRANGE = {  # text, charset that it was in, charset that it was read in
+    "gbk": ("这是一个关于编码错误的测试文本内容", "gbk", "latin-1"),
+    "shift_jis": ("これは文字コードのテストです。日本語の文章", "shift_jis", "latin-1"),
+    "euc_kr": ("이것은 문자 인코딩 테스트입니다 한국어 문장", "euc_kr", "latin-1"),
+    "greek": ("Αυτό είναι ένα κείμενο δοκιμής για την κωδικοποίηση", "iso8859-7", "latin-1"),
+    "cp1253": ("Αυτό είναι ένα κείμενο δοκιμής για την κωδικοποίηση", "cp1253", "cp1252"),
+    "hebrew": ("זהו טקסט בדיקה עבור קידוד שגוי", "cp1255", "cp1252"),
+    "arabic": ("هذا نص تجريبي لترميز خاطئ", "cp1256", "latin-1"),
+    "polish": ("Zażółć gęślą jaźń, proszę państwa", "cp1250", "latin-1"),
+    "russian": ("Все зависимости между модулями устранены", "cp1251", "latin-1"),
+}
+
+
+@pytest.mark.parametrize("name", STRANGE)
+def test_other_charsets(name):
+    text, was, read_as = STRANGE[name]
+    assert encoding.repair(text.encode(was).decode(read_as)) == (True, text, True)
+    assert encoding.repair(text) == (False, text, True)
+
+
+def test_sound_texts_of_other_languages_and_lists_of_letters():
+    for text in ("Ðað er þýðing íslensku", "ÀÉÎÕÜ", "Zażółć gęślą jaźń", "Příliš žluťoučký kůň", "A função é necessária", "Ærø, Østerå og Ålesund"):
+        assert encoding.repair(text) == (False, text, True), text
+
+
+def test_misread_many_times_and_escapes_of_any_kind():
+    text = "café"
+    for n in range(1, 8):
+        text = text.encode().decode("latin-1")
+        assert encoding.repair(text) == (True, "café", True), n
+    for wrong in ("caf\\u251c\\u2310", "caf<C3><A9>", "caf<U+00C3><U+00a9>", "caf=c3=83=c2=a9", "caf&#195;&#169;"):
+        assert encoding.repair(wrong) == (True, "café", True), wrong
+    russian = "Все зависимости"
+    escaped = "".join(c if c == " " else f"\\u{ord(c):04x}" for c in russian.encode().decode("cp1251", "replace") if c != "�")
+    assert encoding.repair(escaped)[0]
+    best, steps, whole = encoding.search("cafÃ©", most=1)
+    assert steps == 0 and not whole
+
+
 def test_repair_of_a_table(spark):
     d = spark.createDataFrame([(1, "cafÃ©", "x"), (2, None, "x"), (3, "", "x"), (4, "café", "x"), (1, "cafÃ©", "y"), (5, "cafÃ© " * 20_000, "z")], "doc_id bigint, text string, garbled string")
     got = {r.doc_id: (r.garbled, r.text[:5]) for r in encoding.repaired(d, "doc_id", "text").collect()}
