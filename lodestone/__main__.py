@@ -1,5 +1,5 @@
 """python -m lodestone COMMAND PATH [NAME]: analyze, impact, explain, predict, cycles, dead, complexity, findings, mermaid,
-sarif, html, tree, overview."""
+sarif, html, tree, overview, health, duplication."""
 
 from __future__ import annotations
 
@@ -9,12 +9,11 @@ from lodestone import exporters
 from lodestone.engine import Engine
 from lodestone.session import build_session
 from lodestone.sources.config import load_config, merge_config
-from lodestone.sources.scan import layer_overview
 
 
 def main(argv: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(description=__doc__)
-    a.add_argument("command", choices="analyze impact explain predict cycles dead complexity findings mermaid sarif html tree overview".split())
+    a.add_argument("command", choices="analyze impact explain predict cycles dead complexity findings mermaid sarif html tree overview health duplication".split())
     a.add_argument("path")
     a.add_argument("name", nargs="?")
     a.add_argument("--limit", type=int)
@@ -22,7 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     x = a.parse_args(argv)
     c = merge_config(load_config(x.path), {"limit": x.limit, "max_depth": x.max_depth})
     e = Engine(build_session("lodestone"), x.path)
-    rows = {"impact": lambda: e.impact(x.name), "predict": lambda: e.impact(x.name), "explain": lambda: e.explain(x.name), "cycles": e.cycles, "dead": e.dead_code, "complexity": lambda: e.complexity(c["limit"]), "findings": e.findings, "analyze": lambda: e.hotspots(c["limit"]), "overview": lambda: layer_overview(e.files)}
+    rows = {"impact": lambda: e.impact(x.name), "predict": lambda: e.impact(x.name), "explain": lambda: e.explain(x.name), "cycles": e.cycles, "dead": e.dead_code, "complexity": lambda: e.complexity(c["limit"]), "findings": e.findings, "analyze": lambda: e.hotspots(c["limit"]), "overview": e.overview, "health": e.health, "duplication": e.duplication}
     if x.command in rows:
         rows[x.command]().show(c["limit"], truncate=False)
     elif x.command == "tree":

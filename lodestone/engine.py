@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestone import __version__, exporters
 from lodestone.operators import graph as G
+from lodestone.operators import text
+from lodestone.operators.scoring import file_scores
 from lodestone.plans.graph_queries import entry_points, file_of
 from lodestone.session import materialize
 from lodestone.sources import git_text, python_source, registry
-from lodestone.sources.scan import scan
+from lodestone.sources.scan import layer_overview, scan
 
 
 class Engine:
@@ -63,6 +65,36 @@ class Engine:
         r = G.impact_sizes(self.edges).join(self.functions.select("node", "ccn"), "node", "left").join(G.degrees(self.edges), "node")
         return r.select("node", (F.col("impact") + bonus).alias("risk"), "outgoing", "incoming").orderBy(F.desc("risk"), F.desc("outgoing"), F.desc("incoming"), F.desc("node")).limit(n)
 
+    def overview(self) -> DataFrame:
+        """Files per layer."""
+        return layer_overview(self.files)
+
+    def timeline(self, last: DataFrame, before: DataFrame) -> DataFrame:
+        """Every node by whether the last changed files (path) or those before them hold it."""
+        n = self.nodes().withColumn("path", file_of())
+        mark = lambda x, name: x.select("path").distinct().withColumn(name, F.lit(True))
+        j = n.join(mark(last, "changed_last"), "path", "left").join(mark(before, "changed_before"), "path", "left")
+        return j.select("node", F.coalesce("changed_last", F.lit(False)).alias("changed_last"), F.coalesce("changed_before", F.lit(False)).alias("changed_before"))
+
+    def blast_radius(self, changed: DataFrame, max_depth: int = 3) -> DataFrame:
+        """(node, depth): functions that reach those of the changed files (path) within some steps."""
+        start = materialize(self.nodes().withColumn("path", file_of()).join(changed.select("path"), "path", "left_semi").select("node"), "changed")
+        return G.reach(self.edges, start, backwards=True, max_depth=max_depth, closed=start)
+
+    def health(self) -> DataFrame:
+        """(path, defect, maintainability, performance) of every file, ten where nothing was found."""
+        found = self.findings().select(file_of().alias("file_path"), "biomarker_type", "severity", F.lit(None).cast("double").alias("deduction"))
+        scores = file_scores(found).withColumnRenamed("file_path", "path")
+        return self.files.select("path").join(scores, "path", "left").fillna(10.0, ["defect", "maintainability", "performance"])
+
+    def diff(self, other: Engine) -> DataFrame:
+        """(node, side): functions that only this tree has (head) or only the other one (base)."""
+        a, b = self.nodes(), other.nodes()
+        return a.subtract(b).withColumn("side", F.lit("head")).unionByName(b.subtract(a).withColumn("side", F.lit("base")))
+
+    def duplication(self, size: int = 20) -> DataFrame:
+        return text.clones(self.files.select(F.col("path").alias("file"), text.codes(F.col("content")).alias("codes")), size)
+
     def changed(self, status_lines: DataFrame) -> DataFrame:
         return git_text.changed_functions(self.nodes(), git_text.code_changes(git_text.worktree_changes(status_lines)))
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import relations as R
+from lodestone.functions import embedders
 from lodestone.functions import paths as P
+from lodestone.operators.vectors import cosine
 from lodestone.tables import table
 
 
@@ -79,16 +81,22 @@ def p16_deductions(spark: SparkSession, d: str) -> DataFrame:
     return R.findings(spark, d).groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(deduction(F.col("severity"))), 3).alias("points"))
 
 
+def p28_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of every vector with the first one."""
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    first = v.orderBy("vec_id").limit(1).select(F.col("v").alias("w"))  # one row
+    return v.crossJoin(F.broadcast(first)).select("vec_id", F.round(cosine(F.col("v"), F.col("w")), 6).alias("score"))
+
+
 def p22_labels(spark: SparkSession, d: str) -> DataFrame:
     n = R.depends(spark, d).select(F.col("src").alias("node")).distinct()
     return n.select("node", F.translate("node", "()-", "___").alias("label"), F.replace(F.replace("node", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")).alias("escaped"))
 
 
 def p29_mock_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Sixteen numbers in [0, 1] from the hash of a repository's name."""
-    r = table(spark, d, "repos")
-    byte = lambda i: F.round(F.conv(F.substring(F.sha2("repo_id", 256), 2 * i + 1, 2), 16, 10).cast("double") / 255, 6)
-    return r.select("repo_id", *(byte(i).alias(f"e{i:02d}") for i in range(16)))
+    """Sixteen numbers in [0, 1] from the hash of a repository's name, by the embedder of that name."""
+    r = table(spark, d, "repos").select("repo_id", embedders.embedder("mock")(F.col("repo_id")).alias("e"))
+    return r.select("repo_id", *(F.round(F.col("e")[i], 6).alias(f"e{i:02d}") for i in range(16)))
 
 
 def p30_file_risk(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +188,7 @@ def w8_layer_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (a4_histograms, s14_changed_filter, j4_default_ccn, w5_most_complex, j8_test_gaps, j5_line_numbers, a21_rate_rollup, j15_cross_layer, a22_layer_net, w8_layer_order)}
-QUERIES |= {f"scalar_{f.__name__}": f for f in (p1_p2_names, p3_suffix_lookup, p4_module_paths, p7_layers, p8_simple_layers, p9_risk_tags, p11_safe_to_delete, p12_p13_levels, p15_repo_risk, p16_deductions, p22_labels, p29_mock_embedding, p30_file_risk, p32_test_paths)}
+QUERIES |= {f"scalar_{f.__name__}": f for f in (p1_p2_names, p3_suffix_lookup, p4_module_paths, p7_layers, p8_simple_layers, p9_risk_tags, p11_safe_to_delete, p12_p13_levels, p15_repo_risk, p16_deductions, p22_labels, p28_cosine, p29_mock_embedding, p30_file_risk, p32_test_paths)}
 
 _L = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _HINT = "CASE " + " ".join(f"WHEN x IN ({', '.join(repr(m) for m in ms)}) THEN '{g}'" for g, ms in P.LAYER_HINTS.items()) + " END"
@@ -217,6 +225,7 @@ SQL = {
     "scalar_p12_p13_levels": R.with_("ccn") + "SELECT node, CASE WHEN ccn > 10 THEN 'complex' WHEN ccn > 5 THEN 'moderate' ELSE 'simple' END AS bucket, CASE WHEN ccn >= 10 THEN 'HIGH' WHEN ccn >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ccn",
     "scalar_p15_repo_risk": _F.rstrip() + ", " + R.SQL["imports"] + ", g AS (SELECT dst, count(*) AS n FROM imports GROUP BY dst), j AS (SELECT repo_id, coalesce(max(n), 0) AS top, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM fl LEFT JOIN g ON file_path = dst GROUP BY repo_id) SELECT repo_id, total, CASE WHEN top >= 5 OR total >= 5 THEN 'HIGH' WHEN top >= 3 OR total >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM j",
     "scalar_p16_deductions": R.with_("findings") + "SELECT severity, count(*) AS n, max(CASE severity WHEN 'low' THEN 0.3 WHEN 'medium' THEN 0.7 WHEN 'high' THEN 1.2 WHEN 'critical' THEN 2.0 ELSE 0.5 END)::DOUBLE AS points FROM findings GROUP BY severity",
+    "scalar_p28_cosine": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(list_cosine_similarity(v, (SELECT v FROM v ORDER BY vec_id LIMIT 1)), 6) AS score FROM v",
     "scalar_p22_labels": R.with_("depends") + "SELECT DISTINCT src AS node, translate(src, '()-', '___') AS label, replace(replace(src, '&', '&amp;'), '<', '&lt;') AS escaped FROM depends",
     "scalar_p29_mock_embedding": "SELECT repo_id, " + ", ".join(f"round(CAST(('0x' || substr(sha256(repo_id), {2 * i + 1}, 2)) AS INTEGER) / 255.0::DOUBLE, 6) AS e{i:02d}" for i in range(16)) + " FROM repos",
     "scalar_p30_file_risk": R.with_("file_context") + "SELECT file_id, round(pagerank_score * (1 + coalesce(dependents_count, 0)::DOUBLE / 100), 12) AS risk FROM file_context",

@@ -39,8 +39,25 @@ def s10_project_edges(spark: SparkSession, d: str) -> DataFrame:
     return registry.project_edges(_sources(spark, d))
 
 
+def _made(spark: SparkSession, d: str) -> DataFrame:
+    """A Python file per part, which holds by its size what the stored files lack: main blocks, input in loops, blocking calls
+    in async functions, long conditions."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("s"))
+    line = lambda text, n: F.repeat(F.lit(text), n)
+    body = F.concat(
+        F.lit("import time\n\n\ndef helper(a):\n    return 1 if a else 2\n\n\nasync def work(a):\n    for i in a:\n        a += i\n"), line("        open(i)\n", F.col("s") % 3), line("    time.sleep(1)\n", F.col("s") % 2),
+        F.lit("    if a == 0"), line(" and a == 1", F.col("s") % 8), F.lit(":\n        pass\n"), F.when(F.col("s") % 4 == 0, "\n\nif __name__ == '__main__':\n    helper(1)\n").otherwise(""),
+    )
+    return p.select(F.concat(F.lit("made/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
+
+
 def s11_entries(spark: SparkSession, d: str) -> DataFrame:
-    return python_source.entry_points(python_source.parse(_sources(spark, d).where(F.col("path").endswith(".py"))))
+    return python_source.entry_points(python_source.parse(_made(spark, d)))
+
+
+def p25_complexities(spark: SparkSession, d: str) -> DataFrame:
+    """Both counts of complexity: they differ by conditional expressions."""
+    return python_source.functions(python_source.parse(_made(spark, d))).select("node", "ccn", "ccn_plain")
 
 
 def s10_parse_errors(spark: SparkSession, d: str) -> DataFrame:
@@ -55,10 +72,17 @@ def s24_overview(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b_syntax_findings(spark: SparkSession, d: str) -> DataFrame:
-    rows = python_source.parse(_sources(spark, d).where(F.col("path").endswith(".py")))
+    """Findings of the detectors on syntax trees in all stored Python files."""
+    rows = python_source.parse(_sources(spark, d).where(F.col("path").endswith(".py")).unionByName(_made(spark, d)))
     return python_source.syntax_findings(rows).distinct()
 
 
+def b_syntax_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Places with findings per file of the made sources."""
+    x = python_source.syntax_findings(python_source.parse(_made(spark, d))).where("place <> ''")
+    return x.groupBy("node", "biomarker_type", "severity").agg(F.count(F.lit(1)).alias("places"))
+
+
 def t2_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     """Files added and changed between two looks at the event log: at the middle of the time that it covers, and at its end.
 
@@ -126,10 +150,14 @@ def g16_change_report(spark: SparkSession, d: str) -> DataFrame:
     return x.select("node", "depth", F.round(risk, 9).alias("risk"), F.coalesce("gap", F.lit(False)).alias("gap"), "owner")
 
 
-QUERIES = {f.__name__: f for f in (s5_python_functions, s6_line_functions, s10_project_edges, s10_parse_errors, s11_entries, s24_overview, b_syntax_findings, t2_snapshot_diff, a26_compare, a27_totals, a28_graph_fingerprint, u3_affected, w4_rank_threshold, w9_most_calls, g16_reviewers, g16_change_report)}
+QUERIES = {f.__name__: f for f in (s5_python_functions, s6_line_functions, s10_project_edges, s10_parse_errors, s11_entries, s24_overview, b_syntax_findings, b_syntax_sites, t2_snapshot_diff, a26_compare, a27_totals, a28_graph_fingerprint, u3_affected, w4_rank_threshold, w9_most_calls, g16_reviewers, g16_change_report)}
+QUERIES |= {"scalar_p25_complexities": p25_complexities}
 
 _G16 = GQ.SQL["g16_blast_radius"]
 SQL = {
+    "s11_entries": "SELECT 'made/p' || p_partkey || '.py::helper' AS node FROM part WHERE p_size % 4 = 0",
+    "b_syntax_sites": "SELECT 'made/p' || p_partkey || '.py::work' AS node, b AS biomarker_type, CASE WHEN b = 'blocking_sync_in_async' THEN 'high' ELSE 'medium' END AS severity, n AS places FROM (SELECT p_partkey, 'io_in_loop' AS b, CAST(p_size % 3 AS BIGINT) AS n FROM part UNION ALL SELECT p_partkey, 'blocking_sync_in_async', CAST(p_size % 2 AS BIGINT) FROM part UNION ALL SELECT p_partkey, 'complex_conditional', CAST(2 * (p_size % 8) + 1 > 5 AS BIGINT) FROM part) WHERE n > 0",
+    "scalar_p25_complexities": "SELECT 'made/p' || p_partkey || '.py::helper' AS node, 2 AS ccn, 1 AS ccn_plain FROM part UNION ALL SELECT 'made/p' || p_partkey || '.py::work', CAST(3 + p_size % 8 AS INTEGER), CAST(3 + p_size % 8 AS INTEGER) FROM part",
     "s24_overview": _LAYERED + "SELECT layer, count(*) AS files FROM fl WHERE file_path LIKE '%.py' GROUP BY layer",
     "t2_snapshot_diff": R.with_("commits").rstrip() + ", a AS (SELECT path, max({'ts': ts, 'sha': sha}) AS m FROM commits WHERE ts <= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM commits) GROUP BY path), b AS (SELECT path, max({'ts': ts, 'sha': sha}) AS m FROM commits GROUP BY path) SELECT path, CASE WHEN a.m IS NULL THEN 'added' WHEN b.m IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (path) WHERE a.m IS NULL OR b.m IS NULL OR a.m <> b.m",
     "a26_compare": GQ._RISK.rstrip() + ", " + R.SQL["changed_before"] + ", x AS (SELECT impact, split_part(node, '::', 1) IN (SELECT path FROM changed) AS h, split_part(node, '::', 1) IN (SELECT path FROM changed_before) AS b FROM risk) SELECT CAST(count(*) FILTER (h) AS BIGINT) AS head_functions, CAST(count(*) FILTER (b) AS BIGINT) AS base_functions, CAST(coalesce(sum(impact) FILTER (h), 0) AS BIGINT) AS head_risk, CAST(coalesce(sum(impact) FILTER (b), 0) AS BIGINT) AS base_risk, CAST(coalesce(sum(impact) FILTER (h), 0) - coalesce(sum(impact) FILTER (b), 0) AS BIGINT) AS risk_delta FROM x",

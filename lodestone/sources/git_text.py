@@ -23,6 +23,11 @@ def ref_changes(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("value").alias("path")).where(F.length("path") > 0).distinct()
 
 
+def staged_python(lines: DataFrame) -> DataFrame:
+    """Staged Python files: the names that a diff of the index prints for added, copied and modified files."""
+    return ref_changes(lines).where(F.col("path").endswith(".py"))
+
+
 def code_changes(changes: DataFrame) -> DataFrame:
     """Python and JavaScript files outside of test, build and environment folders."""
     parts = F.split("path", "/")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,14 +18,59 @@ class Rules:
     define: re.Pattern
     imports: tuple[re.Pattern, ...]
     words: frozenset[str]
+    bind: Callable[[str], Iterator[tuple[str, str]]] | None = None
+
+
+_GO_IMPORT = re.compile(r"^\s*import\s*(?:\(([^)]*)\)|((?:[\w.]+\s+)?\"[^\"\n]+\"))", re.M)
+_GO_NAMED = re.compile(r"(?:([\w.]+)[ \t]+)?\"([^\"\n]+)\"")
+
+
+def _go(text: str) -> Iterator[tuple[str, str]]:
+    """Name and path of every import, alone or in a block; a package goes by its alias or the last part of its path."""
+    for m in _GO_IMPORT.finditer(text):
+        for alias, path in _GO_NAMED.findall(m[1] or m[2]):
+            if alias != "_":
+                yield (alias if alias and alias != "." else path.rpartition("/")[2]), path
+
+
+def _java(text: str) -> Iterator[tuple[str, str]]:
+    """A class by its own name, a static member by its name."""
+    for m in re.finditer(r"^\s*import\s+(?:static\s+)?([\w.]+)\.(\w+)\s*;", text, re.M):
+        yield m[2], f"{m[1]}.{m[2]}"
+
+
+def _rust_tree(prefix: str, tree: str) -> Iterator[tuple[str, str]]:
+    """The names that a ``use`` brings in; lists nest."""
+    depth, part, parts = 0, "", []
+    for c in tree:
+        if c == "," and not depth:
+            parts.append(part)
+            part = ""
+            continue
+        depth += (c == "{") - (c == "}")
+        part += c
+    for p in [*parts, part]:
+        p = p.strip()
+        head, brace, rest = p.partition("{")
+        if brace:
+            yield from _rust_tree(prefix + head.strip(), rest.rpartition("}")[0])
+        elif p and not p.endswith("*"):
+            path, _, alias = p.partition(" as ")
+            path = prefix.removesuffix("::") if path.strip() == "self" else prefix + path.strip()
+            yield (alias.strip() or path.rpartition("::")[2]), path
+
+
+def _rust(text: str) -> Iterator[tuple[str, str]]:
+    for m in re.finditer(r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", text, re.M):
+        yield from _rust_tree("", " ".join(m[1].split()))
 
 
 _WORDS = frozenset("if for while switch return catch function func fn match loop new await typeof super this else do go defer throw sizeof in of case select when".split())
 RULES = (
     Rules((".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"), re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:(?:async\s+)?function\s*\*?\s*([\w$]+)|(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>))"), (re.compile(r"import\s+(?:type\s+)?\{?\s*([\w$,\s]+?)\s*\}?\s+from\s+['\"]([^'\"]+)"), re.compile(r"(?:const|let|var)\s+\{?\s*([\w$,\s]+?)\s*\}?\s*=\s*require\(\s*['\"]([^'\"]+)")), _WORDS | {"require", "import"}),
-    Rules((".go",), re.compile(r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"), (), _WORDS | {"len", "make", "append", "cap", "copy", "panic", "recover", "string", "int", "byte"}),
-    Rules((".java",), re.compile(r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized|native)\s+)*[\w<>\[\], .?]+\s+([A-Za-z_]\w*)\s*\([^;]*$"), (), _WORDS),
-    Rules((".rs",), re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+([A-Za-z_]\w*)"), (re.compile(r"use\s+((?:\w+::)*\w+)"),), _WORDS | {"Some", "Ok", "Err", "Box", "Vec"}),
+    Rules((".go",), re.compile(r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"), (), _WORDS | {"len", "make", "append", "cap", "copy", "panic", "recover", "string", "int", "byte"}, _go),
+    Rules((".java",), re.compile(r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized|native)\s+)*[\w<>\[\], .?]+\s+([A-Za-z_]\w*)\s*\([^;]*$"), (), _WORDS, _java),
+    Rules((".rs",), re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+([A-Za-z_]\w*)"), (), _WORDS | {"Some", "Ok", "Err", "Box", "Vec"}, _rust),
 )
 BY_EXTENSION = {e: r for r in RULES for e in r.extensions}
 
@@ -48,7 +93,7 @@ def rows_of(path: str, text: str) -> Iterator[tuple[str, str, str, int]]:
     rules = BY_EXTENSION.get("." + path.rpartition(".")[2].lower())
     if rules is None:
         return
-    bound: dict[str, str] = {}
+    bound: dict[str, str] = dict(rules.bind(re.sub(r"//[^\n]*|/\*[\s\S]*?\*/", "", text))) if rules.bind else {}
     defined: list[tuple[str, int]] = []
     calls: list[tuple[str | None, str]] = []
     current = None

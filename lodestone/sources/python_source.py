@@ -38,6 +38,29 @@ def complexity(fn: ast.AST) -> int:
     return 1 + sum(isinstance(n, _BRANCH) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(fn))
 
 
+def plain_complexity(fn: ast.AST) -> int:
+    """The count that the detectors use: without conditional expressions, a try counts its handlers."""
+    return complexity(fn) - sum(isinstance(n, ast.IfExp) for n in ast.walk(fn))
+
+
+def sites(fn: ast.AST) -> list[tuple[str, int, str]]:
+    """(detector, line, place) of what is found at places within a function: every condition of more than five parts, every
+    input or output call in a loop, once for each loop around it, every blocking call of an async function."""
+    out = []
+    for n in ast.walk(fn):
+        if isinstance(n, ast.If):
+            parts = sum((len(x.values) - 1) if isinstance(x, ast.BoolOp) else isinstance(x, ast.Compare) for x in ast.walk(n.test))
+            if parts > 5:
+                out.append(("complex_conditional", n.lineno, f"{n.lineno}:{n.col_offset}"))
+        elif isinstance(n, (ast.For, ast.While, ast.AsyncFor)):
+            for c in ast.walk(n):
+                if isinstance(c, ast.Call) and (c.func.id if isinstance(c.func, ast.Name) else c.func.attr if isinstance(c.func, ast.Attribute) else "") in _IO:
+                    out.append(("io_in_loop", n.lineno, f"{c.lineno}:{c.col_offset}"))
+        elif isinstance(n, ast.Call) and isinstance(fn, ast.AsyncFunctionDef) and (_dotted(n.func) or "") in _BLOCKING:
+            out.append(("blocking_sync_in_async", n.lineno, f"{n.lineno}:{n.col_offset}"))
+    return out
+
+
 def _depth(node: ast.AST, at: int = 0) -> int:
     return max([at, *(_depth(c, at + isinstance(c, _NEST)) for c in ast.iter_child_nodes(node))])
 
@@ -49,6 +72,7 @@ def _metrics(fn: ast.AST) -> dict[str, int]:
     args = [a.arg for n in nodes if isinstance(n, ast.arguments) for a in (*n.posonlyargs, *n.args, *n.kwonlyargs) if a.arg not in ("self", "cls", "mcs")]
     return {
         "ccn": complexity(fn),
+        "ccn_plain": plain_complexity(fn),
         "depth": _depth(fn),
         "loc": max((fn.end_lineno or fn.lineno) - fn.lineno, 0),
         "n_vars": len({n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}),
@@ -126,6 +150,7 @@ def rows_of(path: str, text: str) -> list[dict]:
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 node = f"{path}::{cls + '.' if cls else ''}{n.name}"
                 out.append({"path": path, "kind": "function", "node": node, "class": cls, "name": n.name, "lineno": n.lineno, "metrics": _metrics(n)})
+                out.extend({"path": path, "kind": "site", "node": node, "name": found, "lineno": line, "symbol": place} for found, line, place in sites(n))
                 for d in n.decorator_list:
                     call(node, d.func if isinstance(d, ast.Call) else d, cls)
                 inner = [x for x in ast.walk(n) if isinstance(x, ast.Call)]
@@ -171,7 +196,7 @@ def call_edges(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 def functions(rows: DataFrame) -> DataFrame:
     f = rows.where("kind = 'function'")
-    names = ("ccn", "depth", "loc", "n_vars", "n_ifs", "n_args", "bare_excepts", "io_in_loop", "concat_in_loop", "literal_concat_in_loop", "blocking", "condition")
+    names = ("ccn", "ccn_plain", "depth", "loc", "n_vars", "n_ifs", "n_args", "bare_excepts", "io_in_loop", "concat_in_loop", "literal_concat_in_loop", "blocking", "condition")
     return f.select("node", "path", "class", "name", "lineno", *(F.col("metrics")[n].alias(n) for n in names))
 
 
@@ -180,22 +205,22 @@ def entry_points(rows: DataFrame) -> DataFrame:
 
 
 def syntax_findings(rows: DataFrame) -> DataFrame:
-    """(node, biomarker_type, severity) of the detectors that need a syntax tree, with those on plain metrics."""
+    """(node, biomarker_type, severity, line, place) of the detectors that need a syntax tree, with those on plain metrics; one row
+    per place where a detector looks at places, else one per function or class (place is then empty)."""
     from lodestone.operators.biomarkers import FUNCTION_DETECTORS, Detector, detect
 
     lit = lambda level: lambda: F.lit(level)
     more = [
-        Detector("complex_conditional", lambda: F.col("condition") > 5, lit("medium")),
         Detector("error_handling", lambda: F.col("bare_excepts") > 2, lit("medium")),
-        Detector("io_in_loop", lambda: F.col("io_in_loop") > 0, lit("medium")),
         Detector("string_concat_in_loop", lambda: (F.col("concat_in_loop") > 2) | (F.col("literal_concat_in_loop") > 3), lit("low")),
-        Detector("blocking_sync_in_async", lambda: F.col("blocking") > 0, lit("high")),
     ]
-    by_function = detect(functions(rows), [*FUNCTION_DETECTORS, *more], ["node"])
-    c = rows.where("kind = 'class'").select("node", *(F.col("metrics")[n].alias(n) for n in ("methods", "assigns", "stored", "used")))
+    by_function = detect(functions(rows), [*FUNCTION_DETECTORS, *more], ["node", "lineno"])
+    c = rows.where("kind = 'class'").select("node", "lineno", *(F.col("metrics")[n].alias(n) for n in ("methods", "assigns", "stored", "used")))
     by_class = [
         Detector("god_class", lambda: (F.col("methods") > 15) & (F.col("assigns") > 20), lit("medium")),
         Detector("low_cohesion", lambda: (F.col("stored") > 3) & (F.col("used") / F.col("stored") < 0.3), lit("medium")),
         Detector("large_class", lambda: F.col("methods") > 25, lit("high")),
     ]
-    return by_function.unionByName(detect(c, by_class, ["node"]))
+    whole = by_function.unionByName(detect(c, by_class, ["node", "lineno"])).withColumnRenamed("lineno", "line").withColumn("place", F.lit(""))
+    at = rows.where("kind = 'site'").select("node", F.col("name").alias("biomarker_type"), F.when(F.col("name") == "blocking_sync_in_async", "high").otherwise("medium").alias("severity"), F.col("lineno").alias("line"), F.col("symbol").alias("place"))
+    return whole.unionByName(at)

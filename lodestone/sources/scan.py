@@ -124,6 +124,23 @@ def scan(spark: SparkSession, base: str, extensions: tuple[str, ...] = EXTENSION
     return spark.read.format("codefiles").option("extensions", ",".join(extensions)).option("ignore", json.dumps(lines)).load(base)
 
 
+def read_texts(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("md", "rst", "txt")) -> DataFrame:
+    """(name, text) of the text files in a folder, whole, by name: records of decisions, change logs."""
+    x = spark.read.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").text(folder, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("text"))
+    return x.orderBy("name")
+
+
+def write_cache(files: DataFrame, folder: str) -> None:
+    """Keeps (path, sha256) of the files for the next ``cache_split``: written beside and then put in place of the old one."""
+    spark = files.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    new, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (folder.rstrip("/") + ".new", folder))
+    files.select("path", "sha256").distinct().write.mode("overwrite").parquet(new.toString())
+    fs = old.getFileSystem(conf)
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
 def cache_split(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) against cached (path, sha256): only misses need parsing."""
     key = cached.select("path", "sha256").distinct()

@@ -125,3 +125,33 @@ def test_snapshots_hold_the_whole_log(spark, tmp_path):
     spark.sql(f"SELECT * FROM VALUES {values} AS t(event_id, user_id, ts, event_type, value, props)").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.path: r.change for r in source_queries.t2_snapshot_diff(spark, str(tmp_path)).collect()}
     assert got == {"src/f1.py": "modified", "src/f4.py": "added", "src/f5.py": "modified", "src/f6.py": "added"}
+
+
+def test_imports_of_go_java_and_rust():
+    go = 'package a\nimport (\n\t"fmt"\n\tdb "x/y/store"\n)\nimport "z/util"\n\nfunc Run() {\n\tdb.Open(1)\n\tutil.Go()\n\tother.No()\n}\n'
+    assert [r[2] for r in line_sources.rows_of("a.go", go) if r[0] == "call"] == ["x/y/store::Open", "z/util::Go"]
+    java = "import org.x.Store;\nimport static org.x.Util.fetch;\nclass A {\n  void run() {\n    Store.open(1);\n    fetch();\n  }\n}\n"
+    assert [r[2] for r in line_sources.rows_of("A.java", java) if r[0] == "call"] == ["org.x.Store::open", "org.x.Util.fetch::fetch"]
+    rust = "use a::{b, c::{self, D as E}};\npub use x::y::*;\nfn run() {\n    b(1);\n    E::new();\n    c::z();\n}\n"
+    assert [r[2] for r in line_sources.rows_of("a.rs", rust) if r[0] == "call"] == ["a::b::b", "a::c::D::new", "a::c::z"]
+
+
+def test_places_and_both_complexities(spark):
+    code = "import time\nasync def f(a):\n    for i in a:\n        for j in i:\n            open(j)\n    time.sleep(1); time.sleep(2)\n    return 1 if a else 2\n"
+    rows = python_source.parse(spark.createDataFrame([("m.py", code)], "path string, content string"))
+    found = sorted((r.biomarker_type, r.line, r.place) for r in python_source.syntax_findings(rows).where("place <> ''").collect())
+    assert found == [("blocking_sync_in_async", 6, "6:19"), ("blocking_sync_in_async", 6, "6:4"), ("io_in_loop", 3, "5:12"), ("io_in_loop", 4, "5:12")]
+    assert [(r.ccn, r.ccn_plain) for r in python_source.functions(rows).collect()] == [(4, 3)]
+
+
+def test_staged_files_texts_and_written_cache(spark, tmp_path):
+    staged = spark.createDataFrame([("a.py",), ("b.js",), ("",)], "value string")
+    assert [r.path for r in git_text.staged_python(staged).collect()] == ["a.py"]
+    for name, body in (("b.md", "two\nlines"), ("a.txt", "one"), ("c.png", "x")):
+        (tmp_path / name).write_text(body)
+    assert [tuple(r) for r in scan.read_texts(spark, str(tmp_path)).collect()] == [("a.txt", "one"), ("b.md", "two\nlines")]
+    files = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
+    for _ in range(2):
+        scan.write_cache(files, str(tmp_path / "cache"))
+    hits, misses = scan.cache_split(spark.createDataFrame([("a", "1"), ("b", "3")], "path string, sha256 string"), spark.read.parquet(str(tmp_path / "cache")))
+    assert [r.path for r in hits.collect()] == ["a"] and [r.path for r in misses.collect()] == ["b"]
