@@ -18,19 +18,24 @@ LAYER_HINTS = {
     "Types": ("types", "interfaces", "schemas", "contracts", "dtos", "typings"),
 }
 TEST_FOLDERS = ("__tests__", "test", "tests", "e2e")
-SIDE_FOLDERS = ("examples", "_examples", "example", "samples", "sample", "demo", "demos", "bench", "benches", "benchmarks", "docs", "doc", "website", "scripts", "script", "docker", "plugins")
+EXAMPLE_FOLDERS = ("examples", "_examples", "example", "samples", "sample", "demo", "demos", "bench", "benches", "benchmarks")
+DOC_FOLDERS = ("docs", "doc", "website")
+TOOL_FOLDERS = ("scripts", "script", "docker", "plugins")
 SIDE_LAYER, DEFAULT_LAYER = "Docs & Tooling", "Application"
 LAYER_RANK = {"UI": 0, "CLI": 1, "API": 2, "Middleware": 3, "Service": 4, "Application": 5, "Data": 6, "Types": 7, "Config": 8, "Utility": 9, "Docs & Tooling": 10, "Test": 11}
 PINNED_LAYERS = ("Test", "Docs & Tooling")
 
 # fixed values: tags of a file's name parts and folders that make a static "unused" doubtful
 NAME_TAGS = {
-    "config": ("config", "configs", "configuration", "conf", "settings", "setting", "setup"),
-    "environment": ("env", "environment", "environ", "dotenv"),
-    "bootstrap": ("bootstrap", "startup", "entrypoint"),
-    "database": ("database", "db", "schema", "seed", "seeds", "migration", "migrations", "datastore", "sqlite"),
-}
-FOLDER_TAGS = {"config": ("config", "configs", "settings"), "environment": ("env", "environments"), "bootstrap": ("bootstrap",), "database": ("database", "db", "migrations"), "script": ("scripts", "bin", "tasks")}
+    "config": "config", "configs": "config", "configuration": "config", "conf": "config", "settings": "config", "setting": "config", "setup": "config", "env": "environment",
+    "environment": "environment", "environ": "environment", "dotenv": "environment", "bootstrap": "bootstrap", "startup": "bootstrap", "entrypoint": "bootstrap",
+    "database": "database", "db": "database", "schema": "database", "seed": "database", "seeds": "database", "migration": "database", "migrations": "database",
+    "datastore": "database", "sqlite": "database",
+}
+FOLDER_TAGS = {
+    "config": "config", "configs": "config", "settings": "config", "env": "environment", "environments": "environment", "bootstrap": "bootstrap", "database": "database",
+    "db": "database", "migrations": "database", "scripts": "script", "bin": "script", "tasks": "script",
+}
 TAG_TEXT = {"config": "configuration", "environment": "environment/bootstrap", "bootstrap": "bootstrap/entry-point", "database": "database/schema", "script": "script/task"}
 
 
@@ -44,21 +49,21 @@ def stem(path: Column) -> Column:
     return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
 
 
-def _table(groups: dict[str, tuple[str, ...]]) -> Column:
-    return F.create_map(*(F.lit(x) for g, members in groups.items() for m in members for x in (m, g)))
+def _table(plain: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in plain.items() for x in kv))
 
 
 def layer(path: Column) -> Column:
     """Layer of a file: tests by name or folder, a leading dot folder is Config, side folders, then the deepest folder with
     a hint; Application otherwise.  Null stays null."""
     dirs, s = folders(path), stem(path)
-    hints = F.filter(F.transform(F.reverse(dirs), lambda x: F.try_element_at(_table(LAYER_HINTS), x)), lambda x: x.isNotNull())
+    hints = F.filter(F.transform(F.reverse(dirs), lambda x: F.try_element_at(_table({m: g for g, members in LAYER_HINTS.items() for m in members}), x)), lambda x: x.isNotNull())
     is_test = s.rlike("^(test_|spec_)|(_test|_spec|_specs)$") | F.arrays_overlap(dirs, F.array(*(F.lit(x) for x in TEST_FOLDERS)))
     return (
         F.when(path.isNull(), F.lit(None).cast("string"))
         .when(is_test, "Test")
         .when(F.coalesce(F.get(dirs, 0), F.lit("")).startswith("."), "Config")
-        .when(F.arrays_overlap(dirs, F.array(*(F.lit(x) for x in SIDE_FOLDERS))), SIDE_LAYER)
+        .when(F.arrays_overlap(dirs, F.array(*(F.lit(x) for x in (*EXAMPLE_FOLDERS, *DOC_FOLDERS, *TOOL_FOLDERS)))), SIDE_LAYER)
         .otherwise(F.coalesce(F.get(hints, 0), F.lit(DEFAULT_LAYER)))
     )
 

@@ -20,19 +20,21 @@ WEIGHT = {
 }
 # fixed values: categories of the defect dimension; size_and_complexity for the others
 CATEGORY = {
-    "structural_complexity": ("brain_method", "low_cohesion", "god_class", "nested_complexity", "bumpy_road", "complex_conditional"),
-    "size_and_complexity": ("complex_method", "large_method", "primitive_obsession"),
-    "duplication": ("dry_violation",),
-    "test_coverage": ("untested_hotspot", "coverage_gap"),
-    "test_coverage_gradient": ("coverage_gradient",),
-    "organizational": ("developer_congestion", "knowledge_loss", "hidden_coupling", "function_hotspot", "code_age_volatility", "ownership_risk", "churn_risk", "change_entropy", "co_change_scatter", "prior_defect"),
-    "test_quality": ("large_assertion_block", "duplicated_assertion_block"),
-    "error_handling": ("error_handling",),
-}
+    "brain_method": "structural_complexity", "low_cohesion": "structural_complexity", "god_class": "structural_complexity", "nested_complexity": "structural_complexity",
+    "bumpy_road": "structural_complexity", "complex_conditional": "structural_complexity", "complex_method": "size_and_complexity", "large_method": "size_and_complexity",
+    "primitive_obsession": "size_and_complexity", "dry_violation": "duplication", "untested_hotspot": "test_coverage", "coverage_gap": "test_coverage",
+    "coverage_gradient": "test_coverage_gradient", "developer_congestion": "organizational", "knowledge_loss": "organizational", "hidden_coupling": "organizational",
+    "function_hotspot": "organizational", "code_age_volatility": "organizational", "ownership_risk": "organizational", "churn_risk": "organizational",
+    "change_entropy": "organizational", "co_change_scatter": "organizational", "prior_defect": "organizational", "large_assertion_block": "test_quality",
+    "duplicated_assertion_block": "test_quality", "error_handling": "error_handling",
+}
 CAP = {"organizational": 3.5, "structural_complexity": 2.5, "test_coverage": 2.0, "test_coverage_gradient": 2.0, "size_and_complexity": 1.5, "duplication": 1.0, "test_quality": 0.5, "error_handling": 0.5}
 # fixed values: the maintainability and performance dimensions
 MAINTAINABILITY = ("low_cohesion", "brain_method", "primitive_obsession", "dry_violation", "error_handling", "god_class", "large_method", "nested_complexity")
-MAINTAINABILITY_CATEGORY = {"structural_complexity": ("brain_method", "low_cohesion", "god_class", "nested_complexity", "large_method"), "size_and_complexity": ("primitive_obsession",), "duplication": ("dry_violation",), "error_handling": ("error_handling",)}
+MAINTAINABILITY_CATEGORY = {
+    "brain_method": "structural_complexity", "low_cohesion": "structural_complexity", "god_class": "structural_complexity", "nested_complexity": "structural_complexity",
+    "large_method": "structural_complexity", "primitive_obsession": "size_and_complexity", "dry_violation": "duplication", "error_handling": "error_handling",
+}
 MAINTAINABILITY_CAP = {"structural_complexity": 4.0, "size_and_complexity": 2.0, "duplication": 2.0, "error_handling": 2.0}
 PERFORMANCE_WEIGHT = {"io_in_loop": 1.0, "blocking_sync_in_async": 0.7, "string_concat_in_loop": 0.7}
 MAINTAINABILITY_HOME = ("low_cohesion", "brain_method", "primitive_obsession", "dry_violation", "error_handling")
@@ -44,10 +46,6 @@ def lookup(key: Column, values: dict, default) -> Column:
     return F.coalesce(F.try_element_at(m, key), F.lit(default))
 
 
-def _inverse(groups: dict[str, tuple[str, ...]]) -> dict[str, str]:
-    return {m: g for g, members in groups.items() for m in members}
-
-
 def deduction(severity: Column, given: Column | None = None) -> Column:
     d = lookup(F.lower(severity), SEVERITY, SEVERITY_OTHER)
     return d if given is None else F.coalesce(given, d)
@@ -59,8 +57,8 @@ def dimensions(biomarker: Column) -> Column:
     def entry(name: str, weight: Column, category: Column, caps: dict, cap: float) -> Column:
         return F.struct(F.lit(name).alias("dim"), weight.alias("weight"), category.alias("category"), lookup(category, caps, cap).alias("cap"))
 
-    defect = entry("defect", lookup(biomarker, WEIGHT, 1.0), lookup(biomarker, _inverse(CATEGORY), "size_and_complexity"), CAP, 1.0)
-    maintain = entry("maintainability", F.lit(1.0), lookup(biomarker, _inverse(MAINTAINABILITY_CATEGORY), "size_and_complexity"), MAINTAINABILITY_CAP, 1.0)
+    defect = entry("defect", lookup(biomarker, WEIGHT, 1.0), lookup(biomarker, CATEGORY, "size_and_complexity"), CAP, 1.0)
+    maintain = entry("maintainability", F.lit(1.0), lookup(biomarker, MAINTAINABILITY_CATEGORY, "size_and_complexity"), MAINTAINABILITY_CAP, 1.0)
     perform = entry("performance", lookup(biomarker, PERFORMANCE_WEIGHT, 1.0), F.lit("performance"), {"performance": 1.0}, 1.0)
     return F.when(biomarker.isin(*PERFORMANCE_WEIGHT), F.array(perform)).when(biomarker.isin(*MAINTAINABILITY), F.array(defect, maintain)).otherwise(F.array(defect))
 

@@ -191,17 +191,19 @@ QUERIES = {f.__name__: f for f in (a4_histograms, s14_changed_filter, j4_default
 QUERIES |= {f"scalar_{f.__name__}": f for f in (p1_p2_names, p3_suffix_lookup, p4_module_paths, p7_layers, p8_simple_layers, p9_risk_tags, p11_safe_to_delete, p12_p13_levels, p15_repo_risk, p16_deductions, p22_labels, p28_cosine, p29_mock_embedding, p30_file_risk, p32_test_paths)}
 
 _L = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-_HINT = "CASE " + " ".join(f"WHEN x IN ({', '.join(repr(m) for m in ms)}) THEN '{g}'" for g, ms in P.LAYER_HINTS.items()) + " END"
-_TAG = lambda groups: "CASE " + " ".join(f"WHEN x IN ({', '.join(repr(m) for m in ms)}) THEN '{g}'" for g, ms in groups.items()) + " END"
+# the values stand here once more, so that a wrong one on the other side shows
+_HINT = "CASE WHEN x IN ('cli', 'commands', 'cmd', 'cli_commands') THEN 'CLI' WHEN x IN ('routes', 'api', 'controllers', 'endpoints', 'handlers', 'routers') THEN 'API' WHEN x IN ('services', 'core', 'lib', 'domain', 'logic', 'usecases') THEN 'Service' WHEN x IN ('models', 'db', 'data', 'persistence', 'repository', 'repositories', 'store', 'stores', 'entities') THEN 'Data' WHEN x IN ('components', 'views', 'pages', 'ui', 'layouts', 'widgets', 'screens') THEN 'UI' WHEN x IN ('middleware', 'plugins', 'interceptors', 'guards') THEN 'Middleware' WHEN x IN ('utils', 'helpers', 'common', 'shared', 'tools', 'util') THEN 'Utility' WHEN x IN ('config', 'constants', 'env', 'settings', 'conf') THEN 'Config' WHEN x IN ('types', 'interfaces', 'schemas', 'contracts', 'dtos', 'typings') THEN 'Types' END"
+_NAME_TAG = "CASE WHEN x IN ('config', 'configs', 'configuration', 'conf', 'settings', 'setting', 'setup') THEN 'config' WHEN x IN ('env', 'environment', 'environ', 'dotenv') THEN 'environment' WHEN x IN ('bootstrap', 'startup', 'entrypoint') THEN 'bootstrap' WHEN x IN ('database', 'db', 'schema', 'seed', 'seeds', 'migration', 'migrations', 'datastore', 'sqlite') THEN 'database' END"
+_FOLDER_TAG = "CASE WHEN x IN ('config', 'configs', 'settings') THEN 'config' WHEN x IN ('env', 'environments') THEN 'environment' WHEN x IN ('bootstrap') THEN 'bootstrap' WHEN x IN ('database', 'db', 'migrations') THEN 'database' WHEN x IN ('scripts', 'bin', 'tasks') THEN 'script' END"
 _F = "WITH " + R.SQL["file_context"] + r""",
  f0 AS (SELECT *, regexp_replace(file_path, '^[^/]+/', '') AS path FROM file_context),
  f1 AS (SELECT *, string_split(lower(path), '/') AS parts FROM f0),
  f2 AS (SELECT *, parts[1:len(parts) - 1] AS dirs, parts[-1] AS fname FROM f1),
  f3 AS (SELECT *, CASE WHEN regexp_matches(fname, '^.+\.[^.]*$') THEN regexp_replace(fname, '\.[^.]*$', '') ELSE fname END AS stem FROM f2),
  f4 AS (SELECT *, list_filter(list_transform(list_reverse(dirs), lambda x: """ + _HINT + r"""), lambda x: x IS NOT NULL) AS hints FROM f3),
- fl AS (SELECT *, CASE WHEN regexp_matches(stem, '^(test_|spec_)|(_test|_spec|_specs)$') OR list_has_any(dirs, """ + _L(P.TEST_FOLDERS) + ") THEN 'Test' WHEN len(dirs) > 0 AND dirs[1] LIKE '.%' THEN 'Config' WHEN list_has_any(dirs, " + _L(P.SIDE_FOLDERS) + ") THEN 'Docs & Tooling' ELSE coalesce(hints[1], 'Application') END AS layer FROM f4) "
+ fl AS (SELECT *, CASE WHEN regexp_matches(stem, '^(test_|spec_)|(_test|_spec|_specs)$') OR list_has_any(dirs, ['__tests__', 'test', 'tests', 'e2e']) THEN 'Test' WHEN len(dirs) > 0 AND dirs[1] LIKE '.%' THEN 'Config' WHEN list_has_any(dirs, ['examples', '_examples', 'example', 'samples', 'sample', 'demo', 'demos', 'bench', 'benches', 'benchmarks', 'docs', 'doc', 'website', 'scripts', 'script', 'docker', 'plugins']) THEN 'Docs & Tooling' ELSE coalesce(hints[1], 'Application') END AS layer FROM f4) """
 _X = _F.rstrip() + ", " + R.SQL["imports"] + ", xl AS (SELECT a.layer AS from_layer, b.layer AS to_layer, count(*) AS edges FROM imports e JOIN (SELECT DISTINCT file_path, layer FROM fl) a ON e.src = a.file_path JOIN (SELECT DISTINCT file_path, layer FROM fl) b ON e.dst = b.file_path WHERE a.layer <> b.layer GROUP BY ALL), net AS (SELECT layer, CAST(sum(n) AS BIGINT) AS net FROM (SELECT from_layer AS layer, -edges AS n FROM xl WHERE from_layer NOT IN ('Test', 'Docs & Tooling') AND to_layer NOT IN ('Test', 'Docs & Tooling') UNION ALL SELECT to_layer, edges FROM xl WHERE from_layer NOT IN ('Test', 'Docs & Tooling') AND to_layer NOT IN ('Test', 'Docs & Tooling')) GROUP BY layer) "
-_TAGS = f"list_sort(list_distinct(list_filter(list_concat(list_transform(regexp_split_to_array(fname, '[._\\-]+'), lambda x: {_TAG(P.NAME_TAGS)}), list_transform(dirs, lambda x: {_TAG(P.FOLDER_TAGS)})), lambda x: x IS NOT NULL)))"
+_TAGS = f"list_sort(list_distinct(list_filter(list_concat(list_transform(regexp_split_to_array(fname, '[._\\-]+'), lambda x: {_NAME_TAG}), list_transform(dirs, lambda x: {_FOLDER_TAG})), lambda x: x IS NOT NULL)))"
 _HAS = lambda *names: f"list_has_any(parts, {_L(names)})"
 SQL = {
     "a4_histograms": _F + r"SELECT 'layer' AS kind, layer AS value, count(*) AS files FROM fl GROUP BY ALL UNION ALL SELECT 'ext', regexp_extract(file_path, '(\.[^./]+)$', 1), count(*) FROM fl GROUP BY ALL",

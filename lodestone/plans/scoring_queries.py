@@ -138,8 +138,8 @@ _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _SEV = f"coalesce(deduction, {_case('lower(severity)', S.SEVERITY, 'CAST(0.5 AS DOUBLE)')})"
 _POINTS = R.SQL["findings"] + f""",
  wp AS (
-  SELECT finding_id, file_path, 'defect' AS dim, {_case('biomarker_type', S._inverse(S.CATEGORY), "'size_and_complexity'")} AS category, {_SEV} * {_case('biomarker_type', S.WEIGHT, 'CAST(1 AS DOUBLE)')} AS points FROM findings WHERE biomarker_type NOT IN {_IN(S.PERFORMANCE_WEIGHT)}
-  UNION ALL SELECT finding_id, file_path, 'maintainability', {_case('biomarker_type', S._inverse(S.MAINTAINABILITY_CATEGORY), "'size_and_complexity'")}, {_SEV} FROM findings WHERE biomarker_type IN {_IN(S.MAINTAINABILITY)}
+  SELECT finding_id, file_path, 'defect' AS dim, {_case('biomarker_type', S.CATEGORY, "'size_and_complexity'")} AS category, {_SEV} * {_case('biomarker_type', S.WEIGHT, 'CAST(1 AS DOUBLE)')} AS points FROM findings WHERE biomarker_type NOT IN {_IN(S.PERFORMANCE_WEIGHT)}
+  UNION ALL SELECT finding_id, file_path, 'maintainability', {_case('biomarker_type', S.MAINTAINABILITY_CATEGORY, "'size_and_complexity'")}, {_SEV} FROM findings WHERE biomarker_type IN {_IN(S.MAINTAINABILITY)}
   UNION ALL SELECT finding_id, file_path, 'performance', 'performance', {_SEV} * {_case('biomarker_type', S.PERFORMANCE_WEIGHT, 'CAST(1 AS DOUBLE)')} FROM findings WHERE biomarker_type IN {_IN(S.PERFORMANCE_WEIGHT)}),
  cs AS (SELECT file_path, dim, category, CAST(sum(CAST(points AS DECIMAL(20,6))) AS DOUBLE) AS points, CASE dim WHEN 'defect' THEN {_case('category', S.CAP, 'CAST(1 AS DOUBLE)')} WHEN 'maintainability' THEN {_case('category', S.MAINTAINABILITY_CAP, 'CAST(1 AS DOUBLE)')} ELSE CAST(1 AS DOUBLE) END AS cap FROM wp WHERE file_path IS NOT NULL GROUP BY file_path, dim, category),
  fs AS (SELECT file_path, {', '.join(f"greatest(1.0, least(10.0, 10.0 - coalesce(sum(CASE WHEN dim = '{x}' THEN least(points, cap) END), 0))) AS {x}" for x in ('defect', 'maintainability', 'performance'))} FROM cs GROUP BY file_path)"""
