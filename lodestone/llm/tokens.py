@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +27,15 @@ def encoder(vocabulary: str):
 
 
 def with_tokens(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` and ``n_tokens`` of the whole text; a null or empty text has 0 tokens."""
+    """``keep`` and ``n_tokens`` of the whole text; a null or empty text has 0 tokens.  The vocabulary file goes to the executors
+    with the job."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
     kept = df.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        sent = SparkFiles.get(os.path.basename(vocabulary))
+        encode = encoder(sent if os.path.exists(sent) else vocabulary).encode_ordinary
         for b in batches:
             at = b.schema.get_field_index("__text")
             counts = [len(encode(t)) if t else 0 for t in b.column(at).to_pylist()]
