@@ -70,7 +70,6 @@ def _high(charset: str) -> dict[str, int]:
 
 _TO_BYTE = {c: _high(c) for c in {*READ_AS, *(x[0] for x in SWAPPED + SWAPPED_LATIN + SWAPPED_SCRIPT)}}
 _FROM_BYTE = {c: {b: ch for ch, b in reversed(_high(c).items())} for c in {x[1] for x in SWAPPED + SWAPPED_LATIN + SWAPPED_SCRIPT}}
-_UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _UNREFERENCED = re.compile(r"&(?:amp;)*#(?:x[0-9A-Fa-f]{2,6}|[0-9]{2,7});|&(?:amp;)*[A-Za-z]{2,8}[0-9]{0,2};")
 _ESCAPED = re.compile(r"(?:\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[0-3][0-7]{2})+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -81,19 +80,22 @@ _LEADS = {c for charset in READ_AS for c, b in _TO_BYTE[charset].items() if b in
 #: Texts without any of these can't be garbled: only ASCII, and no escape of anything beyond ASCII.
 ESCAPES = r"&(?:amp;)*#|&(?:amp;)*[A-Za-z]{2,8}[0-9]{0,2};|\\u(?!00[0-7])[0-9a-fA-F]{4}|\\x[89a-fA-F]|\\[23][0-7]{2}|%[89a-fA-F][0-9a-fA-F]|=[89A-F][0-9A-F]|=[89a-fA-F][0-9a-fA-F]=[89a-fA-F][0-9a-fA-F]|<U\+|<[89a-fA-F][0-9a-fA-F]>"
 SUSPECT = r"[^\x00-\x7f]|" + ESCAPES
+_suspect = re.compile(SUSPECT).search
+_escaped = re.compile(ESCAPES).search
 
 
-def _misread_pattern() -> re.Pattern:
-    """Finds what ``_read_again`` could put together: the characters that a charset shows for a whole UTF-8 sequence."""
-    out = []
-    for charset in READ_AS:
-        chars = lambda low, high, t=_TO_BYTE[charset]: "[" + "".join(re.escape(c) for c, b in t.items() if low <= b <= high) + "]"
-        tail = chars(0x80, 0xBF)
-        out += [chars(0xC2, 0xDF) + tail, chars(0xE0, 0xEF) + tail + "{2}", chars(0xF0, 0xF4) + tail + "{3}"]
-    return re.compile("|".join(out))
+def _sequences(charset: str) -> str:
+    """The characters that a charset shows for a whole UTF-8 sequence."""
+    chars = lambda low, high: "[" + "".join(re.escape(c) for c, b in _TO_BYTE[charset].items() if low <= b <= high) + "]"
+    tail = chars(0x80, 0xBF)
+    return "|".join((chars(0xC2, 0xDF) + tail, chars(0xE0, 0xEF) + tail + "{2}", chars(0xF0, 0xF4) + tail + "{3}"))
 
 
-_MISREAD = _misread_pattern()
+_SEQUENCE = {c: re.compile(_sequences(c)) for c in READ_AS}
+_MISREAD = re.compile("|".join(_sequences(c) for c in READ_AS))
+#: Per pair of one-byte charsets: the character that each character was.
+_TURNED = {(a, b): {ord(c): _FROM_BYTE[b][n] for c, n in _TO_BYTE[a].items() if n in _FROM_BYTE[b]} for a, b, *_ in SWAPPED + SWAPPED_LATIN + SWAPPED_SCRIPT}
+_TURNABLE = {pair: frozenset(map(chr, turned)) for pair, turned in _TURNED.items()}
 _LETTER_RUN = re.compile(r"[^\W\d_\x00-\x7f]{2}")
 _CYRILLIC = re.compile("[\u0400-\u04ff]")
 
@@ -164,50 +166,21 @@ def cost(text: str) -> float:
 def _read_again(text: str, charset: str) -> str | None:
     """UTF-8 sequences that ``charset`` shows as single characters, put together again; other characters stay."""
     to_byte = _TO_BYTE[charset]
-    if not any(c in to_byte for c in text):
-        return None
-    out, run, raw = [], [], bytearray()
-
-    def close() -> None:
-        at = 0
-        for m in _UTF8.finditer(raw):
-            try:
-                good = m[0].decode()
-            except UnicodeDecodeError:
-                continue
-            out.extend(run[at : m.start()])
-            out.append(good)
-            at = m.end()
-        out.extend(run[at:])
-        run.clear()
-        raw.clear()
 
-    for c in text:
-        b = to_byte.get(c)
-        if b is None:
-            close()
-            out.append(c)
-        else:
-            run.append(c)
-            raw.append(b)
-    close()
-    new = "".join(out)
+    def turn(m: re.Match) -> str:
+        try:
+            return bytes([to_byte[c] for c in m[0]]).decode()
+        except UnicodeDecodeError:
+            return m[0]
+
+    new = _SEQUENCE[charset].sub(turn, text)
     return new if new != text else None
 
 
 def _swap(text: str, read_as: str, was: str) -> str | None:
-    to_byte, to_char = _TO_BYTE[read_as], _FROM_BYTE[was]
-    out = []
-    for c in text:
-        if c < "\x80":
-            out.append(c)
-        elif (b := to_byte.get(c)) is None:
-            return None
-        elif (new_c := to_char.get(b)) is None:
-            return None
-        else:
-            out.append(new_c)
-    new = "".join(out)
+    if not {c for c in text if c >= "\x80"} <= _TURNABLE[read_as, was]:
+        return None
+    new = text.translate(_TURNED[read_as, was])
     return new if new != text else None
 
 
@@ -323,9 +296,10 @@ def _moves(words: tuple[str, ...], high: str, cyrillic: bool) -> Iterator[tuple[
     for pairs, share, least in ((SWAPPED, 0.72, 4.0), (SWAPPED_LATIN, 0.6, 2.5)):
         for read_as, was in pairs:
             # capitals alone may be a list of letters: they say little unless there are many
-            if letters < (8 if high.isupper() and letters > 3 else 4 if pairs is SWAPPED else 0) or not present <= _TO_BYTE[read_as].keys():
+            if letters < (8 if high.isupper() and letters > 3 else 4 if pairs is SWAPPED else 0) or not present <= _TURNABLE[read_as, was]:
                 continue
-            yield tuple(_swap(w, read_as, was) or w for w in words), share, least
+            turned = _TURNED[read_as, was]
+            yield tuple([w.translate(turned) for w in words]), share, least
     if not cyrillic and len(high) >= 8:
         together = " ".join(words)
         if len(high) >= 0.6 * (len(together) - len(words) + 1):
@@ -406,16 +380,16 @@ def _search_words(line: str) -> tuple[str, bool, bool]:
     found; whether every search saw all its states."""
     gained, whole, out = False, True, []
     for piece, example in _pieces(line):
-        if example or (piece.isascii() and not re.search(SUSPECT, piece)):
+        if example or (piece.isascii() and not _suspect(piece)):
             out.append(piece)
             continue
 
         def word(m: re.Match) -> str:
             nonlocal gained, whole
             w = m[0]
-            if w.isascii() and not re.search(SUSPECT, w):
+            if w.isascii() and not _suspect(w):
                 return w
-            if not _MISREAD.search(w) and w[-1] not in _LEADS and not re.search(ESCAPES, w):
+            if not _MISREAD.search(w) and w[-1] not in _LEADS and not _escaped(w):
                 return w  # no operation applies
             new, steps, all_seen = search(w)
             gained |= steps > 0
@@ -428,15 +402,18 @@ def _search_words(line: str) -> tuple[str, bool, bool]:
 
 def repair(text: str | None) -> tuple[bool, str | None, bool]:
     """(garbled, text after repair, whole): ``whole`` is false where characters are lost for good."""
-    if not text or text.isascii() and not re.search(SUSPECT, text):
+    if not text or text.isascii() and not _suspect(text):
         return False, text, True
     changed, whole, lines = False, True, []
     for line in text.split("\n"):
-        if line.isascii() and not re.search(SUSPECT, line):
+        if line.isascii() and not _suspect(line):
             lines.append(line)
             continue
         parts = []
         for part in _SENTENCE.split(line):
+            if part.isascii() and not _suspect(part):
+                parts.append(part)
+                continue
             word_by_word, gained, seen = _search_words(part)
             new, together = word_by_word, _search_sentence(part)
             if together is not None and (not gained or _line_cost(together) < _line_cost(word_by_word)):
@@ -446,8 +423,7 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
             parts.append(new)
             changed |= gained
             # what still stands far from any writing has not come back whole
-            high = sum(c >= "\x80" for c in new)
-            whole &= seen and not (gained and high and _line_cost(new) > 4 * high)
+            whole &= seen and not (gained and (high := sum(c >= "\x80" for c in new)) and _line_cost(new) > 4 * high)
         lines.append("".join(parts))
     fixed = "\n".join(lines)
     lost = any("\ufffd" in p for p, example in _pieces(fixed) if not example)
