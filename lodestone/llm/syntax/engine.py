@@ -34,7 +34,10 @@ _REMEMBER = 400_000
 def group(bracket: str, bits: int, all_bits: int = 8) -> str:
     """A regex class of the folded groups of a bracket that can be read as any of ``bits``."""
     base = _GROUP[bracket]
-    return "[" + "".join(chr(base + m) for m in range(1, 1 << all_bits) if m & bits) + "]"
+    fit = [m for m in range(1, 1 << all_bits) if m & bits]
+    starts = [m for m in fit if m == 1 or not (m - 1) & bits]
+    ends = [m for m in fit if m + 1 == 1 << all_bits or not (m + 1) & bits]
+    return "[" + "".join(chr(base + a) if a == b else f"{chr(base + a)}-{chr(base + b)}" for a, b in zip(starts, ends)) + "]"
 
 
 def any_group(bracket: str) -> str:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from lodestone.llm.syntax.ecma import JAVASCRIPT, TYPESCRIPT
+from importlib import import_module
+
 from lodestone.llm.syntax.engine import Language
-from lodestone.llm.syntax.golang import GO
-from lodestone.llm.syntax.java import JAVA
-from lodestone.llm.syntax.python import PYTHON
-from lodestone.llm.syntax.rust import RUST
 
 # fixed values: extension to language
 EXTENSIONS = {"py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "go": "go", "java": "java", "rs": "rust"}
-LEXED: dict[str, Language] = {x.name: x for x in (JAVASCRIPT, TYPESCRIPT, GO, JAVA, RUST, PYTHON)}
+_MODULES = {"javascript": "ecma", "typescript": "ecma", "go": "golang", "java": "java", "rust": "rust", "python": "python"}
+
+
+class _Languages(dict):
+    """Grammars are compiled when a text of their language first comes: tasks that only pass verdicts on need none."""
+
+    def __missing__(self, name: str) -> Language:
+        self[name] = getattr(import_module(f"lodestone.llm.syntax.{_MODULES[name]}"), name.upper())
+        return self[name]
+
+
+LEXED: dict[str, Language] = _Languages()
 
 
 def language_of(path: str | None) -> str | None:
