@@ -1,10 +1,11 @@
 """Source files that nobody wrote by hand for their repository: generated, minified, vendored, or data saved as code.
 
 Names are the main evidence.  A character trigram model per language, trained on the identifiers of all files, gives every
-file a cross-entropy: mangled names stand far above it.  Names that differ only in a number show the template of a
-generator.  Naming styles (share of each way to join words) far from those of the language are foreign.  What names cannot
-show is read from the file itself: a first or last comment that says a tool wrote it, the folder or suffix that a tool or a
-package manager uses, lines shared with a known library file, and a content that is one literal.
+file a cross-entropy: mangled names stand far above it.  Many names of few shapes, equal but for a number, show the templates
+of a generator.  Naming styles (share of each way to join words) far from those of the language and of the file's own
+repository are foreign, wherever the file lies.  What names cannot show is read from the file itself: a first or last comment
+that says a tool wrote it, the folder or suffix that a tool or a package manager uses, lines shared with a known library file,
+and a content that is one literal.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,18 @@ from lodestone.tables import table
 
 #: Bits per character above the language's mean at which a file's names count as mangled.
 MANGLED_BITS = 0.3
-#: Share of a file's defined names that differ only in a number, from which they count as a template.
+#: So many different names of one or two characters are mangled in whatever layout; fewer only in long lines.
+MANGLED_SHORT = 30
+#: Share of a file's defined names that differ only in a number, from which they count as a template; the names of several
+#: templates count together when they have so many names each in the mean.
 TEMPLATE_SHARE = 0.4
 TEMPLATE_LEAST = 3
-#: A folder that may hold foreign code, or a domain's own, counts as foreign when a file with so many names joins their
-#: words in ways that far from its language's (sum of the differences of the shares, at most 2).
+TEMPLATE_MEAN = 6
+#: A file that joins the words of so many names is foreign when it does so in ways that far from its language's and from the
+#: rest of its repository (sum of the differences of the shares, at most 2).
 STYLE_NAMES, STYLE_DISTANCE = 15, 1.2
+#: Bits above the mean of its language's plain words up to which a file's are that language's and not another format's.
+FIT_BITS = 1.0
 #: Share of a library file's word shingles (or of the file's own) that makes a copy; shingles are five words.
 COPY_SHARE = 0.6
 COPY_OWN_SHARE = 0.8
@@ -51,7 +58,6 @@ COPY_LINES, COPY_LINE_SHARE = 3, 0.4
 # fixed values: folders that hold foreign code; the weak ones only when they hold a folder per library
 FOREIGN = {"node_modules", "bower_components", "jspm_packages", "vendor", "_vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "ext_libs", "site-packages", "pods"}
 FOREIGN_WEAK = {"deps", "external", "externals", "vendors", "contrib"}
-WEAK_FOLDER = re.compile(r"/(?:deps|externals?|vendors|contrib)/[^/]*$")
 # fixed values: folders that tools write into; a folder of scripts above them makes them hand-written
 WRITTEN = {"dist", "build", "out", "target", "compiled", "generated", "gen", "__generated__", "autogen", "_generated", "generated-sources", "codegen_out"}
 SCRIPTS = {"scripts", "script", "tools", "tool", "ci", "tests", "test", "cmd"}
@@ -68,6 +74,7 @@ _MAP = re.compile(r"^//[#@] sourceMappingURL=\S+\s*\Z", re.M)
 
 _TEXT_OR_COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|(?:^|(?<=[ \t\n]))#(?![!\[])[^\n]*|r?#?\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*(?:\"|$)|'(?:[^'\\\n]|\\.)*'|`[^`]*(?:`|\Z)", re.M)
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
+_NAME_OR_MEMBER = re.compile(r"\.?[A-Za-z_$][\w$]*")
 _NUMBER = re.compile(r"(?<![\w$.])(?:0[xX][0-9a-fA-F]+|\d[\w.]*)")
 _DEFINED = re.compile(r"(?:\b(?:def|func|function|fn|class|const|var|let|static|struct|type|interface|int|long|double|boolean|String|void)\s+(?:\([^)\n]*\)\s*)?|^\s*(?=\w+\s+(?:u?int\d*|string|bool)\b)|^\s*(?:public|private|protected)[\w<>\[\], ]*\s)([A-Za-z_$][\w$]*\d[\w$]*|[A-Za-z_$][\w$]*)", re.M)
 _HEAD = re.compile(r"(?:\s+|﻿|#!(?!\[)[^\n]*|//[^\n]*|#(?!\[)[^\n]*|/\*[\s\S]*?\*/|r?\"\"\"[\s\S]*?\"\"\"|package [\w.]+;?|[\"']use strict[\"'];?)*+")
@@ -112,29 +119,57 @@ def trigrams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tri, first
 
 
-STYLES = ("snake", "camel", "pascal", "upper", "plain")
+STYLES = ("snake", "camel")
 
 
-def style_counts(names: list[str]) -> np.ndarray:
+def style_of(name: str) -> str | None:
+    """The way in which a name joins its words.  One word goes with every style; capitals at the beginning tell types and
+    constants, which are written alike everywhere."""
+    x = name.strip("_$")
+    if not x[:1].islower() or x.islower() and "_" not in x:
+        return None
+    return "snake" if "_" in x else "camel"
+
+
+def style_counts(names: Iterable[str]) -> np.ndarray:
     """How many names join their words in which way."""
-    c = Counter("upper" if x.isupper() and len(x) > 1 else "snake" if "_" in x.strip("_") else "pascal" if x[:1].isupper() else "plain" if x.islower() else "camel" for x in names)
+    c = Counter(map(style_of, names))
     return np.array([c[k] for k in STYLES], dtype=np.int64)
 
 
+def style_distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Sum of the differences of the shares, 0 when either side has no names."""
+    return float(np.abs(a / a.sum() - b / b.sum()).sum()) if a.any() and b.any() else 0.0
+
+
+#: Marks the model of a language's plain words, keywords among them.
+PLAIN = " plain"
+# fixed values: languages with the same words, of which neither tells the other's text apart
+KIN = {"javascript": "typescript", "typescript": "javascript"}
+
+
+def plain_words(names: list[str]) -> list[str]:
+    return [n for n in names if len(n) > 2 and n.islower() and "_" not in n]
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per language the trigram and style counts of this task, each distinct name of a file once."""
     total: dict[str, np.ndarray] = {}
     for b in batches:
         names: dict[str, list[str]] = defaultdict(list)
-        for path, text in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            lang = language_of(path)
-            if lang and text:
-                names[lang] += set(_NAME.findall(text))
+        styles: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(STYLES), dtype=np.int64))
+        for lang, found, style in zip(*(b.column(c).to_pylist() for c in ("lang", "names", "style"))):
+            own = found.split(" ")
+            names[lang] += own
+            names[lang + PLAIN] += plain_words(own)
+            styles[lang] += style
         for lang, found in names.items():
+            if not found:
+                continue
             tri, first = trigrams(found)
             keep = np.ones(len(tri), dtype=bool)
             keep[first[1:] - 1] = False
-            counts = np.append(np.bincount(tri[keep], minlength=SIZE**3), style_counts(found))
+            counts = np.append(np.bincount(tri[keep], minlength=SIZE**3), styles[lang])
             total[lang] = total[lang] + counts if lang in total else counts
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
@@ -147,7 +182,7 @@ class Model:
     def __init__(self, tri: np.ndarray, n: np.ndarray) -> None:
         counts = np.zeros(SIZE**3 + len(STYLES))
         counts[tri] = n
-        self.style = counts[SIZE**3 :] / max(counts[SIZE**3 :].sum(), 1)
+        self.style = counts[SIZE**3 :]
         table_ = counts[: SIZE**3].reshape(SIZE * SIZE, SIZE)
         context = table_.sum(axis=1, keepdims=True)
         bits = -np.log2((table_ + 0.1) / (context + 0.1 * SIZE))
@@ -162,15 +197,16 @@ class Model:
         return float(self.bits[tri[keep]].mean())
 
 
-def train(rows: DataFrame) -> dict[str, Model]:
-    """The models of all languages.  What comes to the driver is bounded by the alphabet: at most SIZE**3 counts each, and
-    five of styles."""
-    counts = rows.select("path", "content").mapInArrow(_train, "lang string, tri int, n bigint").groupBy("lang", "tri").agg(F.sum("n").alias("n")).toPandas()
+def train(seen: DataFrame) -> dict[str, Model]:
+    """The models of all languages, and of their plain words, from the files' (lang, names, style).  What comes to the driver is
+    bounded by the alphabet: at most SIZE**3 counts each, and two of styles."""
+    counts = seen.where(F.length("names") > 0).select("lang", "names", "style").mapInArrow(_train, "lang string, tri int, n bigint").groupBy("lang", "tri").agg(F.sum("n").alias("n")).toPandas()
     return {lang: Model(g["tri"].to_numpy(), g["n"].to_numpy()) for lang, g in counts.groupby("lang")}
 
 
 def template_share(code: str, names: list[str]) -> float:
-    """Largest share of the defined names that are equal but for a number."""
+    """Share of the defined names that are equal but for a number: those of the largest template, or of all when they are
+    many names of few templates."""
     if sum(x[-1].isdigit() or any(c.isdigit() for c in x) for x in names) < TEMPLATE_LEAST:
         return 0.0
     found = _DEFINED.findall(code)
@@ -180,8 +216,10 @@ def template_share(code: str, names: list[str]) -> float:
     shapes = Counter(re.sub(r"\d+", "#", x) for x in distinct if any(c.isdigit() for c in x))
     if not shapes:
         return 0.0
-    top = shapes.most_common(1)[0][1]
-    return top / len(distinct) if top >= TEMPLATE_LEAST else 0.0
+    sizes = [n for n in shapes.values() if n >= TEMPLATE_LEAST]
+    if not sizes:
+        return 0.0
+    return (sum(sizes) if sum(sizes) >= TEMPLATE_MEAN * len(sizes) else max(sizes)) / len(distinct)
 
 
 def says_generated(text: str) -> bool:
@@ -262,25 +300,16 @@ def _literal(code: str, names: int, strings: int, longest: int, size: int) -> bo
 NAMED = ("mangled names", "template names", "foreign style")
 
 
-def reasons_of(path: str, text: str, models: dict[str, Model], library: Library | None) -> tuple[list[str], list[str], float, float]:
-    """(reasons, evidence, bits above the language's mean, template share).  The evidence tells what each reason rests on."""
+def read(path: str, text: str, library: Library | None) -> tuple[list[str], list[str], float, bool, list[str], list[int]]:
+    """(reasons, evidence, template share, whether its lines are long, names, style counts) of a file by itself.  The evidence
+    tells what each reason rests on.  Members of other things don't count for the style: who made these named them."""
     out, why = [], []
     if (where := folder_says(path)) is not None:
         out.append(where)
         why.append("path")
-    lang = language_of(path)
     code, strings, _, longest = code_part(text)
-    names = list(set(_NAME.findall(code)))
-    model = models.get(lang)
-    above = model.score(names) - model.mean if model and names else 0.0
-    if names and above >= MANGLED_BITS and sum(len(n) <= 2 for n in names) >= 0.3 * len(names) and len(text) >= 200 and len(text) / (text.count("\n") + 1) >= 80:
-        out.append("minified")
-        why.append("mangled names")
-    if model and "vendored" not in out and len(names) >= STYLE_NAMES and WEAK_FOLDER.search(path.lower()):
-        own = style_counts(names)
-        if np.abs(own / own.sum() - model.style).sum() >= STYLE_DISTANCE:
-            out.append("vendored")
-            why.append("foreign style")
+    found = set(_NAME_OR_MEMBER.findall(code))
+    names = sorted({x.removeprefix(".") for x in found})
     share = template_share(code, names)
     if share >= TEMPLATE_SHARE:
         out.append("generated")
@@ -297,7 +326,51 @@ def reasons_of(path: str, text: str, models: dict[str, Model], library: Library
     if library is not None and library.holds(text):
         out.append("vendored")
         why.append("library copy")
-    return sorted(set(out)), sorted(set(why)), above, share
+    dense = len(text) >= 200 and len(text) / (text.count("\n") + 1) >= 80
+    return sorted(set(out)), sorted(set(why)), share, dense, names, style_counts(x for x in found if x[0] != ".").tolist()
+
+
+def fits(lang: str, names: list[str], models: dict[str, Model]) -> bool:
+    """Whether the plain words, keywords among them, are the language's: no other language but its kin explains them better."""
+    plain, own = plain_words(names), models.get(lang + PLAIN)
+    if not plain or not own:
+        return False
+    bits = own.score(plain)
+    return bits <= own.mean + FIT_BITS and bits <= min(m.score(plain) for k, m in models.items() if k.endswith(PLAIN) and k != KIN.get(lang, "") + PLAIN)
+
+
+def reasons_of(lang: str | None, names: list[str], style: list[int], dense: bool, models: dict[str, Model]) -> tuple[list[str], list[str], float, bool]:
+    """(reasons, evidence, bits above the language's mean, whether the style is far from the language's) by the names.
+    Without long (``dense``) lines mangled names have to be many; then, and for the style, the plain words have to be the
+    language's, since text of another language or format is neither mangled nor foreign."""
+    out, why = [], []
+    model = models.get(lang)
+    if not model or not names:
+        return out, why, 0.0, False
+    above = model.score(names) - model.mean
+    short = sum(len(n) <= 2 for n in names)
+    if above >= MANGLED_BITS and short >= 0.3 * len(names) and (dense or short >= MANGLED_SHORT and fits(lang, names, models)):
+        out.append("minified")
+        why.append("mangled names")
+    own = np.array(style)
+    far = own.sum() >= STYLE_NAMES and style_distance(own, model.style - own) >= STYLE_DISTANCE and fits(lang, names, models)
+    return out, why, above, bool(far)
+
+
+def foreign(scored: DataFrame, styles: DataFrame) -> DataFrame:
+    """The ``scored`` files with the reason of a foreign style for those ``far`` from their language's that are also far from
+    the other files of their repository and language.  Where these have too few names for a style, the language decides.
+
+    Only far files look for their repository; all others keep keys of their own, so a large repository is no hot key."""
+    own, rest = F.col("style"), F.zip_with("style_all", "style", lambda a, b: a - b)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    share = lambda n, c: n / F.greatest(total(c), F.lit(1))
+    away = F.aggregate(F.zip_with(own, rest, lambda a, b: F.abs(share(a, own) - share(b, rest))), F.lit(0.0), lambda x, y: x + y)
+    key = F.when(F.col("far"), F.concat_ws("/", "lang", "repo")).otherwise(F.concat(F.lit("/"), F.col("id").cast("string")))
+    by_key = styles.select(F.concat_ws("/", "lang", "repo").alias("key"), "style_all")
+    is_foreign = F.col("far") & F.when(total(rest) < STYLE_NAMES, True).otherwise(away >= STYLE_DISTANCE)
+    added = lambda c, what: F.when(is_foreign, F.array_sort(F.array_union(c, F.array(F.lit(what))))).otherwise(F.col(c)).alias(c)
+    return scored.withColumn("key", key).join(by_key, "key", "left").select("id", added("reasons", "vendored"), added("evidence", "foreign style"), "bits", "template")
 
 
 _LIBRARIES: dict[int, Library] = {}
@@ -350,8 +423,9 @@ def copies(files: DataFrame, libraries: DataFrame) -> DataFrame:
 def origins(files: DataFrame, libraries: DataFrame, ident: str = "file_id", path: str = "file_path", content: str = "content", broadcast_files: int = BROADCAST_LIBRARY_FILES, broadcast_chars: int = BROADCAST_LIBRARY_CHARS) -> DataFrame:
     """(ident, reasons, evidence, bits, template) per file; no reason means hand-written.
 
-    Null contents and paths are judged by what there is.  Repeated deliveries count once.  ``libraries`` has a column
-    ``content``; null or empty ones match nothing, an empty table has no copies.
+    Null contents and paths are judged by what there is.  Repeated deliveries count once, also in the models.  A path's first
+    folder is its repository.  ``libraries`` has a column ``content``; null or empty ones match nothing, an empty table has no
+    copies.  Each text is read once; its names are kept in the shared folder for training and scoring.
     """
     spark = files.sparkSession
     kind = dict(files.dtypes)[ident]
@@ -361,17 +435,36 @@ def origins(files: DataFrame, libraries: DataFrame, ident: str = "file_id", path
     few = size["n"] <= broadcast_files and (size["chars"] or 0) <= broadcast_chars
     texts = [r[0] for r in known.collect()] if few else None
     number = uuid.uuid4().int
-    shared = spark.sparkContext.broadcast((train(rows), texts))
+    shared = spark.sparkContext.broadcast(texts)
+    lists, whole = pa.list_(pa.string()), pa.list_(pa.int64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, texts = shared.value
-        library = _library(number, texts) if texts is not None else None
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = _library(number, shared.value) if shared.value is not None else None
         for b in batches:
-            got = [reasons_of(p, t, models, library) for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist())]
-            lists = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([g[0] for g in got], lists), pa.array([g[1] for g in got], lists), pa.array([round(g[2], 4) for g in got], pa.float64()), pa.array([round(g[3], 4) for g in got], pa.float64())], ["id", "reasons", "evidence", "bits", "template"])
-
-    scored = rows.mapInArrow(run, f"id {kind}, reasons array<string>, evidence array<string>, bits double, template double").distinct()
+            paths = b.column("path").to_pylist()
+            langs = [language_of(p) for p in paths]
+            got = [read(p, t, library) for p, t in zip(paths, b.column("content").to_pylist())]
+            names = [" ".join(g[4]) if lang else "" for g, lang in zip(got, langs)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array([p.partition("/")[0] for p in paths], pa.string()), pa.array(langs, pa.string()), pa.array([g[0] for g in got], lists), pa.array([g[1] for g in got], lists), pa.array([round(g[2], 4) for g in got], pa.float64()), pa.array([g[3] for g in got], pa.bool_()), pa.array([g[5] for g in got], whole), pa.array(names, pa.string())],
+                ["id", "repo", "lang", "reasons", "evidence", "template", "dense", "style", "names"],
+            )
+
+    seen = materialize(rows.mapInArrow(look, f"id {kind}, repo string, lang string, reasons array<string>, evidence array<string>, template double, dense boolean, style array<bigint>, names string").distinct(), "names")
+    learned = spark.sparkContext.broadcast(train(seen))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [reasons_of(lang, names.split(" ") if names else [], style, dense, learned.value) for lang, names, style, dense in zip(*(b.column(c).to_pylist() for c in ("lang", "names", "style", "dense")))]
+            both = [[sorted({*old, *g[i]}) for old, g in zip(b.column(c).to_pylist(), got)] for i, c in enumerate(("reasons", "evidence"))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("repo"), b.column("lang"), pa.array(both[0], lists), pa.array(both[1], lists), pa.array([round(g[2], 4) for g in got], pa.float64()), b.column("template"), pa.array([g[3] for g in got], pa.bool_()), b.column("style")],
+                ["id", "repo", "lang", "reasons", "evidence", "bits", "template", "far", "style"],
+            )
+
+    judged = seen.mapInArrow(judge, f"id {kind}, repo string, lang string, reasons array<string>, evidence array<string>, bits double, template double, far boolean, style array<bigint>")
+    styles = seen.where(F.col("lang").isNotNull()).groupBy("repo", "lang").agg(F.array(*(F.sum(F.col("style")[i]) for i in range(len(STYLES)))).alias("style_all"))
+    scored = foreign(judged, styles).distinct()
     if not few:
         copied = copies(rows.select(F.col("id").alias("key"), "content"), known).select(F.col("key").alias("id"), F.array(F.lit("vendored")).alias("r"), F.array(F.lit("library copy")).alias("e"))
         joined = lambda a, b: F.array_sort(F.array_union(a, F.coalesce(b, F.array().cast("array<string>"))))

@@ -223,3 +223,51 @@ def test_repair_of_a_table(spark):
     got = {r.doc_id: (r.garbled, r.text[:5]) for r in encoding.repaired(d, "doc_id", "text").collect()}
     assert got == {1: (True, "café"), 3: (False, ""), 4: (False, "café"), 5: (True, "café ")}
     assert encoding.repaired(d.limit(0), "doc_id", "text").count() == 0
+
+
+def words_of(n, seed):
+    r = np.random.default_rng(seed)
+    stock = "ledger sensor broker parcel window monitor cursor signal folder header bucket turbine".split()
+    return [tuple(r.choice(stock, 2, replace=False)) for _ in range(n)]
+
+
+def python_file(seed, camel):
+    """A hand-written file of ten functions, its names joined in one of two ways."""
+    join = (lambda a, b: a + b.title()) if camel else (lambda a, b: f"{a}_{b}")
+    return "import os\n\n\n" + "\n\n".join(f"def {join('load', a)}({join(a, b)}, floor):\n    {join('all', b)} = [{join(a, 'row')} for {join(a, 'row')} in {join(a, b)} if {join(a, 'row')}]\n    return {join('all', b)}\n" for a, b in words_of(10, seed))
+
+
+def test_foreign_style_decides_wherever_a_file_lies(spark):
+    snake = [(k, f"r{k % 3}/src/m{k}.py", python_file(k, False)) for k in range(60)]
+    script = "\n".join(f"function load{a.title()}{b.title()}({a}Rows, floor) {{\n  const {b}Total = {a}Rows.filter((part) => part.length > floor);\n  return {b}Total;\n}}" for a, b in words_of(10, 5))
+    scripts = [(200 + k, f"r1/web/s{k}.js", script.replace("floor", f"floor{k}")) for k in range(20)]
+    house = [(300 + k, f"own/src/m{k}.py", python_file(300 + k, True)) for k in range(6)]
+    guest = [(400, "r0/src/kit/panel.py", python_file(400, True)), (401, "r1/panel.py", python_file(401, True)), (402, "r2/src/page.py", script), (403, "alone/panel.py", python_file(403, True))]
+    few = "import os\nfrom kit import loadLedger, loadSensor\n\n\ndef use(a_row):\n    return loadLedger(a_row) + loadSensor(a_row)\n"
+    members = "import os\n\n\ndef use(kit, row):\n" + "".join(f"    kit.load{a.title()}{b.title()}(row)\n" for a, b in words_of(40, 9))
+    rows = snake + scripts + house + guest + [(404, "r0/src/few.py", few), (405, "r0/src/members.py", members)]
+    df = spark.createDataFrame(rows + [(k, p, c) for k, p, c in guest], "file_id bigint, file_path string, content string")
+    got = {r.file_id: (list(r.reasons), list(r.evidence)) for r in origin.origins(df, spark.createDataFrame([], "content string")).collect()}
+    assert {k: v for k, v in got.items() if v[0]} == {k: (["vendored"], ["foreign style"]) for k in (400, 401, 403)}
+    assert len(got) == len(rows)
+
+
+def test_mangled_names_need_no_long_lines(spark):
+    letters = [f"{a}{b}" for a in ("", "a", "b") for b in "cdefghjklmnopqrstuvwxyz"]
+    mangled = "".join(f"function {a}({b}, {c}) {{\n  if ({b} === null) {{\n    return {c};\n  }}\n  return {b}.length;\n}}\n" for a, b, c in zip(letters, letters[1:], letters[2:]))
+    sound = [(k, f"r/src/w{k}.js", "".join(f"function load{a.title()}{b.title()}({a}Rows, floor) {{\n  if ({a}Rows === null) {{\n    return floor;\n  }}\n  return {a}Rows.length;\n}}\n" for a, b in words_of(8, k))) for k in range(60)]
+    df = spark.createDataFrame([(100, "r/src/x.js", mangled), (101, "r/src/y.sh.js", "\n".join(f"-{x} {y}" for x, y in zip(letters, letters[1:]))), *sound], "file_id bigint, file_path string, content string")
+    got = {r.file_id: list(r.evidence) for r in origin.origins(df, spark.createDataFrame([], "content string")).collect() if r.reasons}
+    assert got == {100: ["mangled names"]}
+
+
+def test_several_templates():
+    def code(verbs, numbers):
+        return "".join(f"def {v}_{n}(m):\n    return m\n\n\n" for v in verbs for n in numbers)
+
+    def share(text):
+        return origin.template_share(text, sorted(set(origin._NAME.findall(text))))
+
+    assert share(code(("get", "set", "drop"), range(9))) == 1.0
+    assert share(code(("get",), range(9)) + code(("load", "seal"), ("ledger", "sensor", "broker"))) == 9 / 15
+    assert share(code(("vec", "mat", "dot", "cross"), (2, 3, 4))) == 3 / 12
