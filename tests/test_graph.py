@@ -193,3 +193,31 @@ def test_shortest_paths(spark):
     assert got["middle"] == (["target", "middle"], 1)
     assert got["caller"] == (["target", "middle", "caller"], 2)
     assert "target" not in got
+
+
+@pytest.mark.parametrize("words,key", [(None, F.xxhash64), (0, F.xxhash64), (None, lambda x: F.pmod(F.xxhash64(x), F.lit(5)))])
+def test_impacts_of_a_heavy_component(spark, words, key):
+    """g3_risk: a ring with nodes above, below and beside it, in one task, with every part left to blocks, and with names that
+    share a hash."""
+    ring = [(f"r{i}", f"r{(i + 1) % 6}") for i in range(6)]
+    pairs = ring + [("a", "r0"), ("b", "a"), ("b", "x"), ("x", "y"), ("r3", "d"), ("d", "e"), ("x", "e"), ("p", "q"), ("q", "p"), ("q", "e"), ("p", "p"), ("z", "d"), ("lone", "lone")]
+    found, nodes = reachable(pairs), {x for p in pairs for x in p}
+    more = {} if words is None else {"part_words": words}
+    got = {x.node: x.impact for x in G.impact_sizes(edges(spark, pairs + pairs[:4] + [(None, "a")]), key=key, **more).collect()}
+    assert got == {n: sum((m, n) in found for m in nodes) for n in nodes}
+
+
+def test_a_heavy_component_needs_no_wide_sets():
+    """a24_changed_risk: what lies above components that everything meets is one sum each, so sets of a few words do."""
+    import numpy as np
+
+    from lodestone.operators import impacts
+
+    heavy, n = 3, 3_000  # nodes 0 to 2 are heavy, the later ones below the earlier; the others lie above one of them and the last
+    up = np.arange(heavy, n)
+    a, b = np.concatenate([up, up, [0, 1]]), np.concatenate([up % heavy, np.full(len(up), 2), [2, 2]])
+    weight = np.where(np.arange(n) < heavy, 1_000, 1)
+    size, _, _, left, _ = impacts.sizes(a, b, weight, part_words=1_000_000 // 64)
+    assert not len(left)
+    want = [1_000 + (up % heavy == k).sum() for k in range(2)]
+    assert size[:heavy].tolist() == [*want, 3_000 + n - heavy] and (size[heavy:] == 1).all()
