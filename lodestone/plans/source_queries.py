@@ -73,7 +73,7 @@ def s24_overview(spark: SparkSession, d: str) -> DataFrame:
 
 def b_syntax_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings of the detectors on syntax trees in all stored Python files."""
-    rows = python_source.parse(_sources(spark, d).where(F.col("path").endswith(".py")).unionByName(_made(spark, d)))
+    rows = python_source.parse(_sources(spark, d).where(F.col("path").endswith(".py")).unionByName(_made(spark, d)), "function", "class", "site")
     return python_source.syntax_findings(rows).distinct()
 
 

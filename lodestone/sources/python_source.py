@@ -7,9 +7,11 @@ same class); which file a module name means is decided by a join against the fil
 from __future__ import annotations
 
 import ast
+import re
 import sys
 import warnings
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +19,13 @@ from pyspark.sql import functions as F
 
 _BRANCH = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.Assert, ast.IfExp)
 _NEST = (ast.If, ast.For, ast.While, ast.Try, ast.AsyncFor, ast.With, ast.AsyncWith)
+_LOOP = (ast.For, ast.While, ast.AsyncFor)
+_BARE = frozenset(x for k in (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop) for x in k.__subclasses__())
 _IO = {"open", "read", "write", "readline", "readlines", "writelines", "close"}  # fixed values
 _BLOCKING = {"time.sleep", "subprocess.run", "subprocess.call", "os.system", "os.popen", "requests.get", "requests.post"}  # fixed values
+#: Texts of up to so many characters are kept with their rows, the last so many of them in a worker.
+SHORT, KEPT = 4096, 512
+_RELATIVE, _HERE = re.compile(r"\bfrom\b[\s\\\\]*\."), "\0"
 SCHEMA = "path string, kind string, node string, class string, name string, module string, symbol string, lineno int, metrics map<string,int>"
 _FIELDS = ("path", "kind", "node", "class", "name", "module", "symbol", "lineno", "metrics")
 
@@ -33,62 +40,87 @@ def _dotted(x: ast.AST) -> str | None:
     return None
 
 
-def complexity(fn: ast.AST) -> int:
-    """1 plus branches, handlers, asserts, conditional expressions and further operands of boolean operators."""
-    return 1 + sum(isinstance(n, _BRANCH) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(fn))
-
-
-def plain_complexity(fn: ast.AST) -> int:
-    """The count that the detectors use: without conditional expressions, a try counts its handlers."""
-    return complexity(fn) - sum(isinstance(n, ast.IfExp) for n in ast.walk(fn))
-
-
-def sites(fn: ast.AST) -> list[tuple[str, int, str]]:
-    """(detector, line, place) of what is found at places within a function: every condition of more than five parts, every
-    input or output call in a loop, once for each loop around it, every blocking call of an async function."""
-    out = []
-    for n in ast.walk(fn):
-        if isinstance(n, ast.If):
-            parts = sum((len(x.values) - 1) if isinstance(x, ast.BoolOp) else isinstance(x, ast.Compare) for x in ast.walk(n.test))
+def _walk(root: ast.AST) -> list[ast.AST]:
+    """The nodes that ``ast.walk`` gives, in its order, but for contexts and operators."""
+    todo = [root]
+    for n in todo:
+        for v in n.__dict__.values():
+            if type(v) is list:
+                todo.extend(x for x in v if isinstance(x, ast.AST))
+            elif isinstance(v, ast.AST) and v.__class__ not in _BARE:
+                todo.append(v)
+    return todo
+
+
+def _parts(n: ast.If) -> int:
+    """Parts of a condition."""
+    return sum((len(x.values) - 1) if isinstance(x, ast.BoolOp) else isinstance(x, ast.Compare) for x in _walk(n.test))
+
+
+def measure(fn: ast.AST) -> tuple[dict[str, int], list[tuple[str, int, str]], list[ast.Call]]:
+    """(metrics, sites, calls) of a function, in one walk that knows the blocks and loops around each node.
+
+    ccn: 1 plus branches, handlers, asserts, conditional expressions and further operands of boolean operators; ccn_plain, which
+    the detectors use, is without conditional expressions.  Sites are (detector, line, place) of what is found at places within
+    it: every condition of more than five parts, every input or output call in a loop, once for each loop around it, every
+    blocking call of an async function."""
+    more = deep = choices = ifs = bare = io = concat = literal = blocking = condition = 0
+    stored, args, sites, calls = set(), 0, [], []
+    waits = isinstance(fn, ast.AsyncFunctionDef)
+    todo: list[tuple[ast.AST, int, tuple[int, ...]]] = [(fn, 0, ())]
+    for n, depth, loops in todo:
+        kind = n.__class__
+        if kind is ast.Name:
+            if n.ctx.__class__ is ast.Store:
+                stored.add(n.id)
+            continue
+        if kind is ast.Constant:
+            continue
+        if kind in _BRANCH:
+            more += 1
+            choices += kind is ast.IfExp
+        if kind is ast.BoolOp:
+            more += len(n.values) - 1
+        elif kind is ast.If:
+            ifs += 1
+            parts = _parts(n)
+            condition = max(condition, parts)
             if parts > 5:
-                out.append(("complex_conditional", n.lineno, f"{n.lineno}:{n.col_offset}"))
-        elif isinstance(n, (ast.For, ast.While, ast.AsyncFor)):
-            for c in ast.walk(n):
-                if isinstance(c, ast.Call) and (c.func.id if isinstance(c.func, ast.Name) else c.func.attr if isinstance(c.func, ast.Attribute) else "") in _IO:
-                    out.append(("io_in_loop", n.lineno, f"{c.lineno}:{c.col_offset}"))
-        elif isinstance(n, ast.Call) and isinstance(fn, ast.AsyncFunctionDef) and (_dotted(n.func) or "") in _BLOCKING:
-            out.append(("blocking_sync_in_async", n.lineno, f"{n.lineno}:{n.col_offset}"))
-    return out
-
-
-def _depth(node: ast.AST, at: int = 0) -> int:
-    return max([at, *(_depth(c, at + isinstance(c, _NEST)) for c in ast.iter_child_nodes(node))])
-
-
-def _metrics(fn: ast.AST) -> dict[str, int]:
-    nodes = list(ast.walk(fn))
-    loops = [n for n in nodes if isinstance(n, (ast.For, ast.While, ast.AsyncFor))]
-    calls = lambda root: [n for n in ast.walk(root) if isinstance(n, ast.Call)]
-    args = [a.arg for n in nodes if isinstance(n, ast.arguments) for a in (*n.posonlyargs, *n.args, *n.kwonlyargs) if a.arg not in ("self", "cls", "mcs")]
-    return {
-        "ccn": complexity(fn),
-        "ccn_plain": plain_complexity(fn),
-        "depth": _depth(fn),
-        "loc": max((fn.end_lineno or fn.lineno) - fn.lineno, 0),
-        "n_vars": len({n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}),
-        "n_ifs": sum(isinstance(n, ast.If) for n in nodes),
-        "n_args": len(args),
-        "bare_excepts": sum(isinstance(n, ast.ExceptHandler) and n.type is None for n in nodes),
-        "io_in_loop": sum((c.func.id if isinstance(c.func, ast.Name) else c.func.attr if isinstance(c.func, ast.Attribute) else "") in _IO for loop in loops for c in calls(loop)),
-        "concat_in_loop": sum(isinstance(n, ast.AugAssign) and isinstance(n.op, ast.Add) for loop in loops for n in ast.walk(loop)),
-        "literal_concat_in_loop": sum(isinstance(n, ast.BinOp) and isinstance(n.op, ast.Add) and any(isinstance(s, ast.Constant) and isinstance(s.value, str) for s in (n.left, n.right)) for loop in loops for n in ast.walk(loop)),
-        "blocking": sum((_dotted(c.func) or "") in _BLOCKING for c in calls(fn)) if isinstance(fn, ast.AsyncFunctionDef) else 0,
-        "condition": max([0, *(sum((len(n.values) - 1) if isinstance(n, ast.BoolOp) else isinstance(n, ast.Compare) for n in ast.walk(i.test)) for i in nodes if isinstance(i, ast.If))]),
-    }
+                sites.append(("complex_conditional", n.lineno, f"{n.lineno}:{n.col_offset}"))
+        elif kind is ast.Call:
+            calls.append(n)
+            if loops and (n.func.id if isinstance(n.func, ast.Name) else n.func.attr if isinstance(n.func, ast.Attribute) else "") in _IO:
+                io += len(loops)
+                sites.extend(("io_in_loop", line, f"{n.lineno}:{n.col_offset}") for line in loops)
+            if waits and (_dotted(n.func) or "") in _BLOCKING:
+                blocking += 1
+                sites.append(("blocking_sync_in_async", n.lineno, f"{n.lineno}:{n.col_offset}"))
+        elif kind is ast.AugAssign:
+            concat += len(loops) * isinstance(n.op, ast.Add)
+        elif kind is ast.BinOp:
+            if loops and isinstance(n.op, ast.Add) and any(isinstance(x, ast.Constant) and isinstance(x.value, str) for x in (n.left, n.right)):
+                literal += len(loops)
+        elif kind is ast.ExceptHandler:
+            bare += n.type is None
+        elif kind is ast.arguments:
+            args += sum(a.arg not in ("self", "cls", "mcs") for a in (*n.posonlyargs, *n.args, *n.kwonlyargs))
+        if kind in _LOOP:
+            loops = (*loops, n.lineno)
+        for v in n.__dict__.values():
+            for x in v if type(v) is list else (v,):
+                if isinstance(x, ast.AST) and x.__class__ not in _BARE:
+                    below = depth + (x.__class__ in _NEST)
+                    deep = max(deep, below)
+                    todo.append((x, below, loops))
+    metrics = {
+        "ccn": 1 + more, "ccn_plain": 1 + more - choices, "depth": deep, "loc": max((fn.end_lineno or fn.lineno) - fn.lineno, 0), "n_vars": len(stored), "n_ifs": ifs, "n_args": args, "bare_excepts": bare,
+        "io_in_loop": io, "concat_in_loop": concat, "literal_concat_in_loop": literal, "blocking": blocking, "condition": condition,
+    }
+    return metrics, sites, calls
 
 
 def _class_metrics(cls: ast.ClassDef) -> dict[str, int]:
-    nodes = list(ast.walk(cls))
+    nodes = _walk(cls)
     attr = lambda ctx: {n.attr for n in nodes if isinstance(n, ast.Attribute) and isinstance(n.ctx, ctx) and isinstance(n.value, ast.Name) and n.value.id == "self"}
     stored, loaded = attr(ast.Store), attr(ast.Load)
     return {"methods": sum(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) for n in cls.body), "assigns": sum(isinstance(n, ast.Assign) for n in nodes), "stored": len(stored), "used": len(stored & loaded)}
@@ -100,7 +132,16 @@ def _package(path: str, level: int) -> str:
 
 
 def rows_of(path: str, text: str) -> list[dict]:
-    """Rows of one file: function, class, call, entry or error."""
+    """Rows of one file: function, class, call, entry or error.  A short text that comes again isn't parsed again; the folder
+    counts where it may hold a relative import."""
+    folder = path.rpartition("/")[0] if _RELATIVE.search(text) else ""
+    rows = (_kept if len(text) <= SHORT else _rows)(text, folder)
+    return [r | {"path": path} | {k: path + v[1:] for k in ("node", "module") if (v := r.get(k)) and v[0] == _HERE} for r in rows]
+
+
+def _rows(text: str, folder: str) -> list[dict]:
+    """The rows of a file in a folder; ``_HERE``, which no name holds, stands for its path."""
+    path = _HERE
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
@@ -110,14 +151,14 @@ def rows_of(path: str, text: str) -> list[dict]:
     out: list[dict] = []
     bound: dict[str, tuple[str, str | None]] = {}
     own: set[str] = set()
-    for n in ast.walk(tree):
+    for n in _walk(tree):
         if isinstance(n, ast.Import):
             for a in n.names:
                 bound[a.asname or a.name.split(".")[0]] = (a.name.replace(".", "/"), None)
         elif isinstance(n, ast.ImportFrom):
             base = (n.module or "").replace(".", "/")
             if n.level:
-                base = "/".join(x for x in (_package(path, n.level), base) if x)
+                base = "/".join(x for x in (_package(f"{folder}/" if folder else "", n.level), base) if x)
             for a in n.names:
                 if a.name != "*":
                     bound[a.asname or a.name] = (base, a.name)
@@ -149,15 +190,15 @@ def rows_of(path: str, text: str) -> list[dict]:
                 visit(n.body, n.name, None)
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 node = f"{path}::{cls + '.' if cls else ''}{n.name}"
-                out.append({"path": path, "kind": "function", "node": node, "class": cls, "name": n.name, "lineno": n.lineno, "metrics": _metrics(n)})
-                out.extend({"path": path, "kind": "site", "node": node, "name": found, "lineno": line, "symbol": place} for found, line, place in sites(n))
+                metrics, sites, inner = measure(n)
+                out.append({"path": path, "kind": "function", "node": node, "class": cls, "name": n.name, "lineno": n.lineno, "metrics": metrics})
+                out.extend({"path": path, "kind": "site", "node": node, "name": found, "lineno": line, "symbol": place} for found, line, place in sites)
                 for d in n.decorator_list:
                     call(node, d.func if isinstance(d, ast.Call) else d, cls)
-                inner = [x for x in ast.walk(n) if isinstance(x, ast.Call)]
                 for c in inner:
                     if c not in n.decorator_list:
                         call(node, c.func, cls)
-                visit([x for x in ast.walk(n) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and x is not n and x in n.body], cls, node)
+                visit([x for x in n.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))], cls, node)
             elif isinstance(n, ast.If) and "__name__" in ast.dump(n.test) and "__main__" in ast.dump(n.test):
                 for c in ast.walk(n):
                     if isinstance(c, ast.Call) and (d := _dotted(c.func)) in own:
@@ -167,13 +208,16 @@ def rows_of(path: str, text: str) -> list[dict]:
     return out
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Rows of all Python files of (path, content); a file that doesn't parse gives one row of kind error."""
+_kept = lru_cache(KEPT)(_rows)
+
+
+def parse(files: DataFrame, *kinds: str) -> DataFrame:
+    """Rows of all Python files of (path, content), or those of some kinds; a file that doesn't parse gives one row of kind error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string()] * 7 + [pa.int32(), pa.map_(pa.string(), pa.int32())]
         for b in batches:
-            rows = [r for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist()) if p and t is not None for r in rows_of(p, t)]
+            rows = [r for p, t in zip(b.column("path").to_pylist(), b.column("content").to_pylist()) if p and t is not None for r in rows_of(p, t) if not kinds or r["kind"] in kinds]
             columns = [[r.get(f) for r in rows] for f in _FIELDS]
             columns[-1] = [list(m.items()) if m else None for m in columns[-1]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(_FIELDS))

@@ -155,3 +155,17 @@ def test_staged_files_texts_and_written_cache(spark, tmp_path):
         scan.write_cache(files, str(tmp_path / "cache"))
     hits, misses = scan.cache_split(spark.createDataFrame([("a", "1"), ("b", "3")], "path string, sha256 string"), spark.read.parquet(str(tmp_path / "cache")))
     assert [r.path for r in hits.collect()] == ["a"] and [r.path for r in misses.collect()] == ["b"]
+
+
+def test_texts_that_come_again_are_parsed_once(monkeypatch):
+    """b_syntax_findings: a repeated text gives the rows of its own path; a relative import still counts from the file's folder."""
+    parsed = []
+    plain = python_source.ast.parse
+    monkeypatch.setattr(python_source.ast, "parse", lambda text: parsed.append(text) or plain(text))
+    text = "from x.y import f\n\n\ndef again_once(a):\n    for i in a:\n        open(i)\n    f()\n    again_once(a)\n"
+    first, second = python_source.rows_of("a/p.py", text), python_source.rows_of("b/q.py", text)
+    assert len(parsed) == 1 and "a/p.py" in str(first) and "a/p.py" not in str(second)
+    assert second == [{k: v.replace("a/p.py", "b/q.py") if isinstance(v, str) else v for k, v in r.items()} for r in first]
+    relative = "from .z import g\n\n\ndef again_near():\n    g()\n"
+    assert [r["module"] for p in ("a/p.py", "b/q.py", "b/p.py") for r in python_source.rows_of(p, relative) if r["kind"] == "call"] == ["a/z", "b/z", "b/z"]
+    assert len(parsed) == 3
