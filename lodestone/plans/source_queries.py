@@ -79,7 +79,7 @@ def b_syntax_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def b_syntax_sites(spark: SparkSession, d: str) -> DataFrame:
     """Places with findings per file of the made sources."""
-    x = python_source.syntax_findings(python_source.parse(_made(spark, d))).where("place <> ''")
+    x = python_source.syntax_findings(python_source.parse(_made(spark, d), "site")).where("place <> ''")
     return x.groupBy("node", "biomarker_type", "severity").agg(F.count(F.lit(1)).alias("places"))
 
 

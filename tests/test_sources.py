@@ -169,3 +169,12 @@ def test_texts_that_come_again_are_parsed_once(monkeypatch):
     relative = "from .z import g\n\n\ndef again_near():\n    g()\n"
     assert [r["module"] for p in ("a/p.py", "b/q.py", "b/p.py") for r in python_source.rows_of(p, relative) if r["kind"] == "call"] == ["a/z", "b/z", "b/z"]
     assert len(parsed) == 3
+
+
+def test_only_the_kinds_asked_for(spark):
+    """b_syntax_sites: with its kind alone the places are the same."""
+    files = spark.createDataFrame([("m.py", "async def again_kinds(a):\n    for x in a:\n        open(x)\n    time.sleep(1)\n"), ("n.py", "def (")], "path string, content string")
+    whole, sites = (python_source.parse(files, *k) for k in ((), ("site",)))
+    assert {r.kind for r in sites.collect()} == {"site"} and "error" in {r.kind for r in whole.collect()}
+    at = lambda rows: sorted(map(tuple, python_source.syntax_findings(rows).where("place <> ''").collect()))
+    assert len(at(whole)) == 2 and at(whole) == at(sites)
