@@ -57,7 +57,7 @@ def s11_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def p25_complexities(spark: SparkSession, d: str) -> DataFrame:
     """Both counts of complexity: they differ by conditional expressions."""
-    return python_source.functions(python_source.parse(_made(spark, d))).select("node", "ccn", "ccn_plain")
+    return python_source.functions(python_source.parse(_made(spark, d), "function")).select("node", "ccn", "ccn_plain")
 
 
 def s10_parse_errors(spark: SparkSession, d: str) -> DataFrame:

@@ -178,3 +178,10 @@ def test_only_the_kinds_asked_for(spark):
     assert {r.kind for r in sites.collect()} == {"site"} and "error" in {r.kind for r in whole.collect()}
     at = lambda rows: sorted(map(tuple, python_source.syntax_findings(rows).where("place <> ''").collect()))
     assert len(at(whole)) == 2 and at(whole) == at(sites)
+
+
+def test_both_complexities_from_functions_alone(spark):
+    """scalar_p25_complexities: no other kind is needed."""
+    files = spark.createDataFrame([("m.py", "class C:\n    def f(self, a):\n        return 1 if a and self else f(a)\n")], "path string, content string")
+    rows = python_source.parse(files, "function")
+    assert [(r["node"], r.ccn, r.ccn_plain) for r in python_source.functions(rows).collect()] == [("m.py::C.f", 3, 2)] and rows.count() == 1
