@@ -52,7 +52,7 @@ def _made(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s11_entries(spark: SparkSession, d: str) -> DataFrame:
-    return python_source.entry_points(python_source.parse(_made(spark, d)))
+    return python_source.entry_points(python_source.parse(_made(spark, d), "entry"))
 
 
 def p25_complexities(spark: SparkSession, d: str) -> DataFrame:

@@ -185,3 +185,10 @@ def test_both_complexities_from_functions_alone(spark):
     files = spark.createDataFrame([("m.py", "class C:\n    def f(self, a):\n        return 1 if a and self else f(a)\n")], "path string, content string")
     rows = python_source.parse(files, "function")
     assert [(r["node"], r.ccn, r.ccn_plain) for r in python_source.functions(rows).collect()] == [("m.py::C.f", 3, 2)] and rows.count() == 1
+
+
+def test_entries_alone(spark):
+    """s11_entries: no other kind is needed."""
+    text = "def f():\n    pass\n\n\nif __name__ == '__main__':\n    f()\n"
+    rows = python_source.parse(spark.createDataFrame([("a/m.py", text), ("b/m.py", text)], "path string, content string"), "entry")
+    assert {r["node"] for r in python_source.entry_points(rows).collect()} == {"a/m.py::f", "b/m.py::f"} and rows.count() == 2
