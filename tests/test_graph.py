@@ -221,3 +221,13 @@ def test_a_heavy_component_needs_no_wide_sets():
     assert not len(left)
     want = [1_000 + (up % heavy == k).sum() for k in range(2)]
     assert size[:heavy].tolist() == [*want, 3_000 + n - heavy] and (size[heavy:] == 1).all()
+
+
+def test_risk_of_a_graph_with_repeats(spark, tmp_path):
+    """g3_risk: repeated edges and unknown targets change nothing, and the complexity of files is added to the impact."""
+    from lodestone.plans import graph_queries
+
+    rows = [("a", "b", "imports"), ("a", "b", "imports"), ("b", "a", "imports"), ("b", "c", "imports"), ("c", "ext:x", "imports"), ("c", None, "imports")]
+    spark.createDataFrame(rows, "source string, target string, type string").write.parquet(f"{tmp_path}/kg_edges.parquet")
+    spark.createDataFrame([("c", 45), ("a", None)], "file_path string, nloc int").write.parquet(f"{tmp_path}/file_contexts.parquet")
+    assert {r["node"]: (r.impact, r.risk) for r in graph_queries.g3_risk(spark, str(tmp_path)).collect()} == {"a": (2, 2), "b": (2, 2), "c": (2, 4)}
